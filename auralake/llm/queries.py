@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, passages, pii, quality, simhash
+from . import bpe, packing, passages, pii, quality, simhash, suffixtree, tokenshards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_personal_data": pii.op2_personal_data,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_suffix_tree_scores": suffixtree.op5_suffix_tree_scores,
         "op7_simhash_groups": simhash.op7_simhash_groups,
         "op8_shared_passages": passages.op8_shared_passages,
+        "op9_byte_bpe": bpe.op9_byte_bpe,
+        "op10_token_shards": tokenshards.op10_token_shards,
     }
 
 
