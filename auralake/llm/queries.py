@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, passages, pii, quality, simhash, suffixtree, tokenshards
+from . import bpe, chat, flac, packing, passages, pii, quality, simhash, suffixtree, tokenshards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_personal_data": pii.op2_personal_data,
+        "op3_preference_format": chat.op3_preference_format,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_suffix_tree_scores": suffixtree.op5_suffix_tree_scores,
+        "op6_flac_media": flac.op6_flac_media,
         "op7_simhash_groups": simhash.op7_simhash_groups,
         "op8_shared_passages": passages.op8_shared_passages,
         "op9_byte_bpe": bpe.op9_byte_bpe,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preference_format": chat.SQL}
