@@ -1 +1 @@
-
+from . import relational
