@@ -1 +1 @@
-from . import relational
+from . import measures, relational
