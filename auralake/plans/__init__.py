@@ -1 +1 @@
-from . import measures, relational
+from . import measures, relational, spatial, streams
