@@ -9,11 +9,12 @@ takes as many bits a token as there are planes, and the counts a little more.
 
 Shards are rows of a Parquet table, one file image each, written by Spark's own committing writer
 into the shared folder: any store will do, and a lost executor's shard is written again. Documents
-are dealt by ranges of doc_id; a task closes a shard after ``SHARD_BYTES`` of text.
+are dealt by ranges of doc_id; a task closes a shard after ``SHARD_BYTES`` of ids.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -30,7 +31,8 @@ from pyspark.sql.window import Window
 from . import common
 from .bpe import tokenizer_path
 
-SHARD_BYTES = 8 << 20
+#: Bytes of ids, at four each, after which a task closes a shard.
+SHARD_BYTES = 12 << 20
 MAGIC = b"WAVM0001"
 #: Bits between two stored counts of one bits.
 BLOCK = 4096
@@ -161,40 +163,104 @@ def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return doc_ids, lengths, WaveletMatrix(length, alphabet, [np.frombuffer(data, np.uint8, size, at + p * size) for p in range(planes)])
 
 
+#: ASCII punctuation that ends a word and can be part of no contraction and no special token.
+_TAIL = b"!\"#$%&()*+,-./:;=?@[]^_`{}~"
+_SIMPLE = re.compile(rb"[A-Za-z\x80-\xff]+")
+
+
 class Encoder:
     """Ids of whole texts through the tokenizers library, which sees each different word once.
 
+    Words are known by their 64-bit fingerprints, and the ids of a batch are gathered at once.
+
     The vocabulary's normaliser and pattern join nothing across ASCII white space, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn. Nor do they join a letter and the punctuation after it: a word
+    is looked up as its letters, in lower case, and its tail. Words of letters alone are one
+    pre-token each, whose last token is marked as a word's end, and go to the library many at a time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        words = [t.encode().split() for t in texts]
-        if len(self.words) > CACHED:
-            self.words.clear()
-        new = list({w for own in words for w in own if w not in self.words})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-        return [b"".join(map(self.words.__getitem__, own)) for own in words]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.end_id = end_id
+        self.parts: dict[bytes, bytes] = {b"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words: sorted fingerprints, and where the ids of each lie in the store. The last entry is no word's."""
+        self.keys, self.start, self.size = np.array([2**64 - 1], np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.store = np.array([self.end_id], "<u4")
+
+    def _learn(self, parts: set[bytes]) -> None:
+        """Ids of whole words and of parts of words."""
+        text = {p: p.decode() for p in parts if p not in self.parts}
+        plain = [p for p, t in text.items() if _SIMPLE.fullmatch(p) and t.lower().isalpha()]
+        for at in range(0, len(plain), 50_000):
+            some = plain[at : at + 50_000]
+            ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([" ".join([text[p] for p in some[i : i + 500]]) for i in range(0, len(some), 500)], add_special_tokens=False)]
+            flat = np.concatenate(ids)
+            end = np.flatnonzero(self.closes[flat]) + 1
+            if len(end) == len(some):
+                data, bounds = flat.tobytes(), (4 * np.concatenate([[0], end])).tolist()
+                self.parts.update((p, data[a:b]) for p, a, b in zip(some, bounds, bounds[1:], strict=False))
+        rest = [p for p in text if p not in self.parts]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([text[p] for p in rest], add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        pairs = []
+        for w in words:
+            head = w.rstrip(_TAIL)
+            simple = _SIMPLE.fullmatch(head) and (head.isascii() or head.decode().lower().isalpha())
+            pairs.append((head.lower(), w[len(head) :]) if simple else (w, b""))
+        if len(self.parts) > CACHED:
+            self.parts = {b"": b""}
+        self._learn({p for pair in pairs for p in pair})
+        parts = self.parts
+        return [parts[a] + parts[b] for a, b in pairs]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, each closed by the end id, and how many each text has."""
+        words = common.scan(texts)
+        prints, first, back = np.unique(words.prints(), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHED:
+            self._forget()
+        at = np.searchsorted(self.keys, prints)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != prints)
+        if len(new):
+            data = words.data.tobytes()
+            found = self._ids_of([data[a:b] for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            keys = np.concatenate([self.keys, prints[new]])
+            order = np.argsort(keys, kind="stable")
+            self.start = np.concatenate([self.start, len(self.store) + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.store = np.concatenate([self.store, np.frombuffer(b"".join(found), "<u4")])
+            self.keys = keys[order]
+            at = np.searchsorted(self.keys, prints)
+        bounds = words.first + np.arange(len(words.first))
+        start, size = np.zeros(bounds[-1], np.int64), np.ones(bounds[-1], np.int64)  # the end id is the store's first
+        inside = np.ones(len(start), bool)
+        inside[bounds[1:] - 1] = False
+        start[inside], size[inside] = self.start[at][back], self.size[at][back]
+        to = np.concatenate([[0], np.cumsum(size)])
+        ids = self.store[np.repeat(start - to[:-1], size) + np.arange(to[-1])]
+        return ids, to[bounds[1:]] - to[bounds[:-1]]
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, end_id: int) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, end_id)
 
 
 _SHARDS = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_tokens", pa.int64()), ("file", pa.binary())])
@@ -204,28 +270,23 @@ def write_shards(documents: DataFrame, path: str, folder: str, end_id: int = END
     """Writes ``documents`` (doc_id, text) as shards to ``folder``, each document closed by ``end_id``."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        docs: list[int] = []
-        coded: list[bytes] = []
+        own, part = encoder(path, end_id), TaskContext.get().partitionId()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = number = 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            file = to_file(np.array(docs), np.array([len(c) // 4 for c in coded]), ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], schema=_SHARDS)
+            docs, ids, lengths = map(np.concatenate, zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([to_file(docs, lengths, ids)], pa.binary())], schema=_SHARDS)
 
         for piece in common.pieces(batches):
-            texts = [t or "" for t in piece.column("text").to_pylist()]
-            docs += piece.column("doc_id").to_pylist()
-            coded += [c + end for c in own.encode(texts)]
-            size += sum(map(len, texts))
+            ids, lengths = own.encode(piece.column("text"))
+            held.append((piece.column("doc_id").to_numpy(), ids, lengths))
+            size += 4 * len(ids)
             if size >= SHARD_BYTES:
                 yield closed()
-                docs.clear()
-                coded.clear()
+                held.clear()
                 size, number = 0, number + 1
-        if docs:
+        if held:
             yield closed()
 
     rows = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
