@@ -186,7 +186,8 @@ def learn(training: DataFrame, symbol_counts: DataFrame) -> Tree:
     able = np.flatnonzero((n >= max(LEAST_COUNT, P_CONTEXT * total)) & (key != END))
     last = int(able[-1]) + 1 if len(able) else 0
     empty = {"passed": np.zeros(0), "code": np.zeros(0, np.int64), "share": np.zeros(0)}
-    tree = Tree(total, different, once / max(1, once + 2 * twice) if once else 0.5, key, n, last, np.zeros(0, np.int64), [empty, empty])
+    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))  # inside (0, 1), so that no symbol loses all
+    tree = Tree(total, different, discount, key, n, last, np.zeros(0, np.int64), [empty, empty])
     if not last:
         return tree
     base = tree.root(n)
