@@ -25,7 +25,7 @@ from . import common
 from .suffixtree import Index
 
 #: Entries of a worker's cache of text pieces, after which it starts anew.
-CACHED = 250_000
+CACHED = 500_000
 #: Bytes from which a pre-token is merged with a heap.
 LONG = 100
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -66,7 +66,7 @@ class Vocabulary:
             self.texts.append(a + b)
         self.left, self.right = np.array(left), np.array(right)
         self.out = [ids[t] for t in self.texts]
-        self.decimal = [str(i) for i in self.out]
+        self.decimal = [f"{i}," for i in self.out]
         codes = np.array([a << 32 | b for a, b in self.ranks], np.uint64)
         self.merged = np.array(list(self.ranks.values()), np.int64)
         self.pairs = Index(codes)
@@ -196,69 +196,111 @@ def vocabulary(path: str) -> Vocabulary:
 class Coder:
     """Encodes and decodes whole texts, with a cache of text pieces.
 
-    A text is cut before each space that white space does not surround, where no pre-token can lie
-    across; equal pieces are encoded once. A piece's entry has the number of its tokens, their ids
-    in decimal, and the bytes that these ids stand for.
+    A text is cut before each space, where no pre-token can lie across unless white space surrounds
+    it; texts with such spaces, or with a special token, are coded whole. A piece is known by its
+    64-bit fingerprint; its entry has the number of its tokens, their ids in decimal, and the bytes
+    that these ids stand for, and what a text consists of is gathered from the entries at once.
     """
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No pieces: sorted fingerprints, of which the last is no piece's, and for each its entry (tokens, place and size in both stores)."""
+        self.keys, self.entries = np.array([2**64 - 1], np.uint64), np.zeros((1, 5), np.int64)
+        self.decimals, self.raws = np.zeros(0, np.uint8), np.zeros(0, np.uint8)
         self.tokens: dict[str, list[int]] = {}
 
-    def _cut(self, text: str) -> list[str]:
-        if _ENTANGLED.search(text):
-            return PATTERN.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-            self.tokens.clear()
-        found = {p: PATTERN.findall(p) for p in pieces if p not in self.pieces}
-        tokens = self.tokens
-        new = list({t for parts in found.values() for t in parts if t not in tokens})
-        tokens.update(zip(new, self.vocabulary.encode([t.encode() for t in new]), strict=True))
-        decimal, texts = self.vocabulary.decimal, self.vocabulary.texts
-        for piece, parts in found.items():
-            inner = tokens[parts[0]] if len(parts) == 1 else [i for t in parts for i in tokens[t]]
-            self.pieces[piece] = (len(inner), ",".join([decimal[i] for i in inner]), b"".join([texts[i] for i in inner]))
+    def _inner(self, texts: list[str]) -> list[list[int]]:
+        """The tokens of pieces, or of whole texts without special tokens."""
+        parts = [PATTERN.findall(t) for t in texts]
+        known = self.tokens
+        new = list({t for p in parts for t in p if t not in known})
+        known.update(zip(new, self.vocabulary.encode([t.encode() for t in new]), strict=True))
+        return [known[p[0]] if len(p) == 1 else [i for t in p for i in known[t]] for p in parts]
 
-    def prepare(self, texts: list[str]) -> None:
-        """Encodes the new pieces of all the texts at once, if they have room in the cache."""
-        pieces = set().union(*[self._cut(t) for t in texts if not any(mark in t for mark in self.vocabulary.special)])
-        self._learn(pieces)
+    def _learn(self, prints: np.ndarray, pieces: list[str]) -> None:
+        decimal, texts = self.vocabulary.decimal, self.vocabulary.texts
+        inner = self._inner(pieces)
+        written = ["".join([decimal[i] for i in own]).encode() for own in inner]
+        stood = [b"".join([texts[i] for i in own]) for own in inner]
+        rows = np.zeros((len(pieces), 5), np.int64)
+        rows[:, 0] = [len(own) for own in inner]
+        for at, store, parts in ((1, self.decimals, written), (3, self.raws, stood)):
+            rows[:, at + 1] = [len(p) for p in parts]
+            rows[:, at] = len(store) + np.cumsum(rows[:, at + 1]) - rows[:, at + 1]
+        self.decimals = np.concatenate([self.decimals, np.frombuffer(b"".join(written), np.uint8)])
+        self.raws = np.concatenate([self.raws, np.frombuffer(b"".join(stood), np.uint8)])
+        keys = np.concatenate([self.keys, prints])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.entries = keys[order], np.concatenate([self.entries, rows])[order]
+
+    def whole(self, text: str) -> tuple[int, bytes, bytes]:
+        """Number of tokens, ids in decimal each followed by a comma, and decoded bytes of any text."""
+        special = self.vocabulary.special
+        runs = [text]
+        for mark in special:
+            runs = [x for r in runs for x in ([r] if r in special or mark not in r else regex.split(f"({regex.escape(mark)})", r))]
+        ids: list[str] = []
+        raw: list[bytes] = []
+        for run in runs:
+            if run in special:
+                ids.append(f"{special[run]},")
+                raw.append(run.encode())
+            else:
+                inner = self._inner([run])[0]
+                ids += [self.vocabulary.decimal[i] for i in inner]
+                raw += [self.vocabulary.texts[i] for i in inner]
+        return len(ids), "".join(ids).encode(), b"".join(raw)
 
-    def code(self, texts: list[str]) -> list[tuple[int, str, str]]:
+    def code(self, column: pa.Array) -> list[tuple[int, str, str]]:
         """(number of tokens, SHA-256 of the decimal ids, SHA-256 of the decoded text) of each text."""
-        special = [(t, (1, str(i), t.encode())) for t, i in self.vocabulary.special.items()]
+        data, bounds = common.utf8(column)
+        if len(self.keys) > CACHED or len(self.tokens) > CACHED:
+            self._forget()
+        cut = data == 0x20
+        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))
+        prints, first, back = np.unique(common.prints(data, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, prints)
+        new = first[self.keys[np.minimum(at, len(self.keys) - 1)] != prints]
+        raw = data.tobytes()
+        if len(new):
+            self._learn(prints[back[new]], [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, prints)
+        entry = self.entries[at][back]
+        decimals, decimal_to = common.gathered(self.decimals, entry[:, 1], entry[:, 2])
+        stood, stood_to = common.gathered(self.raws, entry[:, 3], entry[:, 4])
+        piece = np.searchsorted(start, bounds)
+        count = np.concatenate([[0], np.cumsum(entry[:, 0])])[piece].tolist()
+        decimal_at, stood_at = decimal_to[piece].tolist(), stood_to[piece].tolist()
+        ids, text = memoryview(decimals), memoryview(stood)
+        odd = self._odd(data, bounds, raw)
         rows = []
-        for text in texts:
-            runs = [text]
-            for mark, _ in special:
-                runs = [x for r in runs for x in ([r] if r == mark else regex.split(f"({regex.escape(mark)})", r) if mark in r else [r])]
-            runs = [r for r in runs if r]
-            pieces = [[r] if r in self.vocabulary.special else self._cut(r) for r in runs]
-            flat = [p for part in pieces for p in part]
-            if len(runs) > 1 or (runs and runs[0] in self.vocabulary.special):
-                self._learn({p for p in flat if p not in self.vocabulary.special})
-                entry = [dict(special)[p] if p in self.vocabulary.special else self.pieces[p] for p in flat]
+        for i in range(len(bounds) - 1):
+            if i in odd:
+                n, written, own = self.whole(raw[bounds[i] : bounds[i + 1]].decode())
             else:
-                try:
-                    entry = list(map(self.pieces.__getitem__, flat))
-                except KeyError:
-                    self._learn(set(flat))
-                    entry = list(map(self.pieces.__getitem__, flat))
-            decoded = b"".join([e[2] for e in entry]).decode("utf-8", "replace")
-            rows.append((sum([e[0] for e in entry]), hashlib.sha256(",".join([e[1] for e in entry]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                n, written, own = count[i + 1] - count[i], ids[decimal_at[i] : decimal_at[i + 1]], text[stood_at[i] : stood_at[i + 1]]
+            decoded = str(own, "utf-8", "replace")
+            rows.append((n, hashlib.sha256(written[:-1]).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return rows
 
+    def _odd(self, data: np.ndarray, bounds: np.ndarray, raw: bytes) -> set[int]:
+        """Texts that may not be cut before each space, or that hold a special token."""
+        blank = (data == 0x20) | ((data >= 9) & (data <= 13))
+        hint = np.isin(data, (0xC2, 0xE1, 0xE2, 0xE3))  # lead bytes of other white space
+        hint[1:] |= blank[1:] & blank[:-1] & ((data[1:] == 0x20) | (data[:-1] == 0x20))
+        hint[1:] |= (data[1:] == 0x7C) & (data[:-1] == 0x3C)
+        some = np.unique(np.searchsorted(bounds, np.flatnonzero(hint), "right") - 1)
+        marks = self.vocabulary.special
+        return {i for i in some.tolist() if _ENTANGLED.search(t := raw[bounds[i] : bounds[i + 1]].decode()) or any(m in t for m in marks)}
+
     def ids(self, text: str) -> list[int]:
-        """The token ids of a text without special tokens in it."""
-        parts = self._cut(text) if text else []
-        self._learn(set(parts))
-        return [int(i) for p in parts for i in self.pieces[p][1].split(",") if i]
+        """The token ids of a text."""
+        return [int(i) for i in self.whole(text)[1].decode().split(",")[:-1]]
 
     def decode(self, ids: list[int]) -> str:
         """The text that ids stand for; bytes that are no UTF-8 become U+FFFD."""
@@ -285,9 +327,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
         whole = pa.RecordBatch.from_arrays([column.cast(pa.string())], names=["text"])
         rows = []
         for piece in common.pieces([whole]):
-            texts = [t or "" for t in piece.column(0).to_pylist()]
-            own.prepare(texts)
-            rows += own.code(texts)
+            rows += own.code(piece.column(0))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", code(F.col("text")).alias("_coded")).select("doc_id", "_coded.*")

@@ -96,11 +96,22 @@ class Words:
 
     def prints(self) -> np.ndarray:
         """A 64-bit fingerprint of each word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        powers, inverse = _powers(len(self.data))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[self.data] * powers[: len(self.data)])])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+        return prints(self.data, self.start, self.end)
+
+
+def prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each stretch of bytes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    powers, inverse = _powers(len(data))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[data] * powers[: len(data)])])
+    return mix((total[end] - total[start]) * inverse[start])
+
+
+def gathered(store: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``store`` one after another, and their bounds."""
+    to = np.concatenate([[0], np.cumsum(size)])
+    return store[np.repeat(start - to[:-1], size) + np.arange(to[-1])], to
 
 
 _CACHE: dict[str, np.ndarray] = {}
