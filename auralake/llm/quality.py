@@ -186,3 +186,33 @@ def keep_good(documents: DataFrame) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source")
+
+
+def sql() -> str:
+    """The rows of ``op1_quality_rules`` in DuckDB's SQL."""
+    names = list(RATIOS)
+    space = r"[\x20\x09-\x0D]"
+    ratio = {"symbol_ratio": "n_symbols / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
+    spread = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in RATIOS.items())
+    wide = ", ".join(f"max(CASE WHEN ratio = '{k}' THEN most END) AS max_{k}" for k in names)
+    picked = ", ".join(f"CASE WHEN f.total >= {MIN_GROUP} THEN f.{c} WHEN l.total >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in [*(f"max_{k}" for k in names), "min_word_length"])
+    over = " OR ".join(f"coalesce({ratio[k]} > max_{k}, false)" for k in names)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{space}+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT id, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS k FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY id),
+c AS (SELECT w.id, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN rep ON rep.id = w.id),
+r AS ({" UNION ALL ".join(f"SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, '{k}' AS ratio, {v} AS x FROM c" for k, v in ratio.items())}),
+b AS (SELECT lang, source, ratio, CASE WHEN x <= {TINY} THEN {ZERO_BUCKET} ELSE CAST(ceil(ln(x) / {math.log(GAMMA)!r}) AS INTEGER) END AS bucket FROM r),
+s AS (SELECT lang, source, ratio, bucket, count(*) AS n, grouping(lang) AS gl, grouping(source) AS gs FROM b GROUP BY GROUPING SETS ((lang, source, ratio, bucket), (lang, ratio, bucket), (ratio, bucket))),
+u AS (SELECT gl, gs, lang, source, ratio, CASE WHEN bucket = {ZERO_BUCKET} THEN 0.0 ELSE pow({GAMMA!r}, bucket) END AS x, sum(n) OVER (PARTITION BY gl, gs, lang, source, ratio) AS total, sum(n) OVER (PARTITION BY gl, gs, lang, source, ratio ORDER BY bucket) AS upto FROM s),
+q AS (SELECT gl, gs, lang, source, ratio, max(total) AS total, min(CASE WHEN upto >= {LOWER} * total THEN x END) AS low, min(CASE WHEN upto >= 0.5 * total THEN x END) AS median, min(CASE WHEN upto >= {UPPER} * total THEN x END) AS high FROM u GROUP BY ALL),
+t AS (SELECT *, median + greatest({REACH} * (high - median), CASE ratio {spread} END) AS most, median - greatest({REACH} * (median - low), CASE ratio {spread} END) AS least FROM q),
+g AS (SELECT gl, gs, lang, source, max(total) AS total, {wide}, max(CASE WHEN ratio = 'word_length' THEN least END) AS min_word_length FROM t GROUP BY ALL),
+p AS (SELECT f.lang, f.source, {picked} FROM (SELECT * FROM g WHERE gs = 0) f JOIN (SELECT * FROM g WHERE gs = 1 AND gl = 0) l ON l.lang = f.lang CROSS JOIN (SELECT * FROM g WHERE gl = 1) a),
+v AS (SELECT c.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {over} OR coalesce({ratio["word_length"]} < min_word_length, false) AS odd FROM c LEFT JOIN p ON p.lang = coalesce(c.lang, '') AND p.source = coalesce(c.source, ''))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT odd AS kept, lang, source FROM v
+"""

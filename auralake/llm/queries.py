@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": chat.SQL}
+    return {"op1_quality_rules": quality.sql(), "op3_preference_format": chat.SQL}
