@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.summary import SHARES, rate, summarize
-from ..operators.windows import episodes, folded_back, order, sliding_delta, upto
+from ..operators import windows
+from ..operators.windows import episodes, folded_back, order, upto
 from ..registry import query
 from ..sources.tables import table
 
@@ -136,9 +137,9 @@ def episode_segments(spark, d):
     """WITH c AS (SELECT event_id, user_id, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
 SELECT event_id, round(CASE WHEN n = 1 THEN total ELSE total - first_value(total) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END, 6) AS delta, greatest(n - first_value(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 1) AS n_delta FROM c""",
 )
-def sliding_deltas(spark, d):
+def sliding_delta(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", F.sum("value").over(upto(KEY, STEP)).alias("total"), F.row_number().over(order(KEY, STEP)).alias("n"))
-    return rows.select("event_id", F.round(sliding_delta(F.col("total"), KEY, STEP, 10), 6).alias("delta"), F.greatest(F.col("n") - F.first("n").over(order(KEY, STEP).rowsBetween(-9, 0)), F.lit(1)).alias("n_delta"))
+    return rows.select("event_id", F.round(windows.sliding_delta(F.col("total"), KEY, STEP, 10), 6).alias("delta"), F.greatest(F.col("n") - F.first("n").over(order(KEY, STEP).rowsBetween(-9, 0)), F.lit(1)).alias("n_delta"))
 
 
 @query(
