@@ -69,6 +69,14 @@ _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s+|\+\s*)?(?:{_WORD_DIGIT}|[0-9])
 _DIGIT_TOKENS = re.compile(b"[\1\2]{4}")
 _IS_SPELLED = frozenset([*SPELLED, "plus"]).__contains__
 _SPELLED_WORD = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT}|plus)(?!\w)", re.I)
+#: A plain word "at" before a domain, which counts after a name with a digit or sign in it.
+_AT_DOMAIN = re.compile(r" at [A-Za-z0-9-]+\.[A-Za-z]", re.I)
+_NAMED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9._+-])")
+_DOT_WORD = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
+_GROUP = rf"(?:[0-9]{{1,3}}|(?:{_WORD_DIGIT})(?:[\s-]+(?:{_WORD_DIGIT})){{0,2}})"
+#: Four groups of digits, written or spelled, with disguised dots between them.
+_DISGUISED_IP = re.compile(rf"(?<![\w.]){_GROUP}(?:{_DOT_WORD}{_GROUP}){{3}}(?!\w)", re.I)
+_IP_TOKEN = re.compile(rf"({_DOT_WORD})|(?<!\w)({_WORD_DIGIT})(?!\w)", re.I)
 _GAP = re.compile(r"[\s,.()-]+")
 
 
@@ -111,7 +119,7 @@ def _hints(text: str) -> tuple[bool, bool]:
     """Whether the text may hold a disguised address, and whether it may hold four digit words in a row."""
     lower = text.lower()
     words = lower.split()
-    address = not _JOINTS.isdisjoint(words) or (any(c in text for c in "[({<") and _BRACKETED.search(text) is not None)
+    address = not _JOINTS.isdisjoint(words) or (" at " in lower and _AT_DOMAIN.search(text) is not None) or (any(c in text for c in "[({<") and _BRACKETED.search(text) is not None)
     for c in ",.()-+":
         lower = lower.replace(c, " ")
     words = lower.split()
@@ -128,8 +136,16 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
         for m in _DISGUISED.finditer(text):
             at = m.span(1)
             dots = [(d.start() + at[1], d.end() + at[1]) for d in _DOT_ONLY.finditer(text[at[1] : m.end()])]
-            if not text[at[0] : at[1]].strip().isalpha() or any(b - a > 1 for a, b in dots):
+            plainly = text[at[0] : at[1]].strip().isalpha() and not any(b - a > 1 for a, b in dots)
+            if not plainly or (text[at[0] : at[1]].strip().lower() == "at" and _NAMED.match(text[m.start() : at[0]])):
                 out += [(*at, "@"), *((a, b, ".") for a, b in dots if b - a > 1)]
+        for m in _DISGUISED_IP.finditer(text):
+            at = None
+            for t in _IP_TOKEN.finditer(text, m.start(), m.end()):
+                if at is not None and t[2] and at < t.start():
+                    out.append((at, t.start(), ""))
+                out.append((*t.span(), "." if t[1] else SPELLED[t[2].lower()]))
+                at = t.end() if t[2] else None
     if spelled:
         for m in _SPELLED_RUN.finditer(text):
             if len(re.findall(rf"(?<!\w)(?:{_WORD_DIGIT})(?!\w)|[0-9]", m[0], re.I)) < 7:

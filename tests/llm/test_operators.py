@@ -68,6 +68,9 @@ def test_plain_personal_data(texts):
         ("аdmin@еxample.com", "email", "аdmin@еxample.com"),
         ("x adm​in@exam​ple.org x", "email", "adm​in@exam​ple.org"),
         ("ip １２７.０.０.１!", "ip", "１２７.０.０.１"),
+        ("write to bosbt.42 at mail8.example.com soon", "email", "bosbt.42 at mail8.example.com"),
+        ("host 192[.]168[.]1[.]20 is up", "ip", "192[.]168[.]1[.]20"),
+        ("host one two seven dot zero dot zero dot one is up", "ip", "one two seven dot zero dot zero dot one"),
         ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
     ],
 )
