@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder that the session names, or a temporary one where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auralake-graph-"))
-    return df.checkpoint(eager=True)
+from .rounds import kept
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
@@ -22,14 +14,14 @@ def distances(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame
     Of several parents the least is taken. Each round joins the newest nodes with the edges and
     drops those that are known, so a node is expanded once.
     """
-    known = frontier = _kept(start.select("node").distinct().select("node", F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
+    known = frontier = kept(start.select("node").distinct().select("node", F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
     edges = edges.select("src", "dst")
     for hop in range(1, most + 1):
         reached = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        frontier = _kept(reached.join(known.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent"))
+        frontier = kept(reached.join(known.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent"))
         if frontier.isEmpty():
             break
-        known = _kept(known.unionByName(frontier))
+        known = kept(known.unionByName(frontier))
     return known
 
 
@@ -39,12 +31,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A round takes the least label of a node's neighbours and then the label of that label, so that
     long chains shorten by half each time.
     """
-    label = _kept(nodes.select("node", F.col("node").alias("component")).distinct())
+    label = kept(nodes.select("node", F.col("node").alias("component")).distinct())
     while True:
         near = edges.join(label, edges.dst == label.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         lower = label.join(near, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("l"))
         jump = label.select(F.col("node").alias("l"), F.col("component").alias("jump"))
-        new = _kept(lower.join(jump, "l", "left").select("node", "before", F.least("l", F.coalesce("jump", "l")).alias("component")))
+        new = kept(lower.join(jump, "l", "left").select("node", "before", F.least("l", F.coalesce("jump", "l")).alias("component")))
         label = new.select("node", "component")
         if new.where("before <> component").isEmpty():
             return label

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.joins import band_join, violations
+from ..operators.joins import band_join, nearest, violations
 from ..registry import query
 from ..sources.tables import finite, json_safe, parse_jsonl, table, tagged
 
@@ -212,10 +212,9 @@ SELECT vec_id, nearest, round(sqrt(d2), 6) AS distance FROM r""",
 )
 def nearest_neighbor(spark, d):
     points = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    nodes = points.where(F.pmod("vec_id", F.lit(5)) == 0).select("label", F.col("vec_id").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    best = points.join(nodes, "label").groupBy("vec_id").agg(F.min(F.struct(d2.alias("d2"), "node")).alias("b"))
-    return best.select("vec_id", F.col("b.node").alias("nearest"), F.round(F.sqrt("b.d2"), 6).alias("distance"))
+    nodes = points.where(F.pmod("vec_id", F.lit(5)) == 0).withColumnRenamed("vec_id", "nearest")
+    found = nearest(points, nodes, ["label"], "vec_id", "nearest")
+    return found.select("vec_id", "nearest", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import pose, signal
 from ..operators.graph import components, distances
+from ..operators.joins import nearest
 from ..registry import query
 from ..sources.tables import table
 
@@ -233,17 +234,12 @@ SELECT c_custkey, k.node, coalesce(hops, -1) AS hops FROM k LEFT JOIN h ON h.nod
 )
 def distance_to_prediction(spark, d):
     edges = _edges(spark, d)
-    # Nodes lie on a line: the nearest one is found in the predicted place's cell or one of its neighbours, whose width is the widest gap.
-    nodes = edges.select(F.col("src").alias("node")).distinct()
-    span = nodes.agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    gap = nodes.select((F.lead("node").over(Window.orderBy("node")) - F.col("node")).alias("g")).agg(F.max("g").alias("w"))
-    at = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 250.0).alias("at"), F.lit(1).alias("one"))
-    bounds = span.withColumn("one", F.lit(1)).join(gap.withColumn("one", F.lit(1)), "one")
-    placed = at.join(F.broadcast(bounds), "one").withColumn("inside", F.least(F.greatest("at", "low"), "high")).withColumn("cell", F.explode(F.array(*[F.floor(F.col("inside") / F.col("w")) + i for i in (-1, 0, 1)])))
-    celled = nodes.withColumn("one", F.lit(1)).join(F.broadcast(bounds), "one").select("node", F.floor(F.col("node") / F.col("w")).alias("cell"))
-    nearest = placed.join(celled, "cell").groupBy("c_custkey").agg(F.min(F.struct(F.abs(F.col("at") - F.col("node")).alias("d"), "node")).alias("b")).select("c_custkey", F.col("b.node").alias("node"))
+    line = F.lit(0.0).alias("y")
+    nodes = edges.select(F.col("src").alias("node")).distinct().select("node", F.col("node").cast("double").alias("x"), line, F.lit(0).alias("k"))
+    places = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 250.0).alias("x"), line, F.lit(0).alias("k"))
+    near = nearest(places, nodes, ["k"], "c_custkey", "node")
     hops = distances(edges, spark.createDataFrame([(0,)], "node long")).select("node", "hops")
-    return nearest.join(hops, "node", "left").select("c_custkey", "node", F.coalesce("hops", F.lit(-1)).alias("hops"))
+    return near.join(hops, "node", "left").select("c_custkey", "node", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 @query(

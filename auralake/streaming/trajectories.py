@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.rounds import shared_folder
+
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream, with ``ts`` as an event time and a watermark of ten minutes."""
@@ -21,10 +22,7 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has given when all input that is there has been read; kept in the checkpoint folder."""
     spark = stream.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auralake-stream-"))
-    place = f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     last = mode == "complete"  # such a batch holds everything; of the others each is kept
 
     def keep(rows: DataFrame, batch: int) -> None:
