@@ -59,3 +59,18 @@ def test_graph_rounds(spark):
     assert found == {1: (0, None), 2: (1, 1), 3: (2, 2), 4: (3, 3)}
     labels = {r.node: r.component for r in components(edges.selectExpr("src as node").distinct(), edges).collect()}
     assert labels == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10}
+
+
+def test_nearest_neighbours_agree_with_brute_force(spark):
+    import random
+
+    from auralake.operators.joins import nearest
+
+    rng = random.Random(6)
+    places = [(k, i, rng.gauss(0, 1) ** 3, rng.gauss(0, 1)) for i in range(300) for k in ("a", "b")]
+    nodes = [(k, i, rng.gauss(0, 1) ** 3, rng.choice([0.0, 1.0])) for i in range(60) for k in ("a", "c")]
+    points = spark.createDataFrame([(k, f"{k}{i}", x, y) for k, i, x, y in places], "k string, point string, x double, y double")
+    found = nearest(points, spark.createDataFrame(nodes, "k string, node long, x double, y double"), ["k"], "point", "node").collect()
+    want = {f"{k}{i}": min(((x - u) ** 2 + (y - v) ** 2, j) for q, j, u, v in nodes if q == k)[1] for k, i, x, y in places if k == "a"}
+    assert {r.point: r.node for r in found} == want and len(found) == len(want)
+    assert nearest(points, spark.createDataFrame([], "k string, node long, x double, y double"), ["k"], "point", "node").count() == 0
