@@ -29,6 +29,8 @@ RATE = 8000
 #: Bits of a linear predictor's coefficients, and their shift.
 PRECISION, SHIFT = 10, 8
 PAD = 64
+#: Bytes of payload that are coded at once; the arrays of a step are about 100 times that.
+STEP_BYTES = 1 << 20
 # The coefficients of the format's fixed predictors, by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -379,7 +381,7 @@ def _flac(text: Column) -> Column:
     @F.arrow_udf("binary")
     def write(column: pa.Array) -> pa.Array:
         whole = pa.RecordBatch.from_arrays([column.cast(pa.string())], names=["text"])
-        return pa.array([s for piece in common.pieces([whole]) for s in encode([payload(t) for t in piece.column(0).to_pylist()])], pa.binary())
+        return pa.array([s for piece in common.pieces([whole], most=STEP_BYTES) for s in encode([payload(t) for t in piece.column(0).to_pylist()])], pa.binary())
 
     return write(text)
 
@@ -394,7 +396,7 @@ def blocks(media: DataFrame) -> DataFrame:
     """(doc_id, block, sample_offset, n_samples, byte_offset, pcm) of each FLAC stream of ``media`` (doc_id, flac)."""
 
     def read(batches):
-        for piece in common.pieces(batches, "flac"):
+        for piece in common.pieces(batches, "flac", STEP_BYTES):
             streams = piece.column("flac").to_pylist()
             for doc, stream, samples in zip(piece.column("doc_id").to_pylist(), streams, decode(streams), strict=True):
                 at, _, _, points = _opened(stream)
@@ -420,7 +422,7 @@ def digests(documents: DataFrame) -> DataFrame:
     def digest(texts: pa.Array, media: pa.Array) -> pa.Array:
         rows = []
         whole = pa.RecordBatch.from_arrays([texts.cast(pa.string()), media], names=["text", "flac"])
-        for piece in common.pieces([whole], "flac"):
+        for piece in common.pieces([whole], "flac", STEP_BYTES):
             streams = piece.column("flac").to_pylist()
             size = [len((t or "").encode()) for t in piece.column("text").to_pylist()]
             for n, stream, samples in zip(size, streams, decode(streams), strict=True):
