@@ -326,7 +326,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
         own = coder(path)
         whole = pa.RecordBatch.from_arrays([column.cast(pa.string())], names=["text"])
         rows = []
-        for piece in common.pieces([whole]):
+        for piece in common.pieces([whole], most=common.CODING_BYTES):
             rows += own.code(piece.column(0))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -17,7 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; the arrays of a step are about 40 times that.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+#: The same for the coders, which sort what they know of words anew after each step.
+CODING_BYTES = 4 << 20
+#: Rows of an Arrow batch, of texts of a few KB each: tasks hold several batches at once, in the JVM and in Python.
+BATCH_ROWS = "1000"
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,9 +34,17 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of ``sf_dir``, through Spark's reader only, so that any store will do."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, where the session has Spark's default of ten times that."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests, a laptop)."""
     context = spark.sparkContext
@@ -44,6 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder; later plans start from there."""
     shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -278,7 +278,7 @@ def write_shards(documents: DataFrame, path: str, folder: str, end_id: int = END
             docs, ids, lengths = map(np.concatenate, zip(*held, strict=True))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([to_file(docs, lengths, ids)], pa.binary())], schema=_SHARDS)
 
-        for piece in common.pieces(batches):
+        for piece in common.pieces(batches, most=common.CODING_BYTES):
             ids, lengths = own.encode(piece.column("text"))
             held.append((piece.column("doc_id").to_numpy(), ids, lengths))
             size += 4 * len(ids)
