@@ -142,8 +142,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
     by_lang = level(wide.where(F.col("source").isNull() & F.col("lang").isNotNull()), "lang")
     whole = level(wide.where(F.col("lang").isNull()), "all")
     pick = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(c)).when(F.col("total_lang") >= MIN_GROUP, F.col(f"{c}_lang")).otherwise(F.col(f"{c}_all"))
-    one = F.lit(0).alias("_one")
-    return fine.join(by_lang, "lang").select("*", one).join(whole.select("*", one), "_one").select("lang", "source", *[pick(c).alias(c) for c in names])
+    # The corpus is one row, so its side can always be sent; a key that no rule folds keeps this an equi-join.
+    shared = lambda c: F.substring(F.col(c).cast("string"), 1, 0).alias("_one")
+    return fine.join(by_lang, "lang").select("*", shared("total")).join(F.broadcast(whole.select("*", shared("total_all"))), "_one").select("lang", "source", *[pick(c).alias(c) for c in names])
 
 
 def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
