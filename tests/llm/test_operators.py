@@ -246,6 +246,20 @@ def test_near_passages_are_found_and_short_ones_left(spark):
     assert found == set(range(10))
 
 
+def test_short_passages_at_the_bound_are_found(spark):
+    """Passages of 50 words with one word changed share 41 of 46 shingles, a similarity of 0.8."""
+    rng = random.Random(11)
+    own = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for i in range(400):
+        passage = own(50)
+        changed = [*passage[:25], "changed", *passage[26:]]
+        docs += [(2 * i, " ".join(own(60) + passage + own(60))), (2 * i + 1, " ".join(own(60) + changed + own(60)))]
+    rows = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).where("not kept").collect()
+    found = {r.doc_id for r in rows}
+    assert found <= set(range(1, 800, 2)) and len(found) >= 398
+
+
 def test_byte_bpe_agrees_with_the_library(texts):
     import hashlib
 
