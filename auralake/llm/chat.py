@@ -72,32 +72,47 @@ def assembled(parts: DataFrame) -> DataFrame:
     )
 
 
+def _mates(conversations: DataFrame) -> DataFrame:
+    """(a, b): the conversations (conv_id, key) of each key in order of conv_id, two by two; b is null for a last odd one.
+
+    Rows are dealt by range of (key, conv_id), so a very common key is spread. A rank within the key
+    is that within the partition plus what earlier partitions hold of the key; only keys that
+    partitions share need that, at most two rows a partition, which go through the driver.
+    """
+    dealt = common.cut(conversations.repartitionByRange("key", "conv_id").withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))
+    split = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("part", "n"))).alias("runs")).where("parts > 1").select("key", "runs").collect()
+    before = [(key, run.part, sum(r.n for r in runs[:i])) for key, runs in split for i, run in enumerate(runs)]
+    held = dealt.sparkSession.createDataFrame(before, "key long, part int, before long")
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("conv_id")) - 1
+    ranked = dealt.withColumn("place", place).join(F.broadcast(held), ["key", "part"], "left").withColumn("two", F.floor((F.col("place") + F.coalesce("before", F.lit(0))) / 2))
+    return ranked.groupBy("key", "two").agg(F.min("conv_id").alias("a"), F.max("conv_id").alias("b")).select("a", F.when(F.col("a") < F.col("b"), F.col("b")).alias("b"))
+
+
 def paired(conversations: DataFrame) -> DataFrame:
     """Turns (pair_id, side, turn, role, text) of pairs of conversations that open alike, ``conversations`` being (conv_id, turn, role, text).
 
     Conversations whose first turns have the same role and text are put in order of conv_id and
-    paired in turn within blocks of 64 consecutive ids, so one very common opening stays divided.
-    What is left over in a block is paired by conv_id: 2k is chosen, 2k + 1 rejected, if both are
-    left; any other stays single. Of a pair, the lesser conv_id is the chosen one and names the pair.
+    paired in turn. The odd ones that openings leave over are put in order of conv_id and paired in
+    turn in the same way. If there is an odd number of conversations, the last of those is both
+    sides of its pair, so that all of it is prompt. Of a pair, the lesser conv_id is the chosen one
+    and names the pair.
     """
     turns = conversations.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
-    first = turns.groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), F.xxhash64("role", "text").alias("opening"))).alias("f")).select("conv_id", F.col("f.opening").alias("opening"))
-    alike = Window.partitionBy("opening", F.floor(F.col("conv_id") / 64)).orderBy("conv_id")
-    lined = first.select("conv_id", (F.row_number().over(alike) - 1).alias("at"), F.lead("conv_id").over(alike).alias("next"), F.lag("conv_id").over(alike).alias("last"))
-    opens = F.col("at") % 2 == 0
-    matched = lined.select("conv_id", F.when(opens & F.col("next").isNotNull(), F.col("conv_id")).when(~opens, F.col("last")).alias("mate"))
-    neighbour = Window.partitionBy(F.floor(F.col("conv_id") / 2))
-    single = F.col("mate").isNull()
-    both = (F.sum(single.cast("int")).over(neighbour) == 2) & single
-    pairs = matched.select("conv_id", F.when(both, F.floor(F.col("conv_id") / 2) * 2).otherwise(F.col("mate")).alias("pair_id")).where(F.col("pair_id").isNotNull())
-    return turns.join(pairs, "conv_id").select("pair_id", F.when(F.col("conv_id") == F.col("pair_id"), F.lit("chosen")).otherwise(F.lit("rejected")).alias("side"), "turn", "role", "text")
+    first = turns.groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), F.xxhash64("role", "text").alias("opening"))).alias("f")).select("conv_id", F.col("f.opening").alias("key"))
+    alike = common.cut(_mates(first))
+    rest = _mates(alike.where("b is null").select(F.col("a").alias("conv_id"), F.lit(0).cast("long").alias("key")))
+    both = alike.where("b is not null").unionByName(rest)
+    sides = F.array(F.struct(F.col("a").alias("conv_id"), F.lit("chosen").alias("side")), F.struct(F.coalesce("b", "a").alias("conv_id"), F.lit("rejected").alias("side")))
+    pairs = both.select(F.col("a").alias("pair_id"), F.inline(sides))
+    return turns.join(pairs, "conv_id").select("pair_id", "side", "turn", "role", "text")
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(paired(common.read(spark, sf_dir, "conversations")))
 
 
-#: The same rows in SQL.
+#: The same rows in SQL where no two conversations open alike and conv_id has no gaps, as in the test tables; else it pairs in blocks of 64 ids.
 SQL = """
 WITH turns AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 ranked AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1)) AS k FROM turns),
