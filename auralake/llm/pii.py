@@ -6,7 +6,7 @@ nothing, ``[at]``, ``(dot)`` or spelled ``at``/``dot`` between address parts to
 runs of spelled digits to digits) turns the text into a normalised one and keeps, for each
 character of it, the source characters it stands for. The same patterns run over the normalised
 text; a span found there goes back through that record, and counts if a rewrite lies inside it and
-no plain span of its kind overlaps it.
+it is not equal to or inside a plain span of its kind. It may overlap one, which a disguise has cut.
 """
 
 from __future__ import annotations
@@ -65,17 +65,19 @@ _JOINTS = frozenset("@ dot punkt point punto arroba arobase".split())
 _DOT_ONLY = re.compile(_DOT, re.I)
 _WORD_DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
 #: Seven digits in a row of which some are spelled; a plus may be spelled too.
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s+|\+\s*)?(?:{_WORD_DIGIT}|[0-9])(?!\w))(?:[\s,.()-]{{1,3}}(?:{_WORD_DIGIT}|[0-9]+)(?!\w)){{3,}}", re.I)
-_DIGIT_TOKENS = re.compile(b"[\1\2]{4}")
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s+|\+\s*)?(?:{_WORD_DIGIT}|[0-9]+)(?!\w))(?:[\s,.()-]{{1,3}}(?:{_WORD_DIGIT}|[0-9]+)(?!\w))+", re.I)
+_DIGIT_TOKENS = re.compile(b"[\1\2]{2}")
 _IS_SPELLED = frozenset([*SPELLED, "plus"]).__contains__
 _SPELLED_WORD = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT}|plus)(?!\w)", re.I)
+#: Digits that are everyday words: one of them alone beside a plain number is no part of it.
+_EVERYDAY = frozenset(["one", "oh", "null", "un", "uno"])
 #: A plain word "at" before a domain, which counts after a name with a digit or sign in it.
 _AT_DOMAIN = re.compile(r" at [A-Za-z0-9-]+\.[A-Za-z]", re.I)
 _NAMED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9._+-])")
 _DOT_WORD = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 _GROUP = rf"(?:[0-9]{{1,3}}|(?:{_WORD_DIGIT})(?:[\s-]+(?:{_WORD_DIGIT})){{0,2}})"
-#: Four groups of digits, written or spelled, with disguised dots between them.
-_DISGUISED_IP = re.compile(rf"(?<![\w.]){_GROUP}(?:{_DOT_WORD}{_GROUP}){{3}}(?!\w)", re.I)
+#: Four groups of digits, written or spelled, with dots between them, disguised or plain.
+_DISGUISED_IP = re.compile(rf"(?<![\w.]){_GROUP}(?:(?:{_DOT_WORD}|\.){_GROUP}){{3}}(?!\w)", re.I)
 _IP_TOKEN = re.compile(rf"({_DOT_WORD})|(?<!\w)({_WORD_DIGIT})(?!\w)", re.I)
 _GAP = re.compile(r"[\s,.()-]+")
 
@@ -116,14 +118,14 @@ def _odd(text: str) -> bool:
 
 
 def _hints(text: str) -> tuple[bool, bool]:
-    """Whether the text may hold a disguised address, and whether it may hold four digit words in a row."""
+    """Whether the text may hold a disguised address, and whether it may hold two digit words in a row."""
     lower = text.lower()
     words = lower.split()
     address = not _JOINTS.isdisjoint(words) or (" at " in lower and _AT_DOMAIN.search(text) is not None) or (any(c in text for c in "[({<") and _BRACKETED.search(text) is not None)
     for c in ",.()-+":
         lower = lower.replace(c, " ")
     words = lower.split()
-    if sum(map(_IS_SPELLED, words)) < 2:
+    if not any(map(_IS_SPELLED, words)):
         return address, False
     return address, _DIGIT_TOKENS.search(bytes([1 if _IS_SPELLED(w) else 2 * w.isdigit() for w in words])) is not None
 
@@ -142,7 +144,7 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
         for m in _DISGUISED_IP.finditer(text):
             at = None
             for t in _IP_TOKEN.finditer(text, m.start(), m.end()):
-                if at is not None and t[2] and at < t.start():
+                if at is not None and t[2] and at < t.start() and "." not in text[at : t.start()]:
                     out.append((at, t.start(), ""))
                 out.append((*t.span(), "." if t[1] else SPELLED[t[2].lower()]))
                 at = t.end() if t[2] else None
@@ -215,7 +217,10 @@ def disguised(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, i
     found = []
     for start, end, kind in plain(normal.text):
         left, right, rewritten = normal.span(start, end)
-        if rewritten and not any(k == kind and a < right and left < b for a, b, k in known):
+        mine = [(a, b) for a, b, k in known if k == kind]
+        if not rewritten or any(a <= left and right <= b for a, b in mine):
+            continue
+        if not any(left <= a and b <= right and (text[left:a] + text[b:right]).strip(" \t\n,.()-").lower() in _EVERYDAY for a, b in mine):
             found.append((left, right, kind))
     return found
 

@@ -79,6 +79,28 @@ def test_disguised_personal_data(text, kind, shown):
     assert not base and [(k, text[a:b]) for a, b, k in more] == [(kind, shown)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "shown"),
+    [
+        ("jоhn@example.com", "email", "jоhn@example.com"),
+        ("john@example.cоm", "email", "john@example.cоm"),
+        ("call +1 555 123 456７ ok", "phone", "+1 555 123 456７"),
+        ("host 192.168.1[.]20 is up", "ip", "192.168.1[.]20"),
+        ("call +49 151 55 one 34 5678 ok", "phone", "+49 151 55 one 34 5678"),
+        ("call +4915155 one 2345678 ok", "phone", "+4915155 one 2345678"),
+    ],
+)
+def test_disguised_data_with_plain_remainders(text, kind, shown):
+    base, more = pii.spans(text)
+    assert (kind, shown) in [(k, text[a:b]) for a, b, k in more]
+    assert pii.masked(text) == text.replace(shown, f"<{kind}>")
+
+
+def test_an_everyday_word_beside_a_number_stays():
+    assert pii.masked("appelle +1 (848) 555-1373 Un an") == "appelle <phone> Un an"
+    assert pii.masked("call +1 848 555 137 seven") == "call <phone>"
+
+
 @pytest.mark.parametrize("text", ["meet me at google.com today", "look at point blank dot matrix", "one two three", "un deux trois dans la rue"])
 def test_clean_text_has_no_personal_data(text):
     assert pii.spans(text) == ([], [])
@@ -93,6 +115,22 @@ def test_preference_pairs(spark):
     assert [row.chosen[m.start : m.end] for m in row.chosen_mask] == ["fine\n"] and row.rejected_mask == []
 
 
+def test_every_conversation_is_paired(spark):
+    """A third open alike, far apart; ids have gaps; one of an odd number is left."""
+    rng = random.Random(12)
+    opening = {i: "common" if rng.random() < 0.33 else f"own {i}" for i in rng.sample(range(5000), 301)}
+    turns = spark.createDataFrame([(i, t, ("user", "assistant")[t], (o, f"answer {i}")[t]) for i, o in opening.items() for t in (0, 1)], "conv_id long, turn long, role string, text string")
+    sides: dict[tuple, set] = {}
+    for r in chat.paired(turns.repartition(7)).where("turn = 1").collect():
+        sides.setdefault((r.pair_id, r.side), set()).add(int(r.text.split()[1]))
+    assert all(len(own) == 1 for own in sides.values())
+    got = {p: (min(sides[p, "chosen"]), min(sides[p, "rejected"])) for p, _ in sides}
+    like = sorted(i for i, o in opening.items() if o == "common")
+    left = sorted([i for i, o in opening.items() if o != "common"] + like[len(like) // 2 * 2 :])
+    want = [*zip(like[::2], like[1::2], strict=False), *zip(left[::2], left[1::2], strict=False), (left[-1], left[-1])]
+    assert sorted(got.values()) == sorted(want) and all(p == a for p, (a, _) in got.items())
+
+
 def test_packing():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 4097, 3000)
