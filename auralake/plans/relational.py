@@ -205,7 +205,7 @@ def range_band_join(spark, d):
 
 
 @query(
-    "J14 J16",
+    "J14",
     """WITH g AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT * FROM g WHERE vec_id % 5 = 0),
 r AS (SELECT q.vec_id, arg_min(s.vec_id, ((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y), s.vec_id)) AS nearest, min((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y)) AS d2 FROM g q JOIN s ON q.label = s.label GROUP BY 1)
 SELECT vec_id, nearest, round(sqrt(d2), 6) AS distance FROM r""",
@@ -391,7 +391,7 @@ def done_success(spark, d):
 
 
 @query(
-    "X16 X18 X19 X29 X31",
+    "X16 X18 X19 X31",
     """SELECT n_nationkey, d AS direction, CASE d WHEN 'left' THEN 45 ELSE -45 END AS yaw, true AS valid, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS total_bytes, printf('%.4f', n_nationkey / 7.0) AS shown FROM nation, (SELECT unnest(['left', 'right']) AS d)""",
 )
 def plan_extras(spark, d):

@@ -115,7 +115,7 @@ def mono_gain(spark, d):
     return rows.select("vec_id", mixed.alias("mono"), F.round(F.least(F.greatest(F.col("l")[0] * 20, F.lit(0.0)), F.lit(10.0)) / 10, 6).alias("depth"))
 
 
-@query("M7 M8 M11 M12")
+@query("M7 M12")
 def spectrogram(spark, d):
     """A second of sound at 16 kHz for each vector: its left half tiled as source, its right half as room response."""
 
@@ -175,7 +175,7 @@ def _edges(spark, d):
 _EDGES = "o AS (SELECT CAST(s_nationkey AS BIGINT) AS src, s_suppkey * 7 % 40 AS dst FROM supplier WHERE s_nationkey <> s_suppkey * 7 % 40), e AS (SELECT src, dst FROM o UNION SELECT dst, src FROM o)"
 
 
-@query("GR1 GR2 GR8", f"""WITH RECURSIVE {_EDGES}, b(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, hops + 1 FROM b JOIN e ON b.node = e.src WHERE hops < 45) SELECT node, min(hops) AS hops, min(hops) * 0.5 AS metres FROM b GROUP BY node""")
+@query("GR1 GR2", f"""WITH RECURSIVE {_EDGES}, b(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, hops + 1 FROM b JOIN e ON b.node = e.src WHERE hops < 45) SELECT node, min(hops) AS hops, min(hops) * 0.5 AS metres FROM b GROUP BY node""")
 def graph_bfs(spark, d):
     start = spark.createDataFrame([(0,)], "node long")
     return distances(_edges(spark, d), start).select("node", "hops", (F.col("hops") * 0.5).alias("metres"))
