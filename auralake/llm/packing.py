@@ -94,7 +94,10 @@ def best_fit(documents: DataFrame, capacities: Sequence[int] = CAPACITIES) -> Da
 
 
 def packed_texts(documents: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """``best_fit`` with the ``text`` of each piece, from its first word up to the next piece's first word."""
+    """``best_fit`` with the ``text`` of each piece, from its first word up to the next piece's first word.
+
+    Rows are told apart by a key of their own, so doc_id may be null or repeated.
+    """
 
     @F.arrow_udf("string")
     def part(texts: pa.Array, starts: pa.Array, tokens: pa.Array) -> pa.Array:
@@ -106,10 +109,11 @@ def packed_texts(documents: DataFrame, capacities: Sequence[int] = CAPACITIES) -
             out.append(words.data[begin:end].tobytes().decode())
         return pa.array(out, pa.string())
 
-    placed = best_fit(documents, capacities)
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = common.cut(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row")))
+    placed = best_fit(texts.select(F.col("_row").alias("doc_id"), "text"), capacities).withColumnRenamed("doc_id", "_row")
     whole = (F.col("start_word") == 0) & (F.col("n_tokens") < max(capacities))
-    return placed.join(texts, "doc_id").withColumn("text", F.when(whole, F.col("text")).otherwise(part("text", "start_word", "n_tokens")))
+    packed = placed.join(texts, "_row").withColumn("text", F.when(whole, F.col("text")).otherwise(part("text", "start_word", "n_tokens")))
+    return packed.select("doc_id", *[c for c in placed.columns if c != "_row"], "text")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

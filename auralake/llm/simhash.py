@@ -57,14 +57,14 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, print): the fingerprint of each row as a signed long."""
+def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, print): the fingerprint of each row as a signed long; then the columns ``more``."""
 
     @F.arrow_udf("long")
     def prints(column: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x.as_py()) for x in column], np.uint64).view(np.int64))
 
-    return documents.select("doc_id", prints(F.col("text")).alias("print"))
+    return documents.select("doc_id", prints(F.col("text")).alias("print"), *more)
 
 
 def ranges(count: int) -> int:
@@ -156,6 +156,12 @@ def links(prints: DataFrame) -> DataFrame:
     return usual.unionByName(across).unionByName(inside)
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """``prints`` (print, ...), without repeated prints, with the ``root`` of each one's group."""
+    linked = common.cut(components(links(prints.select("print"))))
+    return prints.join(linked.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, print, component_id) for each row of ``documents``.
 
@@ -164,16 +170,19 @@ def groups(documents: DataFrame) -> DataFrame:
     """
     own = common.cut(fingerprints(documents.select("doc_id", "text")))
     prints = common.cut(own.groupBy("print").agg(F.min("doc_id").alias("least")))
-    linked = common.cut(components(links(prints.select("print"))))
-    rooted = prints.join(linked.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    rooted = _rooted(prints)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
     return own.join(named, "print").select("doc_id", "print", "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is the least of its group."""
-    first = groups(documents).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return documents.join(first, "doc_id", "left_semi").select(*documents.columns)
+    """One row of each group of ``documents``: that of the least doc_id, null ids last; of rows with that id the first."""
+    rows = common.cut(documents.withColumn("_row", F.monotonically_increasing_id()))
+    own = fingerprints(rows.select("doc_id", "text", "_row"), "_row")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    prints = common.cut(own.groupBy("print").agg(F.min(place).alias("first")))
+    first = _rooted(prints).groupBy("root").agg(F.min("first").alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").select(*documents.columns)
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,17 @@ def test_stages_keep_the_columns(spark, awkward, nothing, stage):
         assert out.count() <= frame.count()
 
 
+def test_rows_with_null_or_repeated_ids(spark):
+    text = lambda name, n=80: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (6, text("c")), (6, text("c")), (6, text("d", 5000)), (7, text("c")), (8, text("b"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(frame).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[3], rows[5], rows[7]], key=str)
+    packed = packing.packed_texts(frame).collect()
+    assert sorted(r.text for r in packed if r.piece == 0 and r.doc_id is None) == [rows[0][1], rows[1][1], rows[2][1]]
+    assert len(packed) == 9 and "".join(r.text for r in sorted(packed, key=lambda r: r.piece) if r.text.startswith("d")) == rows[5][1]
+
+
 def test_chat_with_nulls(spark):
     turns = spark.createDataFrame([(0, "chosen", 0, None, None), (0, "rejected", 0, None, None), (1, "chosen", 0, "user", "q"), (None, "chosen", 0, "user", "q")], "pair_id long, side string, turn long, role string, text string")
     assert [(r.pair_id, r.part) for r in chat.segments(turns).collect()] == [(0, "prompt")]
