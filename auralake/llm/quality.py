@@ -4,8 +4,14 @@ Each ratio of a document falls into a logarithmic bucket (bucket ``b`` holds val
 ``GAMMA**b``, so a quantile read off the buckets is within 1 % of the value). A sketch is the table
 of bucket counts; sketches merge by adding counts, in any order, and give the same answer however
 the rows are dealt. The sketches of (lang, source), of lang, and of everything come from one
-aggregation: the coarser ones are merged from the finer ones. A group with fewer than ``MIN_GROUP``
-documents uses its language's sketch, and a small language uses that of the corpus.
+aggregation: the coarser ones are merged from the finer ones. They hold the documents that pass the
+base rules, so that junk does not widen its own bounds.
+
+A ratio's bound lies beyond a high quantile of its group, by a multiple of that quantile's distance
+from the median; only where a group hardly varies does a small least distance from the median count.
+A group's bound is drawn towards that of its language, as if ``PRIOR`` more documents had the
+language's, and a language's towards that of the corpus in the same way: small groups follow their
+parents, large ones themselves, with no switch between.
 """
 
 from __future__ import annotations
@@ -26,11 +32,11 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Values up to this count as zero and share one bucket.
 TINY = 1e-6
 ZERO_BUCKET = -10_000
-MIN_GROUP = 100
-#: Thresholds: median plus REACH times the distance to the UPPER quantile (or the LOWER one), at least a SPREAD.
-UPPER, LOWER, REACH = 0.75, 0.25, 4.0
-#: Ratio -> the least distance of its bound from the median, and whether it also has a lower bound.
-RATIOS = {"symbol_ratio": (0.1, False), "dup_line_ratio": (0.35, False), "repeat_ratio": (0.3, False), "word_length": (3.0, True)}
+#: Documents that a parent's bound weighs in the bound of a group.
+PRIOR = 100
+#: Ratio -> the share of its upper quantile (the lower one is as far from the other end), how many times that quantile's
+#: distance from the median the bound lies beyond it, the bound's least distance from the median, and whether there is a lower bound.
+RATIOS = {"symbol_ratio": (0.9, 4.0, 0.02, False), "dup_line_ratio": (0.95, 8.0, 0.15, False), "repeat_ratio": (0.95, 4.0, 0.05, False), "word_length": (0.9, 4.0, 0.25, True)}
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Threshold rows that are sent to all executors at most; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -117,34 +123,44 @@ def merged(fine: DataFrame) -> DataFrame:
     return fine.groupingSets([["lang", "source", "ratio", "bucket"], ["lang", "ratio", "bucket"], ["ratio", "bucket"]], "lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _of_ratio(at: int) -> Column:
+    """One of the numbers in ``RATIOS``, by the column ``ratio``."""
+    return F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[at])])[F.col("ratio")]
+
+
 def quantiles(sketch: DataFrame) -> DataFrame:
-    """(lang, source, ratio, total, low, median, high): the first bucket bound that covers each share."""
+    """(lang, source, ratio, total, low, median, high): the first bucket bound that covers each share of the ratio."""
     group = Window.partitionBy("lang", "source", "ratio")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.col("bucket") == ZERO_BUCKET, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")))
     at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("value")))
-    return sketch.select("lang", "source", "ratio", value.alias("value"), F.sum("n").over(group).alias("total"), F.sum("n").over(upto).alias("upto")).groupBy("lang", "source", "ratio").agg(F.max("total").alias("total"), at(LOWER).alias("low"), at(0.5).alias("median"), at(UPPER).alias("high"))
+    placed = sketch.select("lang", "source", "ratio", value.alias("value"), F.sum("n").over(group).alias("total"), F.sum("n").over(upto).alias("upto"))
+    return placed.groupBy("lang", "source", "ratio").agg(F.max("total").alias("total"), at(1 - _of_ratio(0)).alias("low"), at(F.lit(0.5)).alias("median"), at(_of_ratio(0)).alias("high"))
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+BOUNDS = [*(f"max_{k}" for k in RATIOS), *(f"min_{k}" for k, v in RATIOS.items() if v[3])]
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """One row per (lang, source): ``max_<ratio>`` for each ratio, and ``min_word_length``."""
-    found = quantiles(sketches(measured))
-    spread = F.create_map(*[x for k, (least, _) in RATIOS.items() for x in (F.lit(k), F.lit(least))])
+    """One row per (lang, source) that has a document of which the base rules hold: the columns ``BOUNDS``."""
+    found = quantiles(sketches(measured.where(~_base_failed())))
     bounds = found.select(
         "lang", "source", "ratio", "total",
-        (F.col("median") + F.greatest(REACH * (F.col("high") - F.col("median")), spread[F.col("ratio")])).alias("most"),
-        (F.col("median") - F.greatest(REACH * (F.col("median") - F.col("low")), spread[F.col("ratio")])).alias("least"),
+        F.greatest(F.col("high") + _of_ratio(1) * (F.col("high") - F.col("median")), F.col("median") + _of_ratio(2)).alias("max"),
+        F.least(F.col("low") - _of_ratio(1) * (F.col("median") - F.col("low")), F.col("median") - _of_ratio(2)).alias("min"),
     )
-    wide = bounds.groupBy("lang", "source").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("ratio") == k, F.col("most"))).alias(f"max_{k}") for k in RATIOS], F.max(F.when(F.col("ratio") == "word_length", F.col("least"))).alias("min_word_length"))
-    names = [*(f"max_{k}" for k in RATIOS), "min_word_length"]
-    level = lambda rows, tag: rows.select(*[c for c in ("lang",) if tag == "lang"], F.col("total").alias(f"total_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in names])
-    fine = wide.where(F.col("source").isNotNull())
-    by_lang = level(wide.where(F.col("source").isNull() & F.col("lang").isNotNull()), "lang")
-    whole = level(wide.where(F.col("lang").isNull()), "all")
-    pick = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(c)).when(F.col("total_lang") >= MIN_GROUP, F.col(f"{c}_lang")).otherwise(F.col(f"{c}_all"))
-    # The corpus is one row, so its side can always be sent; a key that no rule folds keeps this an equi-join.
-    shared = lambda c: F.substring(F.col(c).cast("string"), 1, 0).alias("_one")
-    return fine.join(by_lang, "lang").select("*", shared("total")).join(F.broadcast(whole.select("*", shared("total_all"))), "_one").select("lang", "source", *[pick(c).alias(c) for c in names])
+    one = lambda name: F.max(F.when(F.col("ratio") == name[4:], F.col(name[:3]))).alias(name)
+    wide = common.cut(bounds.groupBy("lang", "source").agg(F.max("total").alias("total"), *map(one, BOUNDS)))
+    corpus = wide.where(F.col("lang").isNull()).first()  # a row of a few numbers
+    if corpus is None:
+        return wide.select("lang", "source", *BOUNDS)
+    drawn = lambda own, total, parent: (total * own + PRIOR * parent) / (total + PRIOR)
+    langs = wide.where(F.col("source").isNull() & F.col("lang").isNotNull()).select("lang", *[drawn(F.col(c), F.col("total"), F.lit(corpus[c])).alias(f"{c}_lang") for c in BOUNDS])
+    return wide.where(F.col("source").isNotNull()).join(langs, "lang").select("lang", "source", *[drawn(F.col(c), F.col("total"), F.col(f"{c}_lang")).alias(c) for c in BOUNDS])
 
 
 def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -156,13 +172,12 @@ def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     few = bounds.count() <= BROADCAST_ROWS
     side = bounds.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = (F.coalesce(measured["lang"], F.lit("")) == side["_lang"]) & (F.coalesce(measured["source"], F.lit("")) == side["_source"])
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     over = F.lit(False)
     for k, v in _ratios().items():
         over = over | (v > F.col(f"max_{k}"))
-    over = over | (_ratios()["word_length"] < F.col("min_word_length"))
-    own = [*(f"max_{k}" for k in RATIOS), "min_word_length"]
-    return measured.join(F.broadcast(side) if few else side, on, "left").withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce(over, F.lit(False))).drop("_lang", "_source", *own)
+        if RATIOS[k][3]:
+            over = over | (v < F.col(f"min_{k}"))
+    return measured.join(F.broadcast(side) if few else side, on, "left").withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False))).drop("_lang", "_source", *BOUNDS)
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -170,14 +185,18 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
     Null or empty text: no words, so ``base_failed``. Null lang or source: the group ``''``. Repeated
     rows each get a row. An empty table gives an empty result. Other columns are left out, whatever
-    their names. Counts are kept in the checkpoint folder, so texts are read once.
+    their names. A text is worked on whole: counting it takes about 40 times its bytes. Counts are kept in the checkpoint folder, so texts are read once.
     """
     measured = common.cut(counted(documents.select("doc_id", "lang", "source", "text")).drop("text"))
     return judged(measured, common.cut(thresholds(measured)))
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that ``quality_rules`` keeps, with their columns as they are."""
+    """The rows of ``documents`` that ``quality_rules`` keeps, with their columns as they are, whatever their names.
+
+    Null and empty texts go (they fail the base rules); a repeated row stays or goes with its equal;
+    an empty table stays empty. A text is worked on whole: counting it takes about 40 times its bytes.
+    """
     plain = documents.select("doc_id", "lang", "source", "text")
     bounds = common.cut(thresholds(counted(plain).drop("text")))
     own = documents.columns
@@ -191,13 +210,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     """The rows of ``op1_quality_rules`` in DuckDB's SQL."""
-    names = list(RATIOS)
     space = r"[\x20\x09-\x0D]"
     ratio = {"symbol_ratio": "n_symbols / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
-    spread = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in RATIOS.items())
-    wide = ", ".join(f"max(CASE WHEN ratio = '{k}' THEN most END) AS max_{k}" for k in names)
-    picked = ", ".join(f"CASE WHEN f.total >= {MIN_GROUP} THEN f.{c} WHEN l.total >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in [*(f"max_{k}" for k in names), "min_word_length"])
-    over = " OR ".join(f"coalesce({ratio[k]} > max_{k}, false)" for k in names)
+    of = lambda at: "CASE ratio " + " ".join(f"WHEN '{k}' THEN CAST({v[at]!r} AS DOUBLE)" for k, v in RATIOS.items()) + " END"
+    wide = ", ".join(f"max(CASE WHEN ratio = '{c[4:]}' THEN {'most' if c[:3] == 'max' else 'least'} END) AS {c}" for c in BOUNDS)
+    drawn = lambda own, total, parent: f"({total} * {own} + {PRIOR} * {parent}) / ({total} + {PRIOR})"
+    langs = ", ".join(f"{drawn('l.' + c, 'l.total', 'a.' + c)} AS {c}" for c in BOUNDS)
+    groups = ", ".join(f"{drawn('f.' + c, 'f.total', 'k.' + c)} AS {c}" for c in BOUNDS)
+    over = " OR ".join([*(f"coalesce({ratio[k]} > max_{k}, false)" for k in RATIOS), *(f"coalesce({ratio[k]} < min_{k}, false)" for k, v in RATIOS.items() if v[3])])
+    base = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{space}+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
@@ -206,14 +227,15 @@ twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, k) AS
 rep AS (SELECT id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY id),
 c AS (SELECT w.id, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN rep ON rep.id = w.id),
-r AS ({" UNION ALL ".join(f"SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, '{k}' AS ratio, {v} AS x FROM c" for k, v in ratio.items())}),
+r AS ({" UNION ALL ".join(f"SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, '{k}' AS ratio, {v} AS x FROM c WHERE NOT ({base})" for k, v in ratio.items())}),
 b AS (SELECT lang, source, ratio, CASE WHEN x <= {TINY} THEN {ZERO_BUCKET} ELSE CAST(ceil(ln(x) / {math.log(GAMMA)!r}) AS INTEGER) END AS bucket FROM r),
 s AS (SELECT lang, source, ratio, bucket, count(*) AS n, grouping(lang) AS gl, grouping(source) AS gs FROM b GROUP BY GROUPING SETS ((lang, source, ratio, bucket), (lang, ratio, bucket), (ratio, bucket))),
-u AS (SELECT gl, gs, lang, source, ratio, CASE WHEN bucket = {ZERO_BUCKET} THEN 0.0 ELSE pow({GAMMA!r}, bucket) END AS x, sum(n) OVER (PARTITION BY gl, gs, lang, source, ratio) AS total, sum(n) OVER (PARTITION BY gl, gs, lang, source, ratio ORDER BY bucket) AS upto FROM s),
-q AS (SELECT gl, gs, lang, source, ratio, max(total) AS total, min(CASE WHEN upto >= {LOWER} * total THEN x END) AS low, min(CASE WHEN upto >= 0.5 * total THEN x END) AS median, min(CASE WHEN upto >= {UPPER} * total THEN x END) AS high FROM u GROUP BY ALL),
-t AS (SELECT *, median + greatest({REACH} * (high - median), CASE ratio {spread} END) AS most, median - greatest({REACH} * (median - low), CASE ratio {spread} END) AS least FROM q),
-g AS (SELECT gl, gs, lang, source, max(total) AS total, {wide}, max(CASE WHEN ratio = 'word_length' THEN least END) AS min_word_length FROM t GROUP BY ALL),
-p AS (SELECT f.lang, f.source, {picked} FROM (SELECT * FROM g WHERE gs = 0) f JOIN (SELECT * FROM g WHERE gs = 1 AND gl = 0) l ON l.lang = f.lang CROSS JOIN (SELECT * FROM g WHERE gl = 1) a),
-v AS (SELECT c.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {over} OR coalesce({ratio["word_length"]} < min_word_length, false) AS odd FROM c LEFT JOIN p ON p.lang = coalesce(c.lang, '') AND p.source = coalesce(c.source, ''))
+u AS (SELECT gl, gs, lang, source, ratio, {of(0)} AS share, CASE WHEN bucket = {ZERO_BUCKET} THEN 0.0 ELSE pow({GAMMA!r}, bucket) END AS x, sum(n) OVER (PARTITION BY gl, gs, lang, source, ratio) AS total, sum(n) OVER (PARTITION BY gl, gs, lang, source, ratio ORDER BY bucket) AS upto FROM s),
+q AS (SELECT gl, gs, lang, source, ratio, max(total) AS total, min(CASE WHEN upto >= (1 - share) * total THEN x END) AS low, min(CASE WHEN upto >= 0.5::DOUBLE * total THEN x END) AS median, min(CASE WHEN upto >= share * total THEN x END) AS high FROM u GROUP BY ALL),
+t AS (SELECT *, greatest(high + {of(1)} * (high - median), median + {of(2)}) AS most, least(low - {of(1)} * (median - low), median - {of(2)}) AS least FROM q),
+g AS (SELECT gl, gs, lang, source, CAST(max(total) AS DOUBLE) AS total, {wide} FROM t GROUP BY ALL),
+k AS (SELECT l.lang, {langs} FROM (SELECT * FROM g WHERE gs = 1 AND gl = 0) l, (SELECT * FROM g WHERE gl = 1) a),
+p AS (SELECT f.lang, f.source, {groups} FROM (SELECT * FROM g WHERE gs = 0) f JOIN k ON k.lang = f.lang),
+v AS (SELECT c.*, {base} AS base_failed, {over} AS odd FROM c LEFT JOIN p ON p.lang = coalesce(c.lang, '') AND p.source = coalesce(c.source, ''))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT odd AS kept, lang, source FROM v
 """
