@@ -8,6 +8,7 @@ fingerprints (two different words of a corpus of V words share one with probabil
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,10 +47,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests, a laptop)."""
+    """The checkpoint folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and Spark runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auralake-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auralake-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -60,6 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a table of compressed columns: for loops, whose plans would else gather what Spark knows of earlier rounds."""
+    place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in runs of at most ``most`` bytes of text, or of one row."""
     for batch in batches:

@@ -1,39 +1,48 @@
 """Operator 5: a probabilistic suffix tree over words, and the score of each document under it.
 
-The symbols are lower-cased words and an end symbol for each document. The tree's states are the
-empty context, words, and pairs of words. A context of probability ``P_CONTEXT`` or more (at most
-``1 / P_CONTEXT`` of each length) is kept if its next-symbol distribution diverges from that of its
-suffix: twice its count times the Kullback-Leibler divergence is held against what chance gives. A
-kept state lists the next symbols that follow it with a joint probability of ``P_ENTRY`` or more
-(at most ``1 / P_ENTRY`` of each length), discounted; what that leaves of its probability goes to the
-distribution of its suffix, and at the root to symbols never seen. A document is scored by the
-longest state that ends its history, symbol by symbol.
-
-So the tree has a proven bound, in shares of the corpus and not in its size, and goes to all
-executors; the counts it is made of cover all training text. The count of every symbol, which has
-no bound, stays a table: rare symbols are joined to it. Words are known by 64-bit fingerprints.
+The symbols are lower-cased words and an end symbol for each document. A state of the tree is a
+context: the last symbols of a history. The tree grows level by level. A context of one symbol is
+tried if it occurs ``CONTEXT`` times; a longer one if it does too and both the context without its
+last symbol and the one without its first are in the tree. What follows the tried contexts
+is counted over all training text, and a context stays if its next-symbol counts diverge from those
+of its suffix: twice its count times the Kullback-Leibler divergence is held against what chance
+gives. No length is set in advance: growth ends where nothing more diverges.
+
+A state lists the symbols that follow it ``LISTED`` times or more, discounted; what that leaves of
+its probability goes to the distribution of its suffix. At the root, the discount goes to symbols
+never seen, in equal shares for as many of them as Chao's estimate expects. A document is scored by
+the longest state that ends its history, symbol by symbol.
+
+As every suffix of a state is a state, and lists what the state lists, the logarithm of a symbol's
+probability is a sum over all runs of symbols that end at it or before it: a run has a weight if it
+is a state (what goes to the suffix) or a listed symbol after its state (what listing it adds). So
+the model is a table of runs with weights, of any size, and a document's score is a join with it.
+Weights of runs that make up at least a share of ``FREQUENT`` of the training symbols, at most
+``1 / FREQUENT`` of each length, go to all executors; the others are joined. Bit maps of a fixed size
+keep runs that are surely not in the model out of the shuffles; what they let through by chance
+meets no weight. Words are known by 64-bit fingerprints, runs by Spark's hash of head and tail.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-P_CONTEXT, P_ENTRY = 1e-4, 1e-6
-#: A listed next symbol has been seen twice at least; DISCOUNT is what each listed count gives up.
-LEAST_COUNT, DISCOUNT = 2, 0.75
+#: Occurrences that make a context worth trying; those that make a next symbol listed, and what each listed count gives up.
+CONTEXT, LISTED, DISCOUNT = 50, 3, 0.75
 #: Standard deviations that the test statistic must lie above its mean under chance.
 SIGMAS = 4.0
+FREQUENT = 1e-6
 END = np.uint64(0x656E64)
 #: Different symbols or pairs that a task counts before it hands them on.
 HELD = 3_000_000
+MAP_BITS = 26
 
 
 class Index:
@@ -76,6 +85,42 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def run_of(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The hash of a run from those of the run without its last and without its first symbol: Spark's ``xxhash64`` of the two."""
+    # The primes of XXH64.
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, by: x << np.uint64(by) | x >> np.uint64(64 - by)
+    out = np.full(len(head), 42, np.uint64)
+    for part in (head, tail):
+        out = (out + p5 + np.uint64(8)) ^ turned(part * p2, 31) * p1
+        out = turned(out, 27) * p1 + p4
+        out = (out ^ out >> np.uint64(33)) * p2
+        out = (out ^ out >> np.uint64(29)) * p3
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def longer(runs: np.ndarray) -> np.ndarray:
+    """Runs of one more symbol, by their last place; the first place has none (its value means nothing)."""
+    out = runs.copy()
+    out[1:] = run_of(runs[:-1], runs[1:])
+    return out
+
+
+class BitMap:
+    """Which of ``2**MAP_BITS`` residues the runs of a table have: a run that is not ``in`` it is not in the table."""
+
+    def __init__(self, runs: DataFrame, column: str):
+        low = F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+        words = runs.select(F.shiftright(low, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2**(MAP_BITS - 6) rows at most
+        self.words = np.zeros(1 << MAP_BITS - 6, np.uint64)
+        self.words[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+
+    def has(self, runs: np.ndarray) -> np.ndarray:
+        low = runs & np.uint64((1 << MAP_BITS) - 1)
+        return (self.words[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 _COUNTED = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
 
@@ -105,188 +150,160 @@ def counts(texts: DataFrame, keys: Callable[[pa.Array], np.ndarray]) -> DataFram
     return texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Tree:
-    """The root's common symbols, and for each depth the kept states and what follows them."""
-
-    total: int  # symbols in training
-    different: int
-    discount: float  # what each count at the root gives up to unseen symbols
-    common: np.ndarray  # fingerprints of symbols that are listed at the root, most frequent first
-    count: np.ndarray
-    n_contexts: int  # so many of them, from the first, are contexts of length one
-    pairs: np.ndarray  # codes of contexts of length two
-    states: list[dict[str, np.ndarray]]  # for lengths 1 and 2: log10 of what goes to the suffix (nan: not kept), entries' codes and shares
-
-    def root(self, n: np.ndarray) -> np.ndarray:
-        """Root probabilities of symbols that were counted so often."""
-        return np.where(n > 0, n - self.discount, self.discount * self.different) / self.total
-
-
-def _code(context: np.ndarray, following: np.ndarray) -> np.ndarray:
-    return (context.astype(np.int64) << 32) | following.astype(np.int64)
-
-
-def _histories(tree: Tree, index: Index, pair_index: Index | None, column: pa.Array) -> tuple[np.ndarray, ...]:
-    """For each symbol: its place among the common ones, its contexts of length 1 and 2 (or -1), its fingerprint; and text bounds."""
-    prints, bounds = symbols(column)
-    place = index(prints)
-    one = np.full(len(place), -1, np.int32)
-    one[1:] = np.where(place[:-1] < tree.n_contexts, place[:-1], -1)
-    one[bounds[:-1]] = -1
-    two = np.full(len(place), -1, np.int32)
-    if pair_index is not None and len(tree.pairs):
-        before = one[:-1]
-        able = np.flatnonzero((one[1:] >= 0) & (place[:-1] >= 0) & (before >= 0)) + 1
-        two[able] = pair_index(_code(one[able - 1], place[able - 1]))
-    return place, one, two, prints, bounds
-
-
-def _state(code: np.ndarray, n: np.ndarray, size: np.ndarray, suffix: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
-    """States of one length: ``code`` and ``n`` are what follows, ``size`` the contexts' counts."""
-    order = np.argsort(code)
-    code, n = code[order], n[order].astype(np.float64)
-    context, following = (code >> 32).astype(np.int64), (code & 0xFFFFFFFF).astype(np.int64)
-    lower = suffix(context, following)
-    share = n / size[context]
-    k = np.bincount(context, minlength=len(size))
-    rest = np.clip(1 - np.bincount(context, share, len(size)), 1e-12, 1)
-    rest_lower = np.clip(1 - np.bincount(context, lower, len(size)), 1e-12, 1)
-    divergence = np.bincount(context, share * np.log(share / lower), len(size)) + rest * np.log(rest / rest_lower)
-    kept = (k > 0) & (2 * size * divergence > k + SIGMAS * np.sqrt(2 * k))
-    given = (n - DISCOUNT) / size[context]
-    passed = 1 - np.bincount(context, given, len(size))
-    mine = kept[context]
-    return {"passed": np.where(kept, np.log10(np.clip(passed, 1e-12, 1)), np.nan), "code": code[mine], "share": given[mine]}
-
-
-def probabilities(tree: Tree, entries: list[Index], place: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol after its history; for symbols that are not common, without the root's factor."""
-    known = place >= 0
-    p = np.where(known, tree.root(tree.count[np.maximum(place, 0)]) if len(tree.count) else 1.0, 1.0)
-    for state, index, context in zip(tree.states, entries, (one, two), strict=True):
-        at = np.flatnonzero(context >= 0)
-        passed = state["passed"][context[at]] if len(state["passed"]) else np.zeros(0)
-        at, passed = at[~np.isnan(passed)], passed[~np.isnan(passed)]
-        p[at] *= 10.0**passed
-        common_at = at[known[at]]
-        found = index(_code(context[common_at], place[common_at]))
-        p[common_at[found >= 0]] += state["share"][found[found >= 0]]
-    return np.log10(p)
-
-
-def learn(training: DataFrame, symbol_counts: DataFrame) -> Tree:
-    """The tree of the texts in ``training`` (text), given the counts (key, n) of their symbols."""
-    spark = training.sparkSession
-    total, different, once, twice = (int(x or 0) for x in symbol_counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") == 1, 1)), F.sum(F.when(F.col("n") == 2, 1))).first())
-    listed = symbol_counts.where(F.col("n") >= max(1.0, P_ENTRY * total)).toArrow()  # at most 1 / P_ENTRY rows, or all of a small corpus
-    key, n = (listed.column(c).to_numpy() for c in ("key", "n"))
-    order = np.lexsort((key, -n))
-    key, n = key[order].view(np.uint64), n[order]
-    able = np.flatnonzero((n >= max(LEAST_COUNT, P_CONTEXT * total)) & (key != END))
-    last = int(able[-1]) + 1 if len(able) else 0
-    empty = {"passed": np.zeros(0), "code": np.zeros(0, np.int64), "share": np.zeros(0)}
-    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))  # inside (0, 1), so that no symbol loses all
-    tree = Tree(total, different, discount, key, n, last, np.zeros(0, np.int64), [empty, empty])
-    if not last:
-        return tree
-    base = tree.root(n)
-    least = max(LEAST_COUNT, P_ENTRY * total)
-
-    def followers(length: int) -> tuple[np.ndarray, np.ndarray]:
-        shared = spark.sparkContext.broadcast(tree)
-
-        def keys(column: pa.Array) -> np.ndarray:
-            model = shared.value
-            index, pair_index = _indexes(model)
-            place, one, two, _, _ = _histories(model, index, pair_index if length == 2 else None, column)
-            context = two if length == 2 else one
-            at = np.flatnonzero((context >= 0) & (place >= 0))
-            return _code(context[at], place[at])
-
-        found = counts(training, keys).where(F.col("n") >= least).toArrow()  # at most 1 / P_ENTRY rows
-        return found.column("key").to_numpy(), found.column("n").to_numpy()
-
-    size = n[:last].astype(np.float64)
-    code, seen = followers(1)
-    tree.states[0] = _state(code, seen, size, lambda c, x: base[x])
-    context, following = code >> 32, code & 0xFFFFFFFF
-    pair = (seen >= max(LEAST_COUNT, P_CONTEXT * total)) & (following < last) & (key[np.minimum(following, len(key) - 1)] != END)
-    tree.pairs = code[pair]
-    if len(tree.pairs):
-        pair_size, tail = seen[pair].astype(np.float64), following[pair]
-        entries = Index(tree.states[0]["code"])
-
-        def after_one(pairs: np.ndarray, x: np.ndarray) -> np.ndarray:
-            one = tail[pairs]
-            passed = np.nan_to_num(tree.states[0]["passed"][one], nan=0.0)
-            found = entries(_code(one, x))
-            return base[x] * 10.0**passed + np.where(found >= 0, tree.states[0]["share"][np.maximum(found, 0)] if len(tree.states[0]["share"]) else 0.0, 0.0)
-
-        code, seen = followers(2)
-        tree.states[1] = _state(code, seen, pair_size, after_one)
-    del context
-    return tree
-
-
-_BUILT: dict[int, tuple[Index, Index]] = {}
-
-
-def _indexes(tree: Tree) -> tuple[Index, Index]:
-    """The indexes of a tree, built once for each worker and tree."""
-    if id(tree) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[id(tree)] = (Index(tree.common), Index(tree.pairs.view(np.uint64)))
-    return _BUILT[id(tree)]
-
-
-_PARTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
-
-
-def scores(documents: DataFrame, held_out) -> DataFrame:
+_FOLLOWED = pa.schema([("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64())])
+
+
+def _followers(training: DataFrame, length: int, tried: DataFrame) -> DataFrame:
+    """(head, tail, n): what follows contexts of this length; those of ``tried`` (context), and a few others by chance of the map."""
+    shared = training.sparkSession.sparkContext.broadcast(BitMap(tried, "context"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            head, tail, n = map(np.concatenate, zip(*held, strict=True))
+            order = np.lexsort((tail, head))
+            head, tail, n = head[order], tail[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])[: len(head)])
+            return head[first], tail[first], np.add.reduceat(n, first) if len(first) else n
+
+        def rows(head: np.ndarray, tail: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(n), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (head.view(np.int64), tail.view(np.int64), n)], schema=_FOLLOWED)
+
+        for piece in common.pieces(batches):
+            runs, bounds = symbols(piece.column("text"))
+            place = np.arange(len(runs)) - np.repeat(bounds[:-1], np.diff(bounds))
+            for _ in range(1, length):
+                runs = longer(runs)
+            at = np.flatnonzero((place[1:] >= length) & shared.value.has(runs[:-1]))
+            held.append((runs[at], runs[at + 1], np.ones(len(at), np.int64)))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [joined()]
+                if len(held[0][0]) > HELD // 2:
+                    yield from rows(*held.pop())
+        if held:
+            yield from rows(*joined())
+
+    found = training.select("text").mapInArrow(count, "head long, tail long, n long").repartition("head", "tail").groupBy("head", "tail").agg(F.sum("n").alias("n"))
+    try:
+        return common.stored(found.where(F.col("n") >= LISTED))
+    finally:
+        shared.unpersist()
+
+
+class Model:
+    """The runs that have weights. ``higher``: (run, n, score) of runs of two symbols or more that are listed, and of all states."""
+
+    def __init__(self, words: DataFrame, context: int = CONTEXT):
+        numbers = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") == 1, 1)), F.sum(F.when(F.col("n") == 2, 1))).first()
+        self.total, self.different, once, twice = (int(x or 0) for x in numbers)
+        self.discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))  # inside (0, 1), so that no symbol loses all
+        expected = max(1.0, once * (once - 1) / (2 * (twice + 1)))
+        self.unseen = self.discount * self.different / self.total / expected if self.total else 1.0
+        self.words, self.context, self.depth = words, context, 0
+        self.higher, self.listed = None, None
+
+    def root(self, n: Column) -> Column:
+        return (n - F.lit(self.discount)) / F.lit(max(1, self.total))
+
+    def learn(self, training: DataFrame) -> Model:
+        """Grows the tree over ``training`` (text)."""
+        tried = self.words.where((F.col("n") >= self.context) & (F.col("key") != int(END))).select(F.col("key").alias("context"), F.col("n").alias("size"))
+        known = self.words.select(F.col("key").alias("run"), self.root(F.col("n")).alias("lower"), (F.col("n") / F.lit(max(1, self.total))).alias("lower_share"))
+        parts = []
+        while not tried.isEmpty():
+            followed = _followers(training, self.depth + 1, tried)
+            entries = followed.join(tried, F.col("head") == F.col("context")).join(known, F.col("run") == F.col("tail")).select("head", "tail", "n", "size", "lower", "lower_share")
+            share = F.col("n") / F.col("size")
+            some = entries.groupBy("head").agg(
+                F.count("*").alias("k"), F.first("size").alias("size"), F.sum(share).alias("shares"), F.sum("lower_share").alias("lowers"), F.sum(share * F.log(share / F.col("lower_share"))).alias("gain"), F.sum((F.col("n") - DISCOUNT) / F.col("size")).alias("given")
+            )
+            rest = lambda c: F.greatest(1 - F.col(c), F.lit(1e-12))
+            divergence = F.col("gain") + rest("shares") * F.log(rest("shares") / rest("lowers"))
+            diverges = 2 * F.col("size") * divergence > F.col("k") + SIGMAS * F.sqrt(2 * F.col("k"))
+            kept = common.stored(some.where(diverges).select(F.col("head").alias("state"), F.col("size").alias("state_n"), rest("given").alias("passed")))
+            if kept.isEmpty():
+                break
+            self.depth += 1
+            p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("passed") * F.col("lower")
+            listed = entries.join(kept, F.col("head") == F.col("state")).select(F.xxhash64("head", "tail").alias("run"), "tail", "n", p.alias("lower"), share.alias("lower_share"), (F.log10(p / F.col("lower")) - F.log10("passed")).alias("score"))
+            listed = common.stored(listed)
+            parts += [listed.select("run", "n", "score"), kept.select(F.col("state").alias("run"), F.col("state_n").alias("n"), F.log10("passed").alias("score"))]
+            # A listed run ends in END only as the last of its document, and then its tail is no state.
+            tried = listed.where(F.col("n") >= self.context).join(kept.select("state"), F.col("tail") == F.col("state"), "left_semi").select(F.col("run").alias("context"), F.col("n").alias("size"))
+            known = listed.select("run", "lower", "lower_share")
+            self.listed = listed.select("run") if self.listed is None else self.listed.unionByName(listed.select("run"))
+        for part in parts:
+            self.higher = part if self.higher is None else self.higher.unionByName(part)
+        return self
+
+    def weights(self) -> DataFrame:
+        """(run, n, score, base, known); a run may have several rows, which add up. Words are over what an unseen word has."""
+        words = self.words.select(F.col("key").alias("run"), "n", (F.log10(self.root(F.col("n"))) - float(np.log10(self.unseen))).alias("score"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).alias("known"))
+        return words if self.higher is None else words.unionByName(self.higher.select("run", "n", "score", F.lit(0.0).alias("base"), F.lit(0).alias("known")))
+
+
+_PARTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+
+
+def scores(documents: DataFrame, held_out: Column, context: int = CONTEXT, frequent: float = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``documents``.
 
-    ``held_out`` is a boolean column over doc_id; the tree learns from the other rows. Null and empty
-    texts are one end symbol. Repeated rows each get a row and each count in training. With no
-    training rows every symbol is unseen. An empty table gives an empty result. Other columns are
-    left out, whatever their names.
+    ``held_out`` is a boolean column over doc_id; the tree learns from the other rows. ``score`` gives
+    a word never seen the share of one such word. Null and empty texts are one end symbol. Repeated
+    rows each get a row and each count in training. With no training rows every symbol is unseen, and
+    the scores are 0. An empty table gives an empty result. Other columns are left out, whatever their
+    names. A text is worked on whole: a task needs about 60 times its bytes.
     """
+    held_out = F.coalesce(held_out, F.lit(False))
     texts = documents.select("doc_id", "text")
     training = texts.where(~held_out)
-    table = common.cut(counts(training, lambda column: symbols(column)[0].view(np.int64)))
-    tree = learn(training, table)
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
-    scale = tree.total + tree.different + 1
+    words = common.stored(counts(training, lambda column: symbols(column)[0].view(np.int64)))
+    model = Model(words, context).learn(training)
+    weights = model.weights()
+    listed = weights.where(F.col("n") >= max(1.0, frequent * model.total)).groupBy("run").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known")).toArrow()  # 1 / frequent rows of each length at most
+    usual = {c: listed.column(c).to_numpy() for c in ("run", "score", "base", "known")}
+    depth = model.depth
+    shared = documents.sparkSession.sparkContext.broadcast((usual, BitMap(model.listed, "run") if depth else None))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        index, pair_index = _indexes(model)
-        entries = [Index(s["code"].view(np.uint64)) for s in model.states]
+        usual, listed = shared.value
+        index = Index(usual["run"].view(np.uint64))
         for piece in common.pieces(batches):
-            place, one, two, prints, bounds = _histories(model, index, pair_index, piece.column("text"))
-            usual = place >= 0
-            base = np.where(usual, np.log10((model.count[np.maximum(place, 0)] + 1) / scale) if len(model.count) else 0.0, 0.0)
-            rare = np.flatnonzero(~usual)
-            per_text = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else x  # noqa: E731  no text is without symbols
-            doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(bounds) - 1))]).astype(np.int32)
+            runs, bounds = symbols(piece.column("text"))
+            size = np.diff(bounds)
+            doc = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(runs)) - np.repeat(bounds[:-1], size)
+            sums = {c: np.zeros(len(size)) for c in ("score", "base", "known")}
+            rare, at = [], np.arange(len(runs))
+            for length in range(1, depth + 2):
+                if length > 1:
+                    runs = longer(runs)
+                    at = at[(place[at] >= length - 1)]
+                    at = at[listed.has(runs[at])]
+                found = index(runs[at])
+                hit = found >= 0
+                for c in sums:
+                    sums[c] += np.bincount(doc[at[hit]], usual[c][found[hit]], len(size)) if len(usual[c]) else 0
+                rare.append((doc[at[~hit]], runs[at[~hit]]))
+            owner, run = map(np.concatenate, zip(*rare, strict=True))
+            run = run[np.argsort(owner, kind="stable")]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(per_text(usual.astype(np.int64))), pa.array(per_text(base)),
-                    pa.array(per_text(probabilities(model, entries, place, one, two))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints[rare].view(np.int64))),
-                ],
+                [piece.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(sums["known"].astype(np.int64)), pa.array(sums["base"]), pa.array(sums["score"]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(run.view(np.int64)))],
                 schema=_PARTS,
             )
 
-    part = common.cut(texts.mapInArrow(parts, "doc_id long, n_tokens long, n_common long, base double, score double, rare array<long>")).withColumn("row", F.monotonically_increasing_id())
-    rare = part.select("row", F.explode("rare").alias("key"))
-    n = F.coalesce("n", F.lit(0))
-    root = F.when(n > 0, n - F.lit(tree.discount)).otherwise(F.lit(tree.discount * max(1, tree.different))) / F.lit(max(1, tree.total))
-    rest = rare.join(table, "key", "left").groupBy("row").agg(F.sum(F.when(n > 0, 1).otherwise(0)).alias("n_rare"), F.sum(F.log10((n + 1) / F.lit(float(scale)))).alias("base_rare"), F.sum(F.log10(root)).alias("score_rare"))
-    none = F.lit(0)
-    return part.drop("rare").join(rest, "row", "left").select(
-        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_common") + F.coalesce("n_rare", none)).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("score_rare", F.lit(0.0))).alias("score"),
+    part = common.stored(texts.mapInArrow(parts, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
+    shared.unpersist()
+    rare = part.select("row", F.explode("rare").alias("run"))
+    rest = rare.join(weights.select("run", "score", "base", "known"), "run").groupBy("row").agg(F.sum("score").alias("more_score"), F.sum("base").alias("more_base"), F.sum("known").alias("more_known"))
+    plus = lambda c, zero: F.col(c) + F.coalesce(f"more_{c}", F.lit(zero))
+    both = part.drop("rare").withColumnRenamed("n_known", "known").join(rest, "row", "left")
+    return both.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", plus("known", 0).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (plus("base", 0.0) - F.col("n_tokens") * float(np.log10(model.total + model.different + 1))).alias("base_score"), (plus("score", 0.0) + F.col("n_tokens") * float(np.log10(model.unseen))).alias("score"),
     )
 
 

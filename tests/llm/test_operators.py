@@ -167,28 +167,80 @@ def test_suffix_tree(spark, texts):
         own = words[r.doc_id]
         assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (total + different + 1)) for w in own))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(seen[w] > 0 for w in own), total)
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_suffix_tree_is_a_distribution_and_learns_contexts(spark):
+def test_contexts_help_on_held_out_documents(spark):
+    """On unseen documents the tree beats both the add-one words and its own root, each unseen word counted by its share."""
+    from pyspark.sql import functions as F
+
+    documents, held = common.read(spark, "/root/testdata/sf0.01", "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    total = lambda c, least: suffixtree.scores(documents, held, context=least).where("held_out").agg(F.sum(c)).first()[0]
+    tree, root, base = total("score", suffixtree.CONTEXT), total("score", 1 << 40), total("base_score", 1 << 40)
+    assert tree > root and tree > base
+
+
+def plain_tree(training, least):
+    """The tree read off dictionaries: what gives log10 P(symbol after a history), the states, and the number of unseen words expected."""
+    seen = Counter(w for d in training for w in d)
+    total, ones, twos = sum(seen.values()), sum(n == 1 for n in seen.values()), sum(n == 2 for n in seen.values())
+    given_up = min(0.9, max(0.1, ones / max(1, ones + 2 * twos)))
+    expected = max(1.0, ones * (ones - 1) / (2 * (twos + 1)))
+    states: dict[tuple, tuple[int, dict, float]] = {}
+    tried = {(w,): n for w, n in seen.items() if n >= least and w is not None}
+    while tried:
+        length = len(next(iter(tried)))
+        after: dict[tuple, Counter] = {c: Counter() for c in tried}
+        for d in training:
+            for i in range(length, len(d)):
+                if tuple(d[i - length : i]) in tried:
+                    after[tuple(d[i - length : i])][d[i]] += 1
+        new = {}
+        for c, size in tried.items():
+            listed = {w: n for w, n in after[c].items() if n >= suffixtree.LISTED}
+            if listed:
+                below = {w: (states[c[1:]][1][w] / states[c[1:]][0] if length > 1 else seen[w] / total) for w in listed}
+                rest, below_rest = max(1e-12, 1 - sum(listed.values()) / size), max(1e-12, 1 - sum(below.values()))
+                gain = sum(n / size * math.log(n / size / below[w]) for w, n in listed.items()) + rest * math.log(rest / below_rest)
+                if 2 * size * gain > len(listed) + suffixtree.SIGMAS * math.sqrt(2 * len(listed)):
+                    new[c] = (size, listed, 1 - sum(n - suffixtree.DISCOUNT for n in listed.values()) / size)
+        states |= new
+        tried = {(*c, w): n for c, (_, listed, _) in new.items() for w, n in listed.items() if n >= least and (*c, w)[1:] in new}
+
+    def after_state(c, w):
+        if not c:
+            return (seen[w] - given_up) / total if w in seen else given_up * len(seen) / total / expected
+        size, listed, passed = states[c]
+        return ((listed[w] - suffixtree.DISCOUNT) / size if w in listed else 0.0) + passed * after_state(c[1:], w)
+
+    def probability(history, w):
+        c = ()
+        while len(c) < len(history) and tuple(history[len(history) - len(c) - 1 :]) in states:
+            c = tuple(history[len(history) - len(c) - 1 :])
+        return math.log10(after_state(c, w))
+
+    return probability, states, seen, expected
+
+
+@pytest.mark.parametrize("frequent", [suffixtree.FREQUENT, 1e-3, 2.0])
+def test_suffix_tree_against_dictionaries(spark, texts, frequent):
+    """Two corpora in one session; weights sent to all tasks, some of them, or none."""
     from pyspark.sql import functions as F
 
     rng = random.Random(4)
-    line = " ".join(rng.choice(["a b c", "a d e", "x b f"]) for _ in range(3000))
-    frame = spark.createDataFrame([(1, line)], "doc_id long, text string")
-    counts = common.cut(suffixtree.counts(frame, lambda c: suffixtree.symbols(c)[0].view(np.int64)))
-    tree = suffixtree.learn(frame, counts)
-    assert np.isfinite(tree.states[0]["passed"]).any() and np.isfinite(tree.states[1]["passed"]).any()
-    entries = [suffixtree.Index(s["code"].view(np.uint64)) for s in tree.states]
-    place = np.arange(len(tree.common))
-    for one, two in [(-1, -1), *[(i, -1) for i in range(tree.n_contexts)], *[(int(c & 0xFFFFFFFF), j) for j, c in enumerate(tree.pairs)]]:
-        p = suffixtree.probabilities(tree, entries, place, np.full(len(place), one), np.full(len(place), two))
-        rest = suffixtree.probabilities(tree, entries, np.array([-1]), np.array([one]), np.array([two]))
-        unseen = tree.discount * tree.different / tree.total
-        assert (10**p).sum() + 10 ** rest[0] * unseen == pytest.approx(1, abs=1e-6)
-    scored = suffixtree.scores(frame, F.lit(False)).first()
-    assert scored.score > 0.6 * scored.base_score
+    line = lambda: " ".join(rng.choice(["a b c", "x b f", "p q r s", "z q r t", f"w{rng.randint(0, 40)}"]) for _ in range(120))
+    depths = []
+    for corpus in ({i: line() for i in range(60)}, {i: t for i, t in texts.items() if i < 120}):
+        words = {k: [*t.encode().lower().split(), None] for k, t in corpus.items()}
+        probability, states, seen, expected = plain_tree([own for k, own in words.items() if k % 4], 20)
+        frame = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
+        for r in suffixtree.scores(frame, F.col("doc_id") % 4 == 0, context=20, frequent=frequent).collect():
+            own = words[r.doc_id]
+            assert r.score == pytest.approx(sum(probability(own[:i], own[i]) for i in range(len(own))), rel=1e-9)
+            assert r.n_known == sum(w in seen for w in own)
+        depths.append(max(map(len, states), default=0))
+        for c in [(), *rng.sample(sorted(states, key=str), min(20, len(states)))]:
+            assert sum(10 ** probability(c, w) for w in seen) + expected * 10 ** probability(c, "never seen") == pytest.approx(1)
+    assert depths[0] >= 3 and depths[1] >= 2
 
 
 def test_flac_round_trip_and_damage():
