@@ -6,7 +6,8 @@ tried if it occurs ``CONTEXT`` times; a longer one if it does too and both the c
 last symbol and the one without its first are in the tree. What follows the tried contexts
 is counted over all training text, and a context stays if its next-symbol counts diverge from those
 of its suffix: twice its count times the Kullback-Leibler divergence is held against what chance
-gives. No length is set in advance: growth ends where nothing more diverges.
+gives. No length is set in advance: growth ends where nothing more diverges (what depends on a
+symbol only beyond a context that does not diverge is not seen).
 
 A state lists the symbols that follow it ``LISTED`` times or more, discounted; what that leaves of
 its probability goes to the distribution of its suffix. At the root, the discount goes to symbols
@@ -162,9 +163,10 @@ def _followers(training: DataFrame, length: int, tried: DataFrame) -> DataFrame:
 
         def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             head, tail, n = map(np.concatenate, zip(*held, strict=True))
-            order = np.lexsort((tail, head))
-            head, tail, n = head[order], tail[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])[: len(head)])
+            runs = run_of(head, tail)
+            order = np.argsort(runs)
+            head, tail, n, runs = head[order], tail[order], n[order], runs[order]
+            first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])[: len(head)])
             return head[first], tail[first], np.add.reduceat(n, first) if len(first) else n
 
         def rows(head: np.ndarray, tail: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -231,7 +233,7 @@ class Model:
             listed = common.stored(listed)
             parts += [listed.select("run", "n", "score"), kept.select(F.col("state").alias("run"), F.col("state_n").alias("n"), F.log10("passed").alias("score"))]
             # A listed run ends in END only as the last of its document, and then its tail is no state.
-            tried = listed.where(F.col("n") >= self.context).join(kept.select("state"), F.col("tail") == F.col("state"), "left_semi").select(F.col("run").alias("context"), F.col("n").alias("size"))
+            tried = common.stored(listed.where(F.col("n") >= self.context).join(kept.select("state"), F.col("tail") == F.col("state"), "left_semi").select(F.col("run").alias("context"), F.col("n").alias("size")))
             known = listed.select("run", "lower", "lower_share")
             self.listed = listed.select("run") if self.listed is None else self.listed.unionByName(listed.select("run"))
         for part in parts:

@@ -227,7 +227,7 @@ def test_suffix_tree_against_dictionaries(spark, texts, frequent):
     from pyspark.sql import functions as F
 
     rng = random.Random(4)
-    line = lambda: " ".join(rng.choice(["a b c", "x b f", "p q r s", "z q r t", f"w{rng.randint(0, 40)}"]) for _ in range(120))
+    line = lambda: " ".join(rng.choice(["a b c", "x b f", "p q r s", "z q r t", "q u", "r v", f"w{rng.randint(0, 40)}"]) for _ in range(120))
     depths = []
     for corpus in ({i: line() for i in range(60)}, {i: t for i, t in texts.items() if i < 120}):
         words = {k: [*t.encode().lower().split(), None] for k, t in corpus.items()}
