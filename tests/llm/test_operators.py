@@ -365,6 +365,55 @@ def test_short_passages_at_the_bound_are_found(spark):
     assert found <= set(range(1, 800, 2)) and len(found) >= 398
 
 
+def test_passages_agree_with_a_search_of_all_pairs(spark):
+    """Copies with random edits: what is reported resembles a stretch of an earlier document, and what all windows of all pairs give is found."""
+    rng = random.Random(14)
+    own = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs, seeds = [], [own(rng.randint(50, 90)) for _ in range(12)]
+    for i in range(120):
+        passage = list(rng.choice(seeds))
+        for _ in range(rng.randint(0, 3)):
+            passage[rng.randrange(len(passage))] = own(1)[0]
+        docs.append((i, own(rng.randint(0, 40)) + passage + own(rng.randint(0, 40))))
+    shingled = {i: [tuple(w[j : j + passages.SHINGLE]) for j in range(len(w) - passages.SHINGLE + 1)] for i, w in docs}
+
+    def resembles(part, other):
+        mine = set(part)
+        at = [j for j, x in enumerate(other) if x in mine]
+        spans = ((max(0, min(a, len(other) - passages.WINDOW)), max(b, a + passages.WINDOW - 1)) for a in at for b in at if b - a >= 0.7 * len(part) - 1)
+        return any(len(mine & (theirs := set(other[a : b + 1]))) >= passages.SIMILARITY * len(mine | theirs) for a, b in spans)
+
+    want = {i for i, _ in docs if any(resembles(shingled[i][a : a + passages.WINDOW], shingled[j]) for j in range(i) if len(set(shingled[i]) & set(shingled[j])) > 30 for a in range(len(shingled[i]) - passages.WINDOW + 1))}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    rows = passages.shared_passages(frame).collect()
+    found = {r.doc_id for r in rows if not r.kept}
+    assert found <= want and len(found) >= 0.97 * len(want) > 70
+    for r in rows:
+        if not r.kept:
+            part = shingled[r.doc_id][r.start_word : r.end_word - passages.SHINGLE + 1]
+            assert r.end_word - r.start_word >= passages.WORDS and any(resembles(part, shingled[j]) for j in range(r.doc_id))
+
+
+def test_phrases_of_many_documents_are_no_passage(spark):
+    """A document put together from ten words each of others resembles none of them; a document given twice is no copy of itself."""
+    rng = random.Random(15)
+    own = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs = [own(200) for _ in range(20)]
+    mixed = [w for d in docs for w in d[50:60]]
+    rows = [(i, " ".join(d)) for i, d in enumerate([*docs, mixed])]
+    assert passages.shared_passages(spark.createDataFrame(rows + rows, "doc_id long, text string")).count() == 0
+
+
+def test_repeated_passages_of_one_document(spark):
+    """Each place of a passage in a later document is found, also where one word fills it."""
+    rng = random.Random(16)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = own(60)
+    rows = [(1, f"{own(30)} {passage} {own(30)}"), (2, f"{own(20)} {passage} {own(70)} {passage} {own(20)}"), (3, "of " * 400 + own(60)), (4, own(60) + " of" * 300)]
+    found = [tuple(r) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").collect()]
+    assert sorted(found) == [(2, 20, 80, 1, False), (2, 150, 210, 1, False), (4, 60, 360, 3, False)]
+
+
 def test_byte_bpe_agrees_with_the_library(texts):
     import hashlib
 
