@@ -29,10 +29,12 @@ def test_empty_table(nothing, name):
 def test_a_row_for_each_row(awkward, name):
     rows = ON_DOCUMENTS[name](awkward).collect()
     ids = [r["doc_id"] for r in rows]
-    if name == "packed":  # joined by doc_id, where a repeated row meets itself
-        assert set(ids) == set(range(1, 9))
-    elif name == "packing":
-        assert len([r for r in rows if r["piece"] == 0]) == 9
+    if name in ("packed", "packing"):
+        assert sorted(r["doc_id"] for r in rows if r["piece"] == 0) == [1, 2, 3, 4, 5, 6, 6, 7, 8]
+        fill = {}
+        for r in rows:
+            fill[r["bin_id"]] = fill.get(r["bin_id"], 0) + r["n_tokens"]
+        assert all(fill[r["bin_id"]] <= r["bin_capacity"] for r in rows)
     else:
         assert sorted(ids) == [1, 2, 3, 4, 5, 6, 6, 7, 8]
 
@@ -61,6 +63,26 @@ def test_rows_with_null_or_repeated_ids(spark):
     assert len(packed) == 9 and "".join(r.text for r in sorted(packed, key=lambda r: r.piece) if r.text.startswith("d")) == rows[5][1]
 
 
+def test_packing_stage(spark, awkward, nothing):
+    stage = corpus_pipeline.STAGES[-1][1]
+    rows = stage(spark, awkward, "").collect()
+    of = lambda i: "".join(r.text for r in sorted(rows, key=lambda r: (r.bin_id, r.piece)) if r.doc_id == i)
+    assert of(1) == of(2) == "" and of(3) == "  \n\t" and of(4) == "one two three" and len(of(6)) == 2 * len(of(5))
+    assert len([r for r in rows if r.doc_id == 7]) == 15
+    assert stage(spark, nothing, "").count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that operators use inside do not clash with columns of the input."""
+    text = " ".join(f"w{i}" for i in range(70))
+    names = ["_cut", "_gone", "_row", "cut", "row", "left", "key", "print", "first", "root", "_lang", "_source", "_counts", "n_words", "kept", "pieces"]
+    frame = spark.createDataFrame([(i, text, "en", "s", *map(str, range(len(names)))) for i in range(3)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, frame, "").collect()
+        assert len(rows) == (1 if name in ("near_duplicates", "passages") else 3)
+        assert all(r[n] == str(i) for r in rows for i, n in enumerate(names))
+
+
 def test_chat_with_nulls(spark):
     turns = spark.createDataFrame([(0, "chosen", 0, None, None), (0, "rejected", 0, None, None), (1, "chosen", 0, "user", "q"), (None, "chosen", 0, "user", "q")], "pair_id long, side string, turn long, role string, text string")
     assert [(r.pair_id, r.part) for r in chat.segments(turns).collect()] == [(0, "prompt")]
