@@ -1,13 +1,17 @@
-"""Operator 6: FLAC streams of 8-bit mono samples, written and read with all frames in step.
-
-Encoder and decoder work on all frames of a batch at once: a numpy step handles the n-th residual
-(or byte, for checksums) of every frame. A stream has STREAMINFO with the MD5 of its samples, a
-seek table with a point for each frame, and frames of ``BLOCK`` samples (the last one shorter). A
-frame's subframe is constant, verbatim, a fixed predictor of order 0 to 2, or a linear predictor
-of order 2 with quantised coefficients, whichever takes fewest bits; residuals are Rice-coded. The
-reader finds frames through the seek table, checks each frame's CRC-8 and CRC-16 and the stream's
-MD5, and handles any fixed or linear predictor, Rice partition order and escape code. Streams of
-other sample sizes or several channels are refused.
+"""Operator 6: FLAC streams, written from 8-bit mono samples and read of any kind.
+
+Writing, and reading of streams like those that are written, works on all frames of a batch at once:
+a numpy step handles the n-th residual (or byte, for checksums) of every frame. Such a stream has
+STREAMINFO with the MD5 of its samples, a seek table with a point for each frame, and frames of
+``BLOCK`` samples (the last one shorter). A frame's subframe is constant, verbatim, a fixed predictor
+of order 0 to 2, or a linear predictor of order 2 with quantised coefficients, whichever takes fewest
+bits; residuals are Rice-coded.
+
+All other streams are read frame by frame, each from where the last one ends, with or without a seek
+table: 4 to 32 bits, up to 8 channels, stereo as sides and middle, wasted bits, blocks of fixed or
+variable size, all predictors, and Rice parameters of four or five bits. Either way the CRC-8 and
+CRC-16 of each frame and the MD5 of the samples are checked. PCM has a byte a sample up to 8 bits
+(128 is silence), and signed little-endian numbers above, channels side by side.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -199,7 +204,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 
 class Damaged(ValueError):
-    """A stream that is no whole FLAC stream of 8-bit mono samples, or whose checksums do not hold."""
+    """A stream that is no whole FLAC stream, or whose checksums do not hold."""
 
 
 def _opened(data: bytes) -> tuple[int, int, bytes, np.ndarray]:
@@ -365,6 +370,176 @@ def _samples(streams, opened, data: np.ndarray, at: np.ndarray, length: np.ndarr
     return found
 
 
+class Bits:
+    """Bits of a stream from a byte on, highest first."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, 8 * at
+
+    def take(self, width: int) -> int:
+        first, last = self.at >> 3, (self.at + width + 7) >> 3
+        if last > len(self.data):
+            raise Damaged("a frame is cut off")
+        self.at += width
+        return (int.from_bytes(self.data[first:last], "big") >> 8 * last - self.at) & ((1 << width) - 1)
+
+    def signed(self, width: int) -> int:
+        value = self.take(width)
+        return value - (value >> width - 1 << width) if width else 0
+
+    def zeros(self) -> int:
+        """Zeros up to the next one, which is taken too."""
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def _residuals(bits: Bits, size: int, order: int) -> list[int]:
+    method, parts = bits.take(2), bits.take(4)
+    if method > 1 or size >> parts << parts != size and parts or size >> parts < order:
+        raise Damaged("unknown coding of residuals")
+    width, out = 4 + method, []
+    for part in range(1 << parts):
+        rice, count = bits.take(width), (size >> parts) - (0 if part else order)
+        if rice == (1 << width) - 1:
+            raw = bits.take(5)
+            out += [bits.signed(raw) for _ in range(count)]
+        else:
+            for _ in range(count):
+                u = bits.zeros() << rice | bits.take(rice)
+                out.append(u >> 1 ^ -(u & 1))
+    return out
+
+
+def _subframe(bits: Bits, size: int, width: int) -> list[int]:
+    if bits.take(1):
+        raise Damaged("a subframe begins with a one")
+    kind, wasted = bits.take(6), 0
+    if bits.take(1):
+        wasted = bits.zeros() + 1
+    width -= wasted
+    if kind == 0:
+        out = [bits.signed(width)] * size
+    elif kind == 1:
+        out = [bits.signed(width) for _ in range(size)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind < 32 else kind - 31
+        out = [bits.signed(width) for _ in range(order)]
+        coefs, shift = FIXED[order] if kind < 32 else (), 0
+        if kind >= 32:
+            precision, shift = bits.take(4) + 1, bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise Damaged("unknown precision or shift")
+            coefs = [bits.signed(precision) for _ in range(order)]
+        for residual in _residuals(bits, size, order):
+            out.append(residual + (sum(c * out[-1 - j] for j, c in enumerate(coefs)) >> shift))
+    else:
+        raise Damaged("unknown subframe")
+    return [x << wasted for x in out]
+
+
+def _check(data: bytes, start: int, end: int, table: np.ndarray, bits: int) -> int:
+    return int(_crc(np.frombuffer(data, np.uint8), np.array([start]), np.array([end]), table, bits)[0])
+
+
+def _frame(data: bytes, start: int, stream_width: int) -> tuple[int, np.ndarray]:
+    """Where the frame that begins at a byte ends, and its samples (n, channels)."""
+    bits = Bits(data, start)
+    if bits.take(15) != 0x7FFC:
+        raise Damaged("no frame where one must begin")
+    bits.take(1)
+    size_code, rate_code, channels, width_code, zero = bits.take(4), bits.take(4), bits.take(4), bits.take(3), bits.take(1)
+    lead = bits.take(8)
+    ones = 8 - (lead ^ 0xFF).bit_length()
+    if ones == 1 or ones > 7 or any(bits.take(8) >> 6 != 2 for _ in range(max(0, ones - 1))):
+        raise Damaged("a frame's number is no number")
+    if size_code == 0 or rate_code == 15 or channels > 10 or width_code == 3 or zero:
+        raise Damaged("a frame header has a reserved value")
+    size = {1: 192, 6: 0, 7: 0}.get(size_code, 576 << size_code - 2 if size_code < 6 else 256 << size_code - 8 if size_code > 7 else 0)
+    size = bits.take(8 * (size_code - 5)) + 1 if size_code in (6, 7) else size
+    bits.take({12: 8, 13: 16, 14: 16}.get(rate_code, 0))
+    head = bits.at >> 3
+    if bits.take(8) != _check(data, start, head, _CRC8, 8):
+        raise Damaged("a frame header does not hold")
+    width = {0: stream_width, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[width_code]
+    count = channels + 1 if channels < 8 else 2
+    side = {8: 1, 9: 0, 10: 1}.get(channels)
+    out = [_subframe(bits, size, width + (side == c)) for c in range(count)]
+    bits.at = (bits.at + 7) // 8 * 8
+    end = bits.at >> 3
+    if bits.take(16) != _check(data, start, end, _CRC16, 16):
+        raise Damaged("a frame's checksum does not hold")
+    samples = np.array(out, np.int64).T
+    if channels == 8:
+        samples[:, 1] = samples[:, 0] - samples[:, 1]
+    elif channels == 9:
+        samples[:, 0] += samples[:, 1]
+    elif channels == 10:
+        middle = samples[:, 0] << 1 | samples[:, 1] & 1
+        samples = np.stack([middle + samples[:, 1] >> 1, middle - samples[:, 1] >> 1], 1)
+    return end + 2, samples
+
+
+def _pcm(samples: np.ndarray, width: int, signed: bool = False) -> bytes:
+    size = -(-width // 8)
+    if size == 1 and not signed:
+        samples = samples + 128
+    return np.ascontiguousarray(samples, "<i8").reshape(-1, 1).view(np.uint8)[:, :size].tobytes()
+
+
+def _walked(data: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """PCM of any stream, and (sample offset, samples, byte offset) of each frame, found one after another."""
+    if data[:4] != b"fLaC":
+        raise Damaged("no FLAC marker")
+    at, info = 4, None
+    while True:
+        kind, size = data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
+        info = data[at + 4 : at + 4 + size] if kind == 0 else info
+        last, at = data[at] & 0x80, at + 4 + size
+        if last:
+            break
+    if info is None or len(info) < 34:
+        raise Damaged("no STREAMINFO")
+    packed = int.from_bytes(info[10:18], "big")
+    channels, width, total, md5 = (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, info[18:34]
+    parts, frames, so_far = [], [], 0
+    while at < len(data) if not total else so_far < total:
+        end, samples = _frame(data, at, width)
+        if samples.shape[1] != channels:
+            raise Damaged("a frame has other channels")
+        parts.append(samples)
+        frames.append((so_far, len(samples), at))
+        so_far, at = so_far + len(samples), end
+    whole = np.concatenate(parts) if parts else np.zeros((0, channels), np.int64)
+    if any(md5) and hashlib.md5(_pcm(whole, width, True), usedforsecurity=False).digest() != md5:
+        raise Damaged("the MD5 of the samples does not hold")
+    return _pcm(whole, width), frames
+
+
+def _points(stream: bytes) -> list[tuple[int, int, int]]:
+    at, _, _, points = _opened(stream)
+    return [(int(p["sample"]), int(p["n"]), at + int(p["offset"])) for p in points]
+
+
+def read(streams: list[bytes]) -> list[tuple[bytes | None, list[tuple[int, int, int]], str | None]]:
+    """(PCM, (sample offset, samples, byte offset) of each frame, error) of each stream; of one that is damaged only the error."""
+    try:
+        return [(samples, _points(s), None) for s, samples in zip(streams, decode(streams), strict=True)]
+    except (Damaged, IndexError, ValueError):
+        pass  # a stream of another kind, or a damaged one: each on its own
+    out = []
+    for stream in streams:
+        try:
+            out.append((decode([stream])[0], _points(stream), None))
+        except (Damaged, IndexError, ValueError):
+            try:
+                out.append((*_walked(stream), None))
+            except (Damaged, IndexError, ValueError, OverflowError) as problem:
+                out.append((None, [], str(problem) or "damaged"))
+    return out
+
+
 def payload(text: str | None) -> bytes:
     """UTF-8 bytes and zeros up to a positive multiple of 64."""
     data = (text or "").encode()
@@ -392,41 +567,60 @@ def stored(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", _flac(F.col("text")).alias("flac"))
 
 
+_BLOCK = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary()), ("error", pa.string())])
+
+
 def blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, block, sample_offset, n_samples, byte_offset, pcm) of each FLAC stream of ``media`` (doc_id, flac)."""
+    """(doc_id, block, sample_offset, n_samples, byte_offset, pcm, error): a PCM block for each frame of each FLAC stream of ``media`` (doc_id, flac).
+
+    ``byte_offset`` is where the frame begins in the stream, so that a reader can go to a sample
+    directly. A damaged stream has one row with ``error`` and nothing else. Null streams have no row,
+    repeated rows each have theirs; an empty table gives an empty result; other columns are left out,
+    whatever their names. A stream is worked on whole, which takes about 100 times its samples' bytes.
+    """
 
-    def read(batches):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "flac", STEP_BYTES):
-            streams = piece.column("flac").to_pylist()
-            for doc, stream, samples in zip(piece.column("doc_id").to_pylist(), streams, decode(streams), strict=True):
-                at, _, _, points = _opened(stream)
-                yield pa.RecordBatch.from_pylist(
-                    [{"doc_id": doc, "block": i, "sample_offset": int(p["sample"]), "n_samples": int(p["n"]), "byte_offset": at + int(p["offset"]), "pcm": samples[int(p["sample"]) : int(p["sample"]) + int(p["n"])]} for i, p in enumerate(points)],
-                    schema=pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]),
-                )
+            for doc, (samples, frames, error) in zip(piece.column("doc_id").to_pylist(), read(piece.column("flac").to_pylist()), strict=True):
+                width = len(samples) // sum(f[1] for f in frames) if frames else 1
+                found = [(doc, i, a, n, at, samples[a * width : (a + n) * width], None) for i, (a, n, at) in enumerate(frames)] if error is None else [(doc, None, None, None, None, None, error)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(_BLOCK)], schema=_BLOCK)
+
+    return media.select("doc_id", "flac").where(F.col("flac").isNotNull()).mapInArrow(rows, "doc_id long, block long, sample_offset long, n_samples long, byte_offset long, pcm binary, error string")
+
 
-    return media.select("doc_id", "flac").where(F.col("flac").isNotNull()).mapInArrow(read, "doc_id long, block long, sample_offset long, n_samples long, byte_offset long, pcm binary")
+_DIGEST = (
+    ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+    ("n_blocks", pa.int64()), ("blocks_sha256", pa.string()), ("error", pa.string()),
+)
 
 
-_DIGEST = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+def digest_of(text: str | None, stream: bytes, samples: bytes | None, frames: list[tuple[int, int, int]], error: str | None) -> tuple:
+    """The values of ``_DIGEST``; ``blocks_sha256`` is of sample offset, size, byte offset and the PCM's own SHA-256 of each block."""
+    media = (len(stream), hashlib.sha256(stream).hexdigest())
+    n = len((text or "").encode())
+    if error is not None:
+        return (n, None, None, None, *media, None, None, None, error)
+    table = ",".join(f"{a}:{size}:{at}:{hashlib.sha256(samples[a : a + size]).hexdigest()}" for a, size, at in frames)
+    return (n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), *media, features(samples), len(frames), hashlib.sha256(table.encode()).hexdigest(), None)
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """Each row's text written as FLAC and read back: sizes, digests and features of what was read.
+    """Each row's text written as FLAC and read back: sizes, digests and features of what was read, and of its blocks.
 
-    Null and empty texts are 64 zero bytes. Repeated rows each get a row. An empty table gives an
-    empty result. Other columns are left out, whatever their names.
+    Null and empty texts are 64 zero bytes. A stream that could not be read back would have ``error``
+    and null for what was read. Repeated rows each get a row. An empty table gives an empty result.
+    Other columns are left out, whatever their names. A text is worked on whole, which takes about
+    100 times its bytes.
     """
 
-    @F.arrow_udf("struct<n_bytes: long, payload_bytes: long, payload_sha256: string, tail_crc32: long, media_bytes: long, media_sha256: string, feature: string>")
+    @F.arrow_udf("struct<n_bytes: long, payload_bytes: long, payload_sha256: string, tail_crc32: long, media_bytes: long, media_sha256: string, feature: string, n_blocks: long, blocks_sha256: string, error: string>")
     def digest(texts: pa.Array, media: pa.Array) -> pa.Array:
         rows = []
         whole = pa.RecordBatch.from_arrays([texts.cast(pa.string()), media], names=["text", "flac"])
         for piece in common.pieces([whole], "flac", STEP_BYTES):
             streams = piece.column("flac").to_pylist()
-            size = [len((t or "").encode()) for t in piece.column("text").to_pylist()]
-            for n, stream, samples in zip(size, streams, decode(streams), strict=True):
-                rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), features(samples)))
+            rows += [digest_of(t, stream, *found) for t, stream, found in zip(piece.column("text").to_pylist(), streams, read(streams), strict=True)]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_DIGEST)], [k for k, _ in _DIGEST])
 
     both = documents.select("doc_id", "text", _flac(F.col("text")).alias("_flac"))

@@ -285,6 +285,119 @@ def test_flac_round_trip_and_damage():
             flac.decode([bytes(broken)])
 
 
+def test_flac_of_the_format_s_own_example():
+    """The first example stream of RFC 9639: one stereo sample of 16 bits, no seek table."""
+    stream = bytes.fromhex("664c6143800000221000100000000f00000f0ac442f0000000013e84b41807dc690307586a3dad1a2e0ffff869180000bf0358fd03128baa9a")
+    assert flac.read([stream]) == [(np.array([25588, 10416], "<i2").tobytes(), [(0, 1, 42)], None)]
+
+
+class Writer:
+    """A frame put together bit by bit from the format's rules, with checksums computed a bit at a time."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, width):
+        self.bits += format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+        return self
+
+    def crc(self, poly, width):
+        crc = 0
+        for bit in self.bits + "0" * (-len(self.bits) % 8):
+            crc = (crc << 1 & (1 << width) - 1) ^ (poly if (crc >> width - 1) ^ int(bit) else 0)
+        return crc
+
+    def rice(self, residuals, k):
+        for r in residuals:
+            u = 2 * r if r >= 0 else -2 * r - 1
+            self.bits += "0" * (u >> k) + "1"
+            self.put(u, k)
+        return self
+
+    def closed(self):
+        self.bits += "0" * (-len(self.bits) % 8)
+        self.put(self.crc(0x8005, 16), 16)
+        return int(self.bits, 2).to_bytes(len(self.bits) // 8, "big")
+
+
+def stream_of(frames, samples, width, channels, with_md5=True):
+    import hashlib
+
+    size = -(-width // 8)
+    raw = b"".join(int(x).to_bytes(size, "little", signed=True) for row in samples for x in row)
+    info = bytes(10) + (44100 << 44 | channels - 1 << 41 | width - 1 << 36 | len(samples)).to_bytes(8, "big") + (hashlib.md5(raw).digest() if with_md5 else bytes(16))
+    return b"fLaC\x04\x00\x00\x02\x00\x00\x80\x00\x00\x22" + info + b"".join(frames)
+
+
+def headed(size, channels, width_code, number=0):
+    w = Writer().put(0xFFF8, 16).put(7, 4).put(9, 4).put(channels, 4).put(width_code, 3).put(0, 1).put(number, 8).put(size - 1, 16)
+    return w.put(w.crc(0x07, 8), 8)
+
+
+def test_flac_of_other_kinds():
+    left = [1000, 1010, 1030, 1020, 990, 985, 970, 1001]
+    right = [x - 7 * i for i, x in enumerate(left)]
+    side, middle = [a - b for a, b in zip(left, right, strict=True)], [(a + b) >> 1 for a, b in zip(left, right, strict=True)]
+    # 24 bits, middle and side; order 1 with five-bit parameters in two partitions, and wasted bits with an escape code.
+    w = headed(8, 10, 6).put(0, 1).put(9, 6).put(0, 1).put(middle[0], 24).put(1, 2).put(1, 4)
+    steps = [b - a for a, b in zip(middle, middle[1:], strict=False)]
+    w.put(4, 5).rice(steps[:3], 4).put(3, 5).rice(steps[3:], 3)
+    w.put(0, 1).put(8, 6).put(0, 1).put(0, 2).put(0, 4).put(15, 4).put(9, 5)
+    for x in side:
+        w.put(x, 9)
+    stereo = list(zip(left, right, strict=True))
+    both = stream_of([w.closed()], stereo, 24, 2)
+    pcm = b"".join(x.to_bytes(3, "little", signed=True) for row in stereo for x in row)
+    assert flac.read([both]) == [(pcm, [(0, 8, len(both) - len(w.bits) // 8)], None)]
+    # 12 bits, left and side, then side and right; order 2 linear prediction with wasted bits.
+    for kind, first, second in ((8, left, side), (9, side, right)):
+        w = headed(8, kind, 2, 1)
+        for c, x in enumerate((first, second)):
+            wide = 12 + (c == (0 if kind == 9 else 1))
+            wasted = min((v & -v).bit_length() - 1 for v in x if v) if any(x) else 0
+            x = [v >> wasted for v in x]
+            w.put(0, 1).put(33, 6).put(bool(wasted), 1)
+            if wasted:
+                w.put(1, wasted)
+            w.put(x[0], wide - wasted).put(x[1], wide - wasted).put(9, 4).put(3, 5).put(13, 10).put(-5, 10).put(0, 2).put(0, 4).put(2, 4)
+            w.rice([x[i] - ((13 * x[i - 1] - 5 * x[i - 2]) >> 3) for i in range(2, 8)], 2)
+        assert flac.read([stream_of([w.closed()], stereo, 12, 2)])[0][0] == b"".join(v.to_bytes(2, "little", signed=True) for row in stereo for v in row)
+    # Two mono frames of 8 bits without MD5, a constant one and a verbatim one; beside them a damaged and a written stream.
+    one, two = headed(3, 0, 1).put(0, 8).put(-5, 8).closed(), headed(2, 0, 1, 1).put(2, 8).put(7, 8).put(-7, 8).closed()
+    mono = stream_of([one, two], [[-5]] * 3 + [[7], [-7]], 8, 1, False)
+    got = flac.read([mono, both[:-1], mono[:-3] + b"\0\0\0", *flac.encode([b"x" * 64])])
+    assert got[0][0] == bytes([123, 123, 123, 135, 121]) and [f[:2] for f in got[0][1]] == [(0, 3), (3, 2)]
+    assert [g[0] for g in got[1:3]] == [None, None] and got[1][2] and got[2][2] and got[3][::2] == (b"x" * 64, None)
+
+
+def test_flac_readers_agree():
+    """What is written reads alike through the seek table, all frames in step, and frame by frame."""
+    rng = np.random.default_rng(2)
+    payloads = [bytes(64), rng.integers(0, 256, 3000, dtype=np.uint8).tobytes(), (np.sin(np.arange(5000) / 9) * 100 + 128).astype(np.uint8).tobytes(), b"words of a text " * 200]
+    for payload, stream in zip(payloads, flac.encode(payloads), strict=True):
+        assert flac._walked(stream) == (payload, flac._points(stream))
+
+
+def test_flac_digests(spark, texts):
+    import hashlib
+
+    for r in queries.queries()["op6_flac_media"](spark, FOLDER).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes((-len(raw)) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), None)
+        stream = flac.encode([payload])[0]
+        assert (r.media_bytes, r.media_sha256, r.n_blocks) == (len(stream), hashlib.sha256(stream).hexdigest(), -(-len(payload) // flac.BLOCK))
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        assert r.feature.startswith(f"n={len(x)};sum={sum(x)};energy={sum(x * x)};peak={max(abs(x))};")
+
+
+def test_flac_rows_with_damage(spark):
+    whole = flac.encode([b"seek me " * 300])[0]
+    rows = flac.blocks(spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(whole[:-9])), (3, bytearray(b"nothing"))], "doc_id long, flac binary")).collect()
+    assert sorted((r.doc_id, r.block) for r in rows if r.error is None) == [(1, 0), (1, 1), (1, 2)]
+    assert sorted(r.doc_id for r in rows if r.error) == [2, 3] and all(r.pcm is None for r in rows if r.error)
+
+
 def test_flac_blocks_are_seekable(spark):
     text = "seek me " * 1000
     blocks = sorted(flac.blocks(flac.stored(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect(), key=lambda r: r.block)
