@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import gcd
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,16 +33,66 @@ def peak(signal: Column) -> Column:
     return F.array_max(F.transform(signal, F.abs))
 
 
-def lagged_correlation(left: Column, right: Column, lag: int, n: int) -> Column:
-    """Pearson correlation of ``left`` with ``right`` that many samples later, over their overlap; 0 if one is constant."""
-    m = n - abs(lag)
-    a = F.slice(left, 1 + max(0, -lag), m)
-    b = F.slice(right, 1 + max(0, lag), m)
-    ma, mb = total(a) / m, total(b) / m
-    pairs = F.zip_with(a, b, lambda x, y: F.struct((x - ma).alias("x"), (y - mb).alias("y")))
-    dot = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p))
-    norm = F.sqrt(dot(lambda p: p["x"] * p["x"]) * dot(lambda p: p["y"] * p["y"]))
-    return F.when(norm > 0, dot(lambda p: p["x"] * p["y"]) / (norm + EPS)).otherwise(0.0)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _by_length(*columns: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows whose lists have the same lengths, and their matrices."""
+    lengths = np.stack([c.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for c in columns], 1)
+    for sizes in np.unique(lengths, axis=0) if len(lengths) else []:
+        rows = np.flatnonzero((lengths == sizes).all(1))
+        if (sizes >= 0).all():
+            yield rows, [_matrix(c.take(pa.array(rows))) for c in columns]
+
+
+def lagged_correlations(left: Column, right: Column, most: int) -> Column:
+    """Pearson correlations of ``left`` with ``right`` 0, 1, ... samples later and earlier, over their overlap, from ``-most`` to ``most``.
+
+    0 where either is constant or nothing overlaps; null signals and signals of unlike lengths give null.
+    """
+
+    @F.arrow_udf("array<double>")
+    def correlate(a: pa.Array, b: pa.Array) -> pa.Array:
+        out: list = [None] * len(a)
+        for rows, (x, y) in _by_length(a, b):
+            n = x.shape[1]
+            if n != y.shape[1]:
+                continue
+            found = np.zeros((len(rows), 2 * most + 1))
+            for i, k in enumerate(range(-most, most + 1)):
+                if abs(k) < n:
+                    u, v = x[:, max(0, -k) : n - max(0, k)], y[:, max(0, k) : n - max(0, -k)]
+                    u, v = u - u.mean(1, keepdims=True), v - v.mean(1, keepdims=True)
+                    norm = np.sqrt((u * u).sum(1) * (v * v).sum(1))
+                    found[:, i] = np.where(norm > 0, (u * v).sum(1) / (norm + EPS), 0.0)
+            for row, values in zip(rows.tolist(), found.tolist(), strict=True):
+                out[row] = values
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return correlate(left, right)
+
+
+def convolved(left: Column, right: Column) -> Column:
+    """The full convolution of two signals, by the transform of a batch of rows at once."""
+
+    @F.arrow_udf("array<double>")
+    def convolve_rows(a: pa.Array, b: pa.Array) -> pa.Array:
+        out: list = [None] * len(a)
+        for rows, (x, y) in _by_length(a, b):
+            n = x.shape[1] + y.shape[1] - 1
+            if min(x.shape[1], y.shape[1]) == 0:
+                found = np.zeros((len(rows), 0))
+            else:
+                size = 1 << max(0, n - 1).bit_length()
+                found = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)[:, :n]
+            for row, values in zip(rows.tolist(), found.tolist(), strict=True):
+                out[row] = values
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return convolve_rows(left, right)
 
 
 def convolve(dry: np.ndarray, rir: np.ndarray) -> np.ndarray:

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from .rounds import kept
 
 
-def distances(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, hops, parent): unweighted shortest paths over ``edges`` (src, dst) from the nodes of ``start`` (node).
 
     Of several parents the least is taken. Each round joins the newest nodes with the edges and
-    drops those that are known, so a node is expanded once.
+    drops those that are known, so a node is expanded once; rounds end when nothing new is reached.
     """
     known = frontier = kept(start.select("node").distinct().select("node", F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
     edges = edges.select("src", "dst")
-    for hop in range(1, most + 1):
+    hop = 0
+    while True:
+        hop += 1
         reached = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         frontier = kept(reached.join(known.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent"))
         if frontier.isEmpty():
-            break
+            return known
         known = kept(known.unionByName(frontier))
-    return known
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

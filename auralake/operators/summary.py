@@ -6,15 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import finite
+from .windows import numbered
 
 SHARES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def summarize(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """count, min, percentiles and max of the finite values; a group without any has count 0 and nulls."""
-    x = F.when(finite(F.col(value)), F.col(value))
-    found = rows.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, SHARES.values()))).alias("_p"), F.max(x).alias("max"))
-    return found.select(*by, "count", "min", *[F.get("_p", F.lit(i)).alias(k) for i, k in enumerate(SHARES)], "max")
+    """count, min, percentiles and max of the finite values; a group without any has count 0 and nulls.
+
+    Values are put in order by range, so that no task holds a group; of each group only the values
+    at the ranks that its percentiles lie between go on.
+    """
+    groups = rows.select(*by).distinct()
+    ranked = numbered(rows.where(finite(F.col(value))).select(*by, F.col(value).alias("_x"), F.monotonically_increasing_id().alias("_id")), by, ["_x", "_id"], "_at")
+    size = ranked.groupBy(*by).agg(F.count("*").alias("count"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    below = lambda share: F.floor(share * (F.col("count") - 1))
+    wanted = size.select(*by, F.explode(F.array_distinct(F.flatten(F.array(*[F.array(below(s), F.least(below(s) + 1, F.col("count") - 1)) for s in SHARES.values()])))).alias("_at"))
+    values = ranked.join(wanted, [*by, "_at"]).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_v"))
+    part = lambda share: share * (F.col("count") - 1) - below(share)
+    at = lambda share, more: F.col("_v")[F.least(below(share) + more, F.col("count") - 1)]
+    joined = groups.join(size, by, "left").join(values, by, "left")
+    return joined.select(*by, F.coalesce("count", F.lit(0)).alias("count"), "min", *[(at(s, 0) + part(s) * (at(s, 1) - at(s, 0))).alias(k) for k, s in SHARES.items()], "max")
 
 
 def rate(condition: Column) -> Column:

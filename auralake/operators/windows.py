@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .rounds import kept
+
 
 def order(keys: list[str], step: list[str]):
     return Window.partitionBy(*keys).orderBy(*step)
@@ -25,21 +31,42 @@ def episodes(rows: DataFrame, keys: list[str], step: list[str], done: Column) ->
     return rows.withColumn("episode", F.coalesce(F.sum(done.cast("int")).over(before(keys, step)), F.lit(0)))
 
 
-def folded_back(rows: DataFrame, keys: list[str], step: list[str], fields: list[str], zero: Column, merge, name: str) -> DataFrame:
-    """A fold over each episode from its last row to its first: ``merge(later, row)`` gives the row's value.
+def folded(rows: DataFrame, keys: list[str], step: list[str], fields: list[str], fold: Callable[..., float | None], name: str, back: bool = False) -> DataFrame:
+    """``rows`` (keys, step, fields) with ``fold(state, *fields)`` of each row in the column ``name``, a double.
 
-    ``keys`` should name single episodes, so that a fold's array is as long as an episode, not as
-    a whole trajectory.
+    The rows of a key pass through one task in the order of ``step`` (against it if ``back``); of
+    all that lies before a row only one number is kept, the state, which is None at a key's first row.
     """
-    grouped = rows.groupBy(*keys).agg(F.reverse(F.sort_array(F.collect_list(F.struct(*step, *fields)))).alias("_rows"))
-    start = F.struct(zero.alias("v"), F.array().cast("array<double>").alias("all"))
+    order_by = [*keys, *[F.col(c).desc() if back else F.col(c) for c in step]]
+    dealt = rows.select(*keys, *step, *fields).repartition(*keys).sortWithinPartitions(*order_by)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            out = []
+            values = zip(*(batch.column(c).to_pylist() for c in fields), strict=True)
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), values, strict=True):
+                if key != now:
+                    now, state = key, None
+                state = fold(state, *row)
+                out.append(state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    def add(state, row):
-        value = merge(state["v"], row)
-        return F.struct(value.alias("v"), F.concat(state["all"], F.array(value)).alias("all"))
+    return dealt.mapInArrow(scan, T.StructType([*dealt.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    done = grouped.withColumn("_out", F.aggregate("_rows", start, add)["all"])
-    return done.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), F.col("_out").alias("v")))).select(*keys, *[F.col("r")[c].alias(c) for c in [*step, *fields]], F.col("v").alias(name))
+
+def numbered(rows: DataFrame, keys: list[str], by: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 0 among those of their key in the order of ``by`` (which has no ties), in the column ``name``.
+
+    Rows are dealt by range, so a key with most of the rows is spread over many tasks: a place is that
+    within the task plus what earlier tasks hold of the key, which one count a task and key tells.
+    """
+    dealt = kept(rows.repartitionByRange(*keys, *by).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(before(keys, ["_part"])), F.lit(0)).alias("_earlier")
+    offsets = counts.select(*keys, "_part", earlier)
+    here = F.row_number().over(order([*keys, "_part"], by)) - 1
+    return dealt.withColumn("_here", here).join(offsets, [*keys, "_part"]).withColumn(name, F.col("_here") + F.col("_earlier")).drop("_here", "_earlier", "_part")
 
 
 def sliding_delta(value: Column, keys: list[str], step: list[str], width: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators.summary import SHARES, rate, summarize
 from ..operators import windows
-from ..operators.windows import episodes, folded_back, order, upto
+from ..operators.windows import episodes, folded, numbered, order, upto
 from ..registry import query
 from ..sources.tables import table
 
@@ -104,7 +104,7 @@ def _trajectories(spark, d):
 
 @query("W2", _RETURNS_SQL.format(v="0.0", first="r", next="e.r + CASE WHEN e.m THEN 0.99 * f.g ELSE 0 END", out="round(g, 6) AS ret"))
 def discounted_returns(spark, d):
-    found = folded_back(_trajectories(spark, d), ["user_id", "episode"], STEP, ["r", "m"], F.lit(0.0), lambda later, row: row["r"] + F.when(row["m"], 0.99 * later).otherwise(0.0), "ret")
+    found = folded(_trajectories(spark, d), ["user_id", "episode"], STEP, ["r", "m"], lambda later, r, m: r + (0.99 * (later or 0.0) if m else 0.0), "ret", back=True)
     return found.select("event_id", F.round("ret", 6).alias("ret"))
 
 
@@ -116,8 +116,7 @@ SELECT event_id, floor((g) * 1000000 + 0.5) / 1000000 AS advantage, floor((g + v
 )
 def gae_returns(spark, d):
     rows = _trajectories(spark, d).withColumn("nv", F.coalesce(F.lead("r").over(order(KEY, STEP)), F.lit(0.0)) / 2)
-    delta = lambda row: row["r"] + F.when(row["m"], 0.99 * row["nv"]).otherwise(0.0) - row["r"] / 2
-    found = folded_back(rows, ["user_id", "episode"], STEP, ["r", "m", "nv"], F.lit(0.0), lambda later, row: delta(row) + F.when(row["m"], 0.99 * 0.95 * later).otherwise(0.0), "g")
+    found = folded(rows, ["user_id", "episode"], STEP, ["r", "m", "nv"], lambda later, r, m, nv: r + (0.99 * nv if m else 0.0) - r / 2 + (0.99 * 0.95 * (later or 0.0) if m else 0.0), "g", back=True)
     return found.select("event_id", micro(F.col("g")).alias("advantage"), micro(F.col("g") + F.col("r") / 2).alias("ret"))
 
 
@@ -161,14 +160,8 @@ SELECT event_id, floor((b) * 1000000 + 0.5) / 1000000 AS belief FROM f""",
 )
 def ewma_belief(spark, d):
     rows = episodes(table(spark, d, "events"), KEY, STEP, F.col("event_type") == "purchase").withColumn("x", F.when(F.col("event_type") != "error", F.col("value")))
-    grouped = rows.groupBy("user_id", "episode").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "x"))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("b"), F.array().cast("array<struct<id:bigint,b:double>>").alias("all"))
-
-    def add(state, row):
-        b = F.when(row["x"].isNull(), state["b"]).when(state["b"].isNull(), row["x"]).otherwise(0.5 * state["b"] + 0.5 * row["x"])
-        return F.struct(b.alias("b"), F.concat(state["all"], F.array(F.struct(row["event_id"].alias("id"), b.alias("b")))).alias("all"))
-
-    return grouped.select(F.inline(F.aggregate("s", start, add)["all"]).alias("event_id", "b")).select("event_id", micro(F.col("b")).alias("belief"))
+    found = folded(rows, ["user_id", "episode"], STEP, ["x"], lambda b, x: b if x is None else x if b is None else 0.5 * b + 0.5 * x, "b")
+    return found.select("event_id", micro(F.col("b")).alias("belief"))
 
 
 @query(
@@ -269,7 +262,7 @@ def minibatch_flatten(spark, d):
     batch = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit("3:"), F.col("user_id").cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(4))
     rows = table(spark, d, "events").select("event_id", "user_id", (F.row_number().over(order(KEY, STEP)) - 1).alias("t"))
     envs = rows.select("user_id").distinct().withColumn("batch", batch)
-    placed = envs.select("user_id", "batch", (F.row_number().over(Window.partitionBy("batch").orderBy("user_id")) - 1).alias("n"), F.count("*").over(Window.partitionBy("batch")).alias("width"))
+    placed = numbered(envs, ["batch"], ["user_id"], "n").join(envs.groupBy("batch").agg(F.count("*").alias("width")), "batch")
     return rows.join(placed, "user_id").select("event_id", "batch", (F.col("t") * F.col("width") + F.col("n")).alias("flat"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.joins import band_join, nearest, violations
+from ..operators.windows import numbered
 from ..registry import query
 from ..sources.tables import finite, json_safe, parse_jsonl, table, tagged
 
@@ -129,8 +130,8 @@ SELECT o_orderkey, rank, (row_number() OVER (PARTITION BY rank ORDER BY o_orderk
 )
 def enum_ordered_filter(spark, d):
     ranked = spark.createDataFrame([("3-MEDIUM", 0), ("1-URGENT", 1), ("5-LOW", 2), ("9-NONE", 3)], "o_orderpriority string, rank int").where("o_orderpriority <> '5-LOW'")
-    rows = table(spark, d, "orders").join(F.broadcast(ranked), "o_orderpriority")
-    return rows.select("o_orderkey", F.col("rank"), F.pmod(F.row_number().over(Window.partitionBy("rank").orderBy("o_orderkey")) - 1, F.lit(8)).alias("worker"))
+    rows = table(spark, d, "orders").join(F.broadcast(ranked), "o_orderpriority").select("rank", "o_orderkey")  # a row for each rank
+    return numbered(rows, ["rank"], ["o_orderkey"], "at").select("o_orderkey", "rank", F.pmod("at", F.lit(8)).alias("worker"))
 
 
 @query("PF10 PF11 SK8", """SELECT event_id, 'info.k' AS name, CAST(json_extract(props, '$.k') AS DOUBLE) AS scalar FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, 'value', value FROM events""")
@@ -155,11 +156,12 @@ def compare_to_baseline(spark, d):
 
 
 @query(
-    "J2 J3 J6 SO2 SC15",
-    """SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT 'part', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""",
+    "J2 J3 SO2 SC15",
+    """SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') UNION ALL SELECT 'part', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)""",
 )
 def orphan_antijoin(spark, d):
     customer, part, orders, lineitem = (table(spark, d, t) for t in ("customer", "part", "orders", "lineitem"))
+    orders, lineitem = orders.where("o_orderpriority = '1-URGENT'"), lineitem.where("l_returnflag = 'R' and l_quantity > 40")
     a = customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
     b = part.join(lineitem, part.p_partkey == lineitem.l_partkey, "left_anti").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
     return a.unionByName(b)
@@ -206,13 +208,14 @@ def range_band_join(spark, d):
 
 @query(
     "J14",
-    """WITH g AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT * FROM g WHERE vec_id % 5 = 0),
+    """WITH g AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT vec_id, label, CAST(embedding[3] AS DOUBLE) AS x, CAST(embedding[4] AS DOUBLE) AS y FROM embeddings),
 r AS (SELECT q.vec_id, arg_min(s.vec_id, ((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y), s.vec_id)) AS nearest, min((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y)) AS d2 FROM g q JOIN s ON q.label = s.label GROUP BY 1)
 SELECT vec_id, nearest, round(sqrt(d2), 6) AS distance FROM r""",
 )
 def nearest_neighbor(spark, d):
-    points = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    nodes = points.where(F.pmod("vec_id", F.lit(5)) == 0).withColumnRenamed("vec_id", "nearest")
+    at = lambda i, name: F.col("embedding")[i].cast("double").alias(name)
+    points = table(spark, d, "embeddings").select("vec_id", "label", at(0, "x"), at(1, "y"))
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("nearest"), "label", at(2, "x"), at(3, "y"))
     found = nearest(points, nodes, ["label"], "vec_id", "nearest")
     return found.select("vec_id", "nearest", F.round(F.sqrt("d2"), 6).alias("distance"))
 
@@ -237,14 +240,14 @@ def cross_actions(spark, d):
 
 @query(
     "J18 T5",
-    """WITH p AS (SELECT a.s_nationkey AS scene, a.s_suppkey AS s, b.s_suppkey AS r FROM supplier a JOIN supplier b USING (s_nationkey)),
-k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY sha256('7:' || s || ':' || r), s, r) AS n FROM p) SELECT scene, s, r FROM k WHERE n <= 5""",
+    """WITH k AS (SELECT s_nationkey AS scene, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY sha256('7:s:' || s_suppkey), s_suppkey) AS ns, row_number() OVER (PARTITION BY s_nationkey ORDER BY sha256('7:r:' || s_suppkey), s_suppkey) AS nr FROM supplier)
+SELECT a.scene, a.id AS s, b.id AS r FROM k a JOIN k b ON a.scene = b.scene AND a.ns <= 5 AND b.nr <= 5""",
 )
 def group_pair_product(spark, d):
-    nodes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("scene"), F.col("s_suppkey").alias("s"))
-    pairs = nodes.join(nodes.withColumnRenamed("s", "r"), "scene")
-    order = Window.partitionBy("scene").orderBy(F.sha2(F.concat_ws(":", F.lit(7), "s", "r"), 256), "s", "r")
-    return pairs.withColumn("n", F.row_number().over(order)).where("n <= 5").select("scene", "s", "r")
+    """Five senders and five receivers of each scene, drawn by a seeded hash, and all pairs of these; never all pairs of a scene."""
+    nodes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("scene"), F.col("s_suppkey").alias("id"))
+    drawn = lambda role: nodes.withColumn("n", F.row_number().over(Window.partitionBy("scene").orderBy(F.sha2(F.concat_ws(":", F.lit(7), F.lit(role), "id"), 256), "id"))).where("n <= 5").select("scene", F.col("id").alias(role))
+    return drawn("s").join(drawn("r"), "scene").select("scene", "s", "r")
 
 
 @query(
@@ -292,9 +295,8 @@ def append_log(spark, d):
 )
 def unfinished_semi(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    done = events.where("event_type = 'purchase' and value > 100").select("user_id")
-    a = events.join(done, "user_id", "left_semi").select("event_id", F.lit(True).alias("finished"))
-    return a.unionByName(events.join(done, "user_id", "left_anti").select("event_id", F.lit(False).alias("finished")))
+    done = events.where("event_type = 'purchase' and value > 100").select("user_id", F.lit(True).alias("done")).distinct()
+    return events.select("event_id", "user_id").join(done, "user_id", "left").select("event_id", F.coalesce("done", F.lit(False)).alias("finished"))
 
 
 @query(
@@ -395,7 +397,7 @@ def done_success(spark, d):
     """SELECT n_nationkey, d AS direction, CASE d WHEN 'left' THEN 45 ELSE -45 END AS yaw, true AS valid, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS total_bytes, printf('%.4f', n_nationkey / 7.0) AS shown FROM nation, (SELECT unnest(['left', 'right']) AS d)""",
 )
 def plan_extras(spark, d):
-    total = table(spark, d, "documents").agg(F.sum("n_chars").alias("total_bytes")).select(F.lit(1).alias("one"), "total_bytes")
+    total = table(spark, d, "documents").agg(F.sum("n_chars").alias("total_bytes")).scalar()
     turns = F.array(F.struct(F.lit("left").alias("direction"), F.lit(45).alias("yaw")), F.struct(F.lit("right").alias("direction"), F.lit(-45).alias("yaw")))
-    rows = table(spark, d, "nation").select("n_nationkey", F.inline(turns), F.lit(1).alias("one")).join(total, "one")
-    return rows.select("n_nationkey", "direction", "yaw", F.lit(True).alias("valid"), "total_bytes", F.call_function("format_number", F.col("n_nationkey") / F.lit(7.0), F.lit("0.0000")).alias("shown"))
+    rows = table(spark, d, "nation").select("n_nationkey", F.inline(turns))
+    return rows.select("n_nationkey", "direction", "yaw", F.lit(True).alias("valid"), total.alias("total_bytes"), F.call_function("format_number", F.col("n_nationkey") / F.lit(7.0), F.lit("0.0000")).alias("shown"))

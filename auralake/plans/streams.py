@@ -10,8 +10,8 @@ from ..streaming.trajectories import finished, running_totals, source
 
 @query("ST1", """SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark, d):
-    counts = source(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return finished(counts, "complete").select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    counts = source(spark, d, "events", closed=True).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return finished(counts, "append").select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(
@@ -20,14 +20,14 @@ def stream_tumbling(spark, d):
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, session""",
 )
 def stream_sessions(spark, d):
-    sessions = source(spark, d, "events").groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count("*").alias("n"))
-    return finished(sessions, "complete").select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
+    sessions = source(spark, d, "events", closed=True).groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count("*").alias("n"))
+    return finished(sessions, "append").select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
 
 
 @query("ST3", """SELECT DISTINCT user_id, event_type FROM events""")
 def stream_distinct(spark, d):
     keys = source(spark, d, "events").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
-    return finished(keys, "append").distinct()
+    return finished(keys, "append")
 
 
 @query("ST4", """SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS episodes, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1""")

@@ -13,10 +13,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.rounds import shared_folder
 
 
-def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's files as a stream, with ``ts`` as an event time and a watermark of ten minutes."""
+def source(spark: SparkSession, folder: str, name: str, closed: bool = False) -> DataFrame:
+    """A table's files as a stream, with ``ts`` as an event time and a watermark of ten minutes.
+
+    ``closed``: a row far in the future follows, so that the watermark passes all that is there and
+    windows are given out and forgotten; its own window never closes.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    if closed:
+        place = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+        spark.range(1).select(*[(F.timestamp_seconds(F.lit(1 << 36)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(place)
+        rows = rows.unionByName(spark.readStream.schema(schema).parquet(place))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
@@ -37,12 +46,18 @@ def running_totals(events: DataFrame) -> DataFrame:
     """(user_id, episodes, n, total): each user's finished episodes, and steps and reward so far."""
 
     def add(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # a user who has been away for a month begins anew
+            state.remove()
+            return
         episodes, n, total = state.get if state.exists else (0, 0, 0.0)
+        last = 0
         for frame in frames:
+            last = max(last, int(frame["ts"].max().timestamp() * 1000))
             episodes += int((frame["event_type"] == "purchase").sum())
             n += len(frame)
             total += float(frame["value"].sum())
         state.update((episodes, n, total))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last) + 30 * 24 * 3600 * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "episodes": [episodes], "n": [n], "total": [total]})
 
-    return events.groupBy("user_id").applyInPandasWithState(add, "user_id long, episodes long, n long, total double", "episodes long, n long, total double", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(add, "user_id long, episodes long, n long, total double", "episodes long, n long, total double", "update", GroupStateTimeout.EventTimeTimeout)
