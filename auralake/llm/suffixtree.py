@@ -151,45 +151,90 @@ def counts(texts: DataFrame, keys: Callable[[pa.Array], np.ndarray]) -> DataFram
     return texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+_DEALT = pa.schema([("bucket", pa.int64()), ("heads", pa.list_(pa.int64())), ("tails", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 _FOLLOWED = pa.schema([("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64())])
+#: Runs that a bucket counts at once, on average, and that a row carries to it at most.
+BUCKET_RUNS, ROW_RUNS = 2_000_000, 2_000
+#: Lengths of contexts that one reading of the text counts, beyond the first.
+LENGTHS = 3
 
 
-def _followers(training: DataFrame, length: int, tried: DataFrame) -> DataFrame:
-    """(head, tail, n): what follows contexts of this length; those of ``tried`` (context), and a few others by chance of the map."""
-    shared = training.sparkSession.sparkContext.broadcast(BitMap(tried, "context"))
+def _summed(head: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal runs as one, in order of head and tail by their upper halves (unlike ones that agree in these may stay apart)."""
+    high = np.uint64(0xFFFFFFFF00000000)
+    order = np.argsort(head & high | tail >> np.uint64(32))
+    head, tail, n = head[order], tail[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])[: len(head)])
+    return head[first], tail[first], np.add.reduceat(n, first) if len(first) else n
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            head, tail, n = map(np.concatenate, zip(*held, strict=True))
-            runs = run_of(head, tail)
-            order = np.argsort(runs)
-            head, tail, n, runs = head[order], tail[order], n[order], runs[order]
-            first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])[: len(head)])
-            return head[first], tail[first], np.add.reduceat(n, first) if len(first) else n
+def _followers(training: DataFrame, first: int, last: int, tried: DataFrame, tokens: int) -> DataFrame:
+    """(head, tail, n): what follows contexts of the lengths ``first`` to ``last``, n being ``LISTED`` or more.
+
+    Of the first length, those of ``tried`` (context); of a greater one, those whose parts of the first
+    length are all tried; and a few others by chance of the map. Runs go to buckets, many in a row in
+    order of their heads, and each bucket is counted on its own.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(BitMap(tried, "context"))
+    buckets = max(1, -(-tokens // BUCKET_RUNS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows(head: np.ndarray, tail: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(n), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (head.view(np.int64), tail.view(np.int64), n)], schema=_FOLLOWED)
+        def rows() -> pa.RecordBatch:
+            head, tail = map(np.concatenate, zip(*held, strict=True))
+            head, tail, n = _summed(head, tail, np.ones(len(head), np.int64))
+            bucket = (run_of(head, tail) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            bucket = bucket[order]
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            starts = np.concatenate([np.arange(a, b, ROW_RUNS) for a, b in zip(edge, [*edge[1:], len(bucket)], strict=True)])
+            offsets = pa.array(np.append(starts, len(bucket)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (head.view(np.int64), tail.view(np.int64), n.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *lists], schema=_DEALT)
 
         for piece in common.pieces(batches):
             runs, bounds = symbols(piece.column("text"))
             place = np.arange(len(runs)) - np.repeat(bounds[:-1], np.diff(bounds))
-            for _ in range(1, length):
+            for _ in range(1, first):
                 runs = longer(runs)
-            at = np.flatnonzero((place[1:] >= length) & shared.value.has(runs[:-1]))
-            held.append((runs[at], runs[at + 1], np.ones(len(at), np.int64)))
+            fit = shared.value.has(runs) & (place >= first - 1)
+            for length in range(first, last + 1):
+                at = np.flatnonzero(fit[:-1] & (place[1:] >= length))
+                held.append((runs[at], runs[at + 1]))
+                if length < last:
+                    runs = longer(runs)
+                    fit[1:] &= fit[:-1] & (place[1:] >= length)
             if sum(len(h[0]) for h in held) > HELD:
-                held = [joined()]
-                if len(held[0][0]) > HELD // 2:
-                    yield from rows(*held.pop())
+                yield rows()
+                held = []
+        if sum(len(h[0]) for h in held):
+            yield rows()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def rows() -> pa.RecordBatch:
+            flat = lambda c: np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in held])
+            head, tail, n = _summed(flat("heads").view(np.uint64), flat("tails").view(np.uint64), flat("counts").astype(np.int64))
+            often = n >= LISTED
+            return pa.RecordBatch.from_arrays([pa.array(head[often].view(np.int64)), pa.array(tail[often].view(np.int64)), pa.array(n[often])], schema=_FOLLOWED)
+
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    if held and held[-1].column("bucket")[0].as_py() != bucket[a]:
+                        yield rows()
+                        held = []
+                    held.append(batch.slice(a, b - a))
         if held:
-            yield from rows(*joined())
+            yield rows()
 
-    found = training.select("text").mapInArrow(count, "head long, tail long, n long").repartition("head", "tail").groupBy("head", "tail").agg(F.sum("n").alias("n"))
+    dealt = training.select("text").mapInArrow(deal, "bucket long, heads array<long>, tails array<long>, counts array<int>").repartition("bucket").sortWithinPartitions("bucket")
     try:
-        return common.stored(found.where(F.col("n") >= LISTED))
+        return common.stored(dealt.mapInArrow(count, "head long, tail long, n long"))
     finally:
         shared.unpersist()
 
@@ -213,10 +258,13 @@ class Model:
         """Grows the tree over ``training`` (text)."""
         tried = self.words.where((F.col("n") >= self.context) & (F.col("key") != int(END))).select(F.col("key").alias("context"), F.col("n").alias("size"))
         known = self.words.select(F.col("key").alias("run"), self.root(F.col("n")).alias("lower"), (F.col("n") / F.lit(max(1, self.total))).alias("lower_share"))
-        parts = []
+        parts, read = [], 0
         while not tried.isEmpty():
-            followed = _followers(training, self.depth + 1, tried)
+            if self.depth + 1 > read:
+                first, read = self.depth + 1, self.depth + LENGTHS if self.depth else 1
+                followed = _followers(training, first, read, tried, self.total)
             entries = followed.join(tried, F.col("head") == F.col("context")).join(known, F.col("run") == F.col("tail")).select("head", "tail", "n", "size", "lower", "lower_share")
+            entries = common.stored(entries)
             share = F.col("n") / F.col("size")
             some = entries.groupBy("head").agg(
                 F.count("*").alias("k"), F.first("size").alias("size"), F.sum(share).alias("shares"), F.sum("lower_share").alias("lowers"), F.sum(share * F.log(share / F.col("lower_share"))).alias("gain"), F.sum((F.col("n") - DISCOUNT) / F.col("size")).alias("given")
