@@ -69,7 +69,16 @@ def stored(df: DataFrame) -> DataFrame:
     place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     small_batches(df.sparkSession)
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    table = df.sparkSession.read.schema(df.schema).parquet(place)
+    table.stored_in = place
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes what ``stored`` has written, when no plan will read it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_in)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from . import common
 CONTEXT, LISTED, DISCOUNT = 50, 3, 0.75
 #: Standard deviations that the test statistic must lie above its mean under chance.
 SIGMAS = 4.0
-FREQUENT = 1e-6
+FREQUENT = 3e-7
 END = np.uint64(0x656E64)
 #: Different symbols or pairs that a task counts before it hands them on.
 HELD = 3_000_000
@@ -258,9 +258,11 @@ class Model:
         """Grows the tree over ``training`` (text)."""
         tried = self.words.where((F.col("n") >= self.context) & (F.col("key") != int(END))).select(F.col("key").alias("context"), F.col("n").alias("size"))
         known = self.words.select(F.col("key").alias("run"), self.root(F.col("n")).alias("lower"), (F.col("n") / F.lit(max(1, self.total))).alias("lower_share"))
-        parts, read = [], 0
+        parts, read, followed = [], 0, None
         while not tried.isEmpty():
             if self.depth + 1 > read:
+                if followed is not None:
+                    common.forget(followed)
                 first, read = self.depth + 1, self.depth + LENGTHS if self.depth else 1
                 followed = _followers(training, first, read, tried, self.total)
             entries = followed.join(tried, F.col("head") == F.col("context")).join(known, F.col("run") == F.col("tail")).select("head", "tail", "n", "size", "lower", "lower_share")
@@ -274,16 +276,20 @@ class Model:
             diverges = 2 * F.col("size") * divergence > F.col("k") + SIGMAS * F.sqrt(2 * F.col("k"))
             kept = common.stored(some.where(diverges).select(F.col("head").alias("state"), F.col("size").alias("state_n"), rest("given").alias("passed")))
             if kept.isEmpty():
+                common.forget(entries)
                 break
             self.depth += 1
             p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("passed") * F.col("lower")
             listed = entries.join(kept, F.col("head") == F.col("state")).select(F.xxhash64("head", "tail").alias("run"), "tail", "n", p.alias("lower"), share.alias("lower_share"), (F.log10(p / F.col("lower")) - F.log10("passed")).alias("score"))
             listed = common.stored(listed)
+            common.forget(entries)
             parts += [listed.select("run", "n", "score"), kept.select(F.col("state").alias("run"), F.col("state_n").alias("n"), F.log10("passed").alias("score"))]
             # A listed run ends in END only as the last of its document, and then its tail is no state.
             tried = common.stored(listed.where(F.col("n") >= self.context).join(kept.select("state"), F.col("tail") == F.col("state"), "left_semi").select(F.col("run").alias("context"), F.col("n").alias("size")))
             known = listed.select("run", "lower", "lower_share")
             self.listed = listed.select("run") if self.listed is None else self.listed.unionByName(listed.select("run"))
+        if followed is not None:
+            common.forget(followed)
         for part in parts:
             self.higher = part if self.higher is None else self.higher.unionByName(part)
         return self
