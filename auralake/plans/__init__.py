@@ -1 +1 @@
-from . import measures, relational, spatial, streams
+from . import measures, relational, space, spatial, streams

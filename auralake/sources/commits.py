@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def safe_component(name: str) -> str:
-    """``name`` if it is a single path component; ValueError otherwise."""
-    if not name or name in (".", "..") or len(PurePosixPath(name).parts) != 1 or "/" in name:
+    """``name`` if it is a single path component that every store takes; ValueError otherwise."""
+    if not name or name.endswith(".") or len(PurePosixPath(name).parts) != 1 or any(c in "/\\:" or ord(c) < 32 for c in name):
         raise ValueError(f"not a single path component: {name!r}")
     return name
 
