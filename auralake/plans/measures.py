@@ -22,7 +22,7 @@ KEY, STEP = ["user_id"], ["ts", "event_id"]
 
 
 @query(
-    "A1 A2 A3 PF7 SK6 V7",
+    "A1 A2 A3 PF7",
     """WITH u AS (SELECT 'acctbal' AS field, c_acctbal AS x FROM customer UNION ALL SELECT 'totalprice', o_totalprice FROM orders UNION ALL SELECT 'retailprice', p_retailprice FROM part UNION ALL SELECT 'none', NULL FROM region)
 SELECT field, count(x) AS count, min(x) AS min, round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.95), 6) AS p95, max(x) AS max FROM u GROUP BY field""",
 )
@@ -61,7 +61,7 @@ def norm_advantage(spark, d):
 
 
 @query(
-    "A15 A16 A17",
+    "A15 A16",
     """SELECT CASE WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%#%' THEN 'anchor' ELSE 'plain' END AS kind, count(*) AS files, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages WHERE url NOT LIKE '%_SUCCESS' GROUP BY 1""",
 )
 def storage_rollup(spark, d):
@@ -188,7 +188,7 @@ _TURN = "CASE event_type WHEN 'view' THEN 90 WHEN 'signup' THEN -90 ELSE 0 END"
 
 
 @query(
-    "W17 M16 M17 G16",
+    "W17",
     f"""WITH h AS (SELECT event_id, user_id, ts, event_type, ((sum({_TURN}) OVER (PARTITION BY user_id ORDER BY ts, event_id)) % 360 + 360) % 360 AS heading FROM events),
 m AS (SELECT *, CASE WHEN event_type = 'click' THEN CASE heading WHEN 0 THEN 1 WHEN 180 THEN -1 ELSE 0 END ELSE 0 END AS dx, CASE WHEN event_type = 'click' THEN CASE heading WHEN 90 THEN 1 WHEN 270 THEN -1 ELSE 0 END ELSE 0 END AS dy FROM h)
 SELECT event_id, CAST(heading AS BIGINT) AS heading, CAST(sum(dx) OVER w AS BIGINT) AS x, CAST(sum(dy) OVER w AS BIGINT) AS y FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
@@ -202,7 +202,7 @@ def dead_reckoning(spark, d):
 
 
 @query(
-    "E2 E3 E4 E7 PF17",
+    "E2 E3 E4 PF17",
     """SELECT o_orderkey, round(s * (gt / greatest(gt, na)), 6) AS sna, floor((final / nullif(start, 0)) * 1000000 + 0.5) / 1000000 AS ndg, s * CASE WHEN na > 5 THEN 1 ELSE 0 END AS sws, round(s * start / greatest(start, na), 6) AS spl
 FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS s, CAST(o_custkey % 13 + 1 AS DOUBLE) AS gt, o_orderkey % 17 AS na, o_totalprice / 1000 AS final, CAST(o_custkey % 7 AS DOUBLE) AS start FROM orders) WHERE na + start > 0""",
 )

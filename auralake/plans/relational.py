@@ -24,7 +24,7 @@ def manifest_scan_sorted(spark, d):
 
 
 @query(
-    "SC3 SC4 J8 PF16",
+    "J8 PF16",
     """SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 3""",
 )
 def registry_broadcast_lookup(spark, d):
@@ -168,7 +168,7 @@ def orphan_antijoin(spark, d):
 
 
 @query(
-    "J4 J5 V4 A18 PF12",
+    "J4 A18 PF12",
     """WITH c AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_returnflag, l_linestatus)) AS states FROM lineitem GROUP BY 1)
 SELECT o_orderkey, coalesce(n, 0) AS n, coalesce(states, 0) AS states, (o_orderstatus = 'F') = (coalesce(n, 0) >= 4) AS consistent FROM orders LEFT JOIN c ON l_orderkey = o_orderkey WHERE coalesce(states, 0) <> 1""",
 )
@@ -195,7 +195,7 @@ def resume_incremental(spark, d):
 
 
 @query(
-    "J13 J15 J24",
+    "J13",
     """SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.s_acctbal - b.s_acctbal), 6) AS gap FROM supplier a JOIN supplier b ON a.s_nationkey % 5 = b.s_nationkey % 5 AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) > 1 AND abs(a.s_acctbal - b.s_acctbal) < 250""",
 )
 def range_band_join(spark, d):
@@ -280,7 +280,7 @@ def text_axis_remap(spark, d):
 
 
 @query(
-    "SK4 SK7 SK9 SK10 A10",
+    "SK7 A10",
     """SELECT user_id || ',' || event_type AS key, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY user_id, event_type""",
 )
 def append_log(spark, d):
@@ -312,7 +312,7 @@ def material_explode(spark, d):
 
 
 @query(
-    "T2 T4 T10",
+    "T2 T4",
     """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 99 END, coalesce(o_orderstatus, ''), o_totalprice DESC, o_orderkey LIMIT 50""",
 )
 def composite_sort_topk(spark, d):
@@ -332,7 +332,7 @@ def union_viewpoints(spark, d):
 
 
 @query(
-    "V1 V3 V5 V8 V9 A24",
+    "V1 V3 V5 A24",
     """WITH f AS (SELECT 'duplicate_key' AS rule, l_orderkey || '/' || l_linenumber AS key, 'hard' AS level FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 UNION ALL SELECT 'missing_order', CAST(l_orderkey AS VARCHAR), 'hard' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'price_range', CAST(o_orderkey AS VARCHAR), 'hard' FROM orders WHERE o_totalprice IS NULL OR o_totalprice < 0
@@ -368,7 +368,7 @@ def seeded_draw(spark, d):
 
 
 @query(
-    "X1 X2 X3 X17 X20 X25 X30",
+    "X1 X2 X17 X20 X25 X30",
     """SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LARGE' THEN 2 END AS task_id, p_partkey % 40 AS palette, CASE WHEN p_size > 25 THEN 256 ELSE 128 END AS resolution, a AS angle, coalesce(nullif(p_brand, 'Brand#1'), 'UNKNOWN') AS commit_id
 FROM (SELECT *, unnest(CASE WHEN p_size > 25 THEN [0, 120, 240] ELSE [0, 90, 180, 270] END) AS a FROM part)""",
 )
@@ -393,7 +393,7 @@ def done_success(spark, d):
 
 
 @query(
-    "X16 X18 X19 X31",
+    "X16 X19 X31",
     """SELECT n_nationkey, d AS direction, CASE d WHEN 'left' THEN 45 ELSE -45 END AS yaw, true AS valid, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS total_bytes, printf('%.4f', n_nationkey / 7.0) AS shown FROM nation, (SELECT unnest(['left', 'right']) AS d)""",
 )
 def plan_extras(spark, d):

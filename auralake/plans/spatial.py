@@ -24,7 +24,7 @@ _EARS = "s AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: C
 
 
 @query(
-    "M1 M2 M3 A25 A26",
+    "M2 M3 A25 A26",
     f"""WITH {_EARS}, e AS (SELECT vec_id, list_sum(list_transform(l, lambda x: x * x)) AS el, list_sum(list_transform(r, lambda x: x * x)) AS er, list_max(list_transform(l, lambda x: abs(x))) AS pl, list_max(list_transform(r, lambda x: abs(x))) AS pr, len(list_filter(list_transform(range(1, 33), lambda i: greatest(abs(l[i]), abs(r[i]))), lambda x: x < 0.05)) AS quiet, len(list_filter(list_concat(l, r), lambda x: abs(x) >= 0.3)) AS loud FROM s)
 SELECT vec_id, round(20 * log10(greatest(sqrt(el / 32), 1e-12)), 6) AS rms_left_dbfs, round(20 * log10(greatest(sqrt(er / 32), 1e-12)), 6) AS rms_right_dbfs, round(10 * log10((el / 32 + 1e-12) / (er / 32 + 1e-12)), 6) AS ild, round(pl, 6) AS peak_left, round(pr, 6) AS peak_right, quiet / 32.0 AS silence, loud / 64.0 AS clipping, round(el, 6) AS energy_left, round(er, 6) AS energy_right FROM e""",
 )
@@ -89,7 +89,7 @@ def onehot(spark, d):
 
 
 @query(
-    "M9 M15 M18 M19 PF13",
+    "M9 M18 PF13",
     """WITH c AS (SELECT CAST(floor((c_acctbal + 1000) / 500) AS BIGINT) AS x, CAST(floor(c_nationkey / 5.0) AS BIGINT) AS y, c_acctbal < 0 AS blocked FROM customer WHERE c_acctbal <> 0 AND c_acctbal <= 9000),
 g AS (SELECT x, y, bool_or(blocked) AS blocked, count(*) AS n FROM c GROUP BY 1, 2)
 SELECT CAST(dx AS BIGINT) AS dx, CAST(dy AS BIGINT) AS dy, coalesce(CASE WHEN blocked THEN 1 ELSE 0 END, 0) AS obstacle, coalesce(n, 0) AS seen FROM (SELECT unnest(range(-3, 24)) AS dx), (SELECT unnest(range(-2, 8)) AS dy) LEFT JOIN g ON x = dx AND y = dy""",
@@ -150,7 +150,7 @@ def azimuth_geometry(spark, d):
 
 
 @query(
-    "G9 G10 G11 G14 G15",
+    "G9 G10 G14 G15",
     """WITH t AS (SELECT s_suppkey, s_acctbal / 1000 AS x, CAST(s_nationkey AS DOUBLE) AS y, radians(CAST(s_suppkey * 37 % 360 AS DOUBLE)) AS h FROM supplier),
 r AS (SELECT s_suppkey, h, x * cos(h) + y * sin(h) AS bx, y * cos(h) - x * sin(h) AS byy FROM t)
 SELECT s_suppkey, round(bx, 6) AS bx, round(byy, 6) AS by_, round(atan2(sin(h - 1), cos(h - 1)), 6) AS heading, CASE WHEN abs(atan2(byy, bx)) <= radians(15) THEN 'FORWARD' WHEN atan2(byy, bx) > 0 THEN 'LEFT' ELSE 'RIGHT' END AS action, round(exp(-s_suppkey / 50.0), 6) AS fade FROM r""",
@@ -195,7 +195,7 @@ def graph_components(spark, d):
 
 
 @query(
-    "GR5 GR6 GR9 GR10 G12",
+    "GR6 GR9 G12",
     """WITH c AS (SELECT DISTINCT p_size % 10 AS x, p_partkey % 10 AS y FROM part WHERE p_retailprice > 905), q AS (SELECT x * 10 + y AS node, x, y FROM c WHERE NOT (x = 3 AND y = 3))
 SELECT a.node AS src, b.node AS dst, CAST((round_even(degrees(atan2(CAST(b.y - a.y AS DOUBLE), CAST(b.x - a.x AS DOUBLE))), 0) % 360 + 360) % 360 AS BIGINT) AS direction FROM q a JOIN q b ON abs(a.x - b.x) + abs(a.y - b.y) = 1""",
 )
@@ -241,7 +241,7 @@ def distance_to_prediction(spark, d):
 
 
 @query(
-    "X11 X12 X13 X14 X15",
+    "X11 X12 X13 X15",
     """SELECT p_partkey, p_partkey % 81 // 9 AS row_, p_partkey % 81 % 9 AS col, p_partkey % 81 = 40 AS stop, p_size * 100 + p_partkey % 100 AS node, list_transform(range(0, 4), lambda i: CAST(trunc((p_size - 25) / 2.0) AS BIGINT) + i) AS lattice, -1 + 40 * 0.2 * (p_size // 10) AS extent FROM part""",
 )
 def flat_index(spark, d):
