@@ -40,6 +40,13 @@ class Output:
             raise ValueError(f"{name}: key {key} repeats or is null")
         rows.select(*sorted(rows.columns)).repartitionByRange(*[F.col(k).cast("string") for k in key]).sortWithinPartitions(*[F.col(k).cast("string") for k in key]).write.mode("overwrite").json(f"{self.folder}/{safe_component(name)}")
 
+    def append(self, log: str, rows: DataFrame, form: str = "json") -> None:
+        """Adds ``rows`` to a log of this output, as JSON lines or as CSV whose files begin with a header; what is there stays as it is."""
+        if self.final:
+            raise PermissionError(f"{self.folder} is final")
+        writer = rows.write.mode("append")
+        (writer.option("header", True) if form == "csv" else writer).format(form).save(f"{self.folder}/{safe_component(log)}")
+
     def bytes_by_kind(self) -> DataFrame:
         """(kind, files, bytes) of the files below the folder by their suffix, markers left out."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.folder).select("path", "length").where(~F.col("path").rlike(r"/_[^/]*$"))

@@ -57,6 +57,19 @@ def test_outputs_are_guarded(spark, tmp_path):
         out.write("episodes", rows, ["id"])
 
 
+def test_logs_are_added_to(spark, tmp_path):
+    out = commits.Output(spark, str(tmp_path), "set_b")
+    for step in range(3):
+        out.append("events", spark.createDataFrame([(step, "done")], "step int, what string"))
+        out.append("scalars", spark.createDataFrame([(step, step / 2), (step, None)], "step int, loss double"), "csv")
+    assert sorted(r.step for r in spark.read.json(f"{out.folder}/events").collect()) == [0, 1, 2]
+    scalars = spark.read.option("header", True).schema("step int, loss double").csv(f"{out.folder}/scalars")
+    assert sorted((r.step, r.loss) for r in scalars.where("loss is not null").collect()) == [(0, 0.0), (1, 0.5), (2, 1.0)] and scalars.count() == 6
+    out.finish({"status": "PASS"})
+    with pytest.raises(PermissionError):
+        out.append("events", spark.createDataFrame([(9, "late")], "step int, what string"))
+
+
 @pytest.mark.parametrize("name", ["a\\b", "tab\tname", "trailing.", "..", "set/a", "C:", "\0", ""])
 def test_unsafe_names(name):
     with pytest.raises(ValueError, match="component"):
