@@ -41,3 +41,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
         if new.where("before <> component").isEmpty():
             return label
+
+
+def patched(edges: DataFrame, removed: DataFrame, added: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """``edges`` (src, dst) without those of ``removed`` and without all that touch ``nodes`` (node), with those of ``added``, each once."""
+    left = edges.select("src", "dst").join(removed.select("src", "dst"), ["src", "dst"], "left_anti")
+    if nodes is not None:
+        for end in ("src", "dst"):
+            left = left.join(nodes.select(F.col("node").alias(end)), end, "left_anti")
+    return (left if added is None else left.unionByName(added.select("src", "dst"))).select("src", "dst").distinct()

@@ -1 +1 @@
-from . import measures, relational, space, spatial, streams
+from . import maps, measures, relational, space, spatial, streams
