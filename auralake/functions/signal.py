@@ -95,19 +95,55 @@ def convolved(left: Column, right: Column) -> Column:
     return convolve_rows(left, right)
 
 
-def convolve(dry: np.ndarray, rir: np.ndarray) -> np.ndarray:
-    """Full convolution of each channel, as float32: ``dry`` (n,), ``rir`` (m, channels)."""
+def _full(dry: np.ndarray, rir: np.ndarray) -> np.ndarray:
     n = len(dry) + len(rir) - 1
     size = 1 << max(0, n - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(dry, size)[:, None] * np.fft.rfft(rir, size, axis=0), size, axis=0)[:n].astype(np.float32)
+    return np.fft.irfft(np.fft.rfft(dry, size)[:, None] * np.fft.rfft(rir, size, axis=0), size, axis=0)[:n]
+
+
+def convolve(dry: np.ndarray, rir: np.ndarray) -> np.ndarray:
+    """Full convolution of each channel, as float32: ``dry`` (n,), ``rir`` (m, channels)."""
+    return _full(dry, rir).astype(np.float32)
+
 
+def heard(source: np.ndarray, rir: np.ndarray, begin: int, count: int, wrap: bool = False) -> np.ndarray:
+    """(count, channels): samples from ``begin`` on of a source through a response (m, channels), with what sounded before.
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Polyphase resampling with a Kaiser window of shape 5, zeros beyond the ends."""
+    Past the source's end it is silent, or begins again if ``wrap``; an empty response is silence.
+    """
+    if not len(rir):
+        return np.zeros((count, rir.shape[1]))
+    early = max(0, begin - len(rir) + 1)
+    segment = source.take(np.arange(early, begin + count), mode="wrap") if wrap else source[early : begin + count]
+    if not len(segment):
+        return np.zeros((count, rir.shape[1]))
+    found = _full(segment, rir)[begin - early : begin - early + count]
+    return np.pad(found, [(0, count - len(found)), (0, 0)])
+
+
+def crossfade(before: np.ndarray, now: np.ndarray, rate: int, seconds: float = 0.05) -> np.ndarray:
+    """``now`` (n, channels), its first ``seconds`` blended linearly out of ``before``."""
+    n = int(seconds * rate)
+    if not n:
+        return now
+    share = np.arange(n + 1)[:, None] / n
+    return np.concatenate([before[: n + 1] * share[::-1] + now[: n + 1] * share, now[n + 1 :]])
+
+
+def resample(x: np.ndarray, rate: int, to: int, expected: int | None = None) -> np.ndarray:
+    """Polyphase resampling with a Kaiser window of shape 5, zeros beyond the ends, as float32; ValueError if not ``expected`` samples come out."""
+    out = resampled(x, rate, to).astype(np.float32)
+    if expected is not None and len(out) != expected:
+        raise ValueError(f"{len(out)} samples, not {expected}")
+    return out
+
+
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """``resample`` in double precision."""
     g = gcd(rate, to)
     up, down = to // g, rate // g
     if up == down:
-        return x.astype(np.float32)
+        return x.astype(np.float64)
     most = max(up, down)
     half = 10 * most
     t = np.arange(-half, half + 1)
@@ -123,7 +159,7 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
         tap = phase + j * up
         use = tap <= 2 * half
         out[use] += taps[tap[use]] * padded[np.clip(first[use] - j + width, 0, len(padded) - 1)]
-    return out.astype(np.float32)
+    return out
 
 
 def spectrogram(channels: np.ndarray, n_fft: int = 512, hop: int = 160, window: int = 400) -> np.ndarray:
@@ -143,12 +179,7 @@ def spectrogram(channels: np.ndarray, n_fft: int = 512, hop: int = 160, window:
 
 def audio_window(source: np.ndarray, rir: np.ndarray, index: int, rate: int) -> np.ndarray:
     """The second ``index`` of a source heard through a room response (m, 2), reverberation of earlier sound included."""
-    start = index * rate
-    if not len(rir):
-        return np.zeros((2, rate), np.float32)
-    early = max(0, start - len(rir) + 1)
-    heard = convolve(source[early : start + rate], rir)[start - early : start - early + rate]
-    return np.pad(heard, [(0, rate - len(heard)), (0, 0)]).T
+    return heard(source, rir, index * rate, rate).astype(np.float32).T
 
 
 def golden_probe(seed: int = 20260824, n: int = 80_000, scale: float = 0.05) -> np.ndarray:

@@ -71,11 +71,15 @@ def convolve_full(spark, d):
 
 @query(
     "M13",
-    f"""WITH {_EARS}, f AS (SELECT vec_id, l, list_position(list_transform(l, lambda x: abs(x) > 0.5 * list_max(list_transform(l, lambda y: abs(y)))), true) AS a FROM s) SELECT vec_id, CAST(a - 1 AS INTEGER) AS first_sample, round(list_sum(list_transform(l[a:a + 7], lambda x: x * x)) / len(l[a:a + 7]), 6) AS intensity FROM f""",
+    f"""WITH {_EARS}, m AS (SELECT *, 0.1::DOUBLE * greatest(list_max(l), list_max(r)) AS least FROM s),
+f AS (SELECT vec_id, l, r, least(coalesce(nullif(list_position(list_transform(l, lambda x: x > least), true), 0), 1), coalesce(nullif(list_position(list_transform(r, lambda x: x > least), true), 0), 1)) AS a FROM m)
+SELECT vec_id, CAST(a - 1 AS INTEGER) AS first_sample, round(list_sum(list_transform(list_concat(l[a:a + 149], r[a:a + 149]), lambda x: x * x)) / len(list_concat(l[a:a + 149], r[a:a + 149])), 6) AS intensity FROM f""",
 )
 def direct_intensity(spark, d):
-    loud = F.transform("l", lambda x: F.abs(x) > F.col("half"))
-    rows = _ears(spark, d).select("vec_id", "l", (0.5 * signal.peak(F.col("l"))).alias("half")).select("vec_id", "l", F.array_position(loud, True).cast("int").alias("a")).select("vec_id", "a", F.slice("l", F.col("a"), F.lit(8)).alias("s"))
+    """The mean square, over both ears, of 150 samples from the first on that is louder than a tenth of the loudest."""
+    first = lambda ear: F.greatest(F.array_position(F.transform(ear, lambda x: x > F.col("least")), True), F.lit(1))
+    rows = _ears(spark, d).select("vec_id", "l", "r", (0.1 * F.greatest(F.array_max("l"), F.array_max("r"))).alias("least")).select("vec_id", "l", "r", F.least(first("l"), first("r")).cast("int").alias("a"))
+    rows = rows.select("vec_id", "a", F.concat(F.slice("l", F.col("a"), F.lit(150)), F.slice("r", F.col("a"), F.lit(150))).alias("s"))
     return rows.select("vec_id", (F.col("a") - 1).alias("first_sample"), F.round(signal.energy(F.col("s")) / F.size("s"), 6).alias("intensity"))
 
 
