@@ -112,19 +112,20 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(paired(common.read(spark, sf_dir, "conversations")))
 
 
-#: The same rows in SQL where no two conversations open alike and conv_id has no gaps, as in the test tables; else it pairs in blocks of 64 ids.
+#: The same rows in SQL, for turns whose numbers do not repeat within a conversation.
 SQL = """
 WITH turns AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 ranked AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1)) AS k FROM turns),
-openings AS (SELECT conv_id, role AS r0, text AS t0 FROM ranked WHERE k = 1),
 lined AS (SELECT conv_id, row_number() OVER w - 1 AS at_, lead(conv_id) OVER w AS next_, lag(conv_id) OVER w AS last_
-          FROM openings WINDOW w AS (PARTITION BY r0, t0, conv_id // 64 ORDER BY conv_id)),
-matched AS (SELECT conv_id, CASE WHEN at_ % 2 = 0 THEN CASE WHEN next_ IS NOT NULL THEN conv_id END ELSE last_ END AS mate FROM lined),
-pairs AS (SELECT conv_id, CASE WHEN mate IS NULL AND sum(CASE WHEN mate IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id // 2) = 2
-                 THEN conv_id // 2 * 2 ELSE mate END AS pair_id FROM matched),
-placed AS (SELECT p.pair_id, CASE WHEN t.conv_id = p.pair_id THEN 'chosen' ELSE 'rejected' END AS side, t.turn, coalesce(t.role, '') AS role, coalesce(t.text, '') AS text,
-                  row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn NULLS FIRST, t.role, t.text) AS place
-           FROM turns t JOIN pairs p USING (conv_id) WHERE p.pair_id IS NOT NULL),
+          FROM ranked WHERE k = 1 WINDOW w AS (PARTITION BY role, text ORDER BY conv_id)),
+matched AS (SELECT conv_id, CASE WHEN at_ % 2 = 1 THEN last_ WHEN next_ IS NOT NULL THEN conv_id END AS pair_id FROM lined),
+rest AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS at_, lag(conv_id) OVER (ORDER BY conv_id) AS last_ FROM matched WHERE pair_id IS NULL),
+pairs AS (SELECT conv_id, pair_id, CASE WHEN conv_id = pair_id THEN 'chosen' ELSE 'rejected' END AS side FROM matched WHERE pair_id IS NOT NULL
+          UNION ALL SELECT conv_id, CASE WHEN at_ % 2 = 0 THEN conv_id ELSE last_ END, CASE WHEN at_ % 2 = 0 THEN 'chosen' ELSE 'rejected' END FROM rest
+          UNION ALL SELECT conv_id, conv_id, 'rejected' FROM rest WHERE at_ % 2 = 0 AND at_ = (SELECT max(at_) FROM rest)),
+placed AS (SELECT p.pair_id, p.side, t.turn, coalesce(t.role, '') AS role, coalesce(t.text, '') AS text,
+                  row_number() OVER (PARTITION BY p.pair_id, p.side ORDER BY t.turn NULLS FIRST, coalesce(t.role, ''), coalesce(t.text, '')) AS place
+           FROM turns t JOIN pairs p USING (conv_id)),
 compared AS (SELECT pair_id, place, count(*) AS n, min(role || chr(0) || text) AS low, max(role || chr(0) || text) AS high FROM placed GROUP BY pair_id, place),
 split AS (SELECT pair_id, coalesce(min(CASE WHEN n < 2 OR low <> high THEN place END), max(place) + 1) AS split FROM compared GROUP BY pair_id),
 shown AS (SELECT pair_id, CASE WHEN place < split THEN 'prompt' ELSE side END AS part, place, turn, role, '<|' || role || '|>' || chr(10) || text || chr(10) AS segment
