@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIGNAL = "struct<left: array<float>, right: array<float>, sr: int, n: int, error: string>"
+SIGNAL = "struct<left: array<float>, right: array<float>, sr: int, n: int, channels: int, error: string>"
 
 
 def write_wav(samples: np.ndarray, rate: int) -> bytes:
@@ -80,24 +80,29 @@ def decoded(content: Column, kind: str) -> Column:
                 else:
                     arrays = read_npz(item.as_py())
                     x, rate = arrays["rir"], int(arrays["sample_rate_hz"])
-                rows.append({"left": x[:, 0], "right": x[:, -1], "sr": rate, "n": len(x), "error": None})
+                rows.append({"left": x[:, 0], "right": x[:, -1], "sr": rate, "n": len(x), "channels": x.shape[1], "error": None})
             except (ValueError, KeyError, TypeError, OSError) as problem:
-                rows.append({"left": None, "right": None, "sr": None, "n": None, "error": str(problem)[:200]})
-        fields = [("left", pa.list_(pa.float32())), ("right", pa.list_(pa.float32())), ("sr", pa.int32()), ("n", pa.int32()), ("error", pa.string())]
+                rows.append({"left": None, "right": None, "sr": None, "n": None, "channels": None, "error": str(problem)[:200]})
+        fields = [("left", pa.list_(pa.float32())), ("right", pa.list_(pa.float32())), ("sr", pa.int32()), ("n", pa.int32()), ("channels", pa.int32()), ("error", pa.string())]
         return pa.StructArray.from_arrays([pa.array([r[n] for r in rows], t) for n, t in fields], [n for n, _ in fields])
 
     return decode(content)
 
 
 def read_signals(spark: SparkSession, path: str, kind: str = "wav") -> DataFrame:
-    """(path, length, sha256, left, right, sr, n, error) of each file."""
+    """(path, length, sha256, left, right, sr, n, channels, error) of each file."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), decoded(F.col("content"), kind).alias("_s")).select("path", "length", "sha256", "_s.*")
 
 
 def audited(registry: DataFrame, files: DataFrame, least_seconds: float = 5.0) -> DataFrame:
-    """(audio_id, problem) for each rule that a registry row (audio_id, path, sample_rate_hz, sha256) breaks against ``read_signals``."""
-    joined = registry.alias("r").join(files.alias("f"), F.col("f.path").endswith(F.col("r.path")), "left")
+    """(audio_id, problem) for each rule that a registry row (audio_id, path, sample_rate_hz, sha256) breaks against ``read_signals``.
+
+    ``channels`` and ``duration_sec`` are checked where the registry has them. Rows find their file by its
+    name and then by the whole of their path.
+    """
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    joined = registry.alias("r").join(files.alias("f"), (name("f.path") == name("r.path")) & F.col("f.path").endswith(F.col("r.path")), "left")
     rules = {
         "missing": F.col("f.path").isNull(),
         "unreadable": F.col("f.error").isNotNull(),
@@ -106,6 +111,10 @@ def audited(registry: DataFrame, files: DataFrame, least_seconds: float = 5.0) -
         "short": F.col("f.n") < least_seconds * F.col("f.sr"),
         "not finite": F.exists("f.left", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))),
     }
+    if "channels" in registry.columns:
+        rules["channels"] = F.col("f.channels") != F.col("r.channels")
+    if "duration_sec" in registry.columns:
+        rules["duration"] = F.abs(F.col("f.n") / F.col("f.sr") - F.col("r.duration_sec")) > 1e-6
     broken = joined.select(F.col("r.audio_id").alias("audio_id"), F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))).alias("problem"))
     twice = registry.groupBy("audio_id").count().where("count > 1").select("audio_id", F.lit("repeated id").alias("problem"))
     return broken.unionByName(twice)

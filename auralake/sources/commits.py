@@ -47,6 +47,28 @@ class Output:
         writer = rows.write.mode("append")
         (writer.option("header", True) if form == "csv" else writer).format(form).save(f"{self.folder}/{safe_component(log)}")
 
+    def report(self, name: str, rows: DataFrame) -> dict:
+        """Writes the one row of ``rows``, a report's aggregates, with the time in UTC as a JSON document, and returns it; ValueError unless it is one row."""
+        if self.final:
+            raise PermissionError(f"{self.folder} is final")
+        found = rows.withColumn("generated_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).select(F.to_json(F.struct("*")).alias("j")).take(2)
+        if len(found) != 1:
+            raise ValueError(f"{name}: a report is one row")
+        report = json.loads(found[0].j)
+        self._put(f"{safe_component(name)}.json", json.dumps(report, sort_keys=True, indent=2) + "\n", True)
+        return report
+
+    def text(self, name: str, content: str) -> None:
+        """Writes a short text, such as a summary in Markdown."""
+        if self.final:
+            raise PermissionError(f"{self.folder} is final")
+        self._put(safe_component(name), content, True)
+
+    def _put(self, name: str, content: str, over: bool) -> None:
+        stream = self._store.create(self._path(name), over)
+        stream.write(bytearray(content.encode()))
+        stream.close()
+
     def bytes_by_kind(self) -> DataFrame:
         """(kind, files, bytes) of the files below the folder by their suffix, markers left out."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.folder).select("path", "length").where(~F.col("path").rlike(r"/_[^/]*$"))
@@ -56,9 +78,7 @@ class Output:
         """Marks the output as final; ValueError unless the report's status is PASS."""
         if report.get("status") != "PASS":
             raise ValueError("only an output that passed its checks can be final")
-        stream = self._store.create(self._path("_FINAL"), False)
-        stream.write(bytearray(json.dumps(report, sort_keys=True).encode()))
-        stream.close()
+        self._put("_FINAL", json.dumps(report, sort_keys=True), False)
 
 
 def merged(base: dict, over: dict) -> dict:

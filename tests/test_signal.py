@@ -39,3 +39,28 @@ def test_window_of_a_long_source_is_the_whole_convolution():
     rng = np.random.default_rng(0)
     source, room = rng.standard_normal(300), rng.standard_normal((50, 2))
     np.testing.assert_allclose(signal.audio_window(source, room, 1, 100), signal.convolve(source, room)[100:200].T, atol=1e-3)
+
+
+def test_sound_by_steps():
+    """Against plain sums: before the response is over, in the middle, past the end, and where the source begins again."""
+    rng = np.random.default_rng(3)
+    source, room = rng.normal(size=50), rng.normal(size=(9, 2))
+    for wrap in (False, True):
+        for begin in (0, 4, 20, 45, 49):
+            found = signal.heard(source, room, begin, 10, wrap)
+            for i in range(10):
+                past = [(k, begin + i - k) for k in range(9) if begin + i - k >= 0 and (wrap or begin + i - k < 50)]
+                assert np.allclose(found[i], sum((room[k] * source[t % 50] for k, t in past), np.zeros(2)))
+    assert not signal.heard(source, np.zeros((0, 2)), 3, 10).any() and not signal.heard(source, room, 70, 10).any()
+
+
+def test_crossfade():
+    mixed = signal.crossfade(np.ones((100, 1)), np.zeros((100, 1)), 100)
+    assert np.allclose(mixed[:6, 0], [1, 0.8, 0.6, 0.4, 0.2, 0]) and not mixed[6:].any()
+    assert (signal.crossfade(np.ones((4, 1)), np.zeros((4, 1)), 10) == 0).all()
+
+
+def test_resampling_says_how_many_samples_it_wants():
+    assert len(signal.resample(np.ones(48), 48000, 16000, 16)) == 16
+    with pytest.raises(ValueError, match="17"):
+        signal.resample(np.ones(48), 48000, 16000, 17)

@@ -1,10 +1,14 @@
+import csv
+import datetime
+import hashlib
 import io
 
 import numpy as np
 import pytest
 
 from auralake.functions import signal
-from auralake.sources import audio, commits
+from auralake.plans import records
+from auralake.sources import audio, commits, registries
 
 
 def test_wav_images_round_trip():
@@ -84,3 +88,62 @@ def test_configuration_and_evidence():
     assert commits.evidence_status({"spot_checks": [{"passed": True}] * 3}) == "PASS"
     with pytest.raises(ValueError, match="spot"):
         commits.evidence_status({"spot_checks": []})
+
+
+def test_reports(spark, tmp_path):
+    out = commits.Output(spark, str(tmp_path), "set_b")
+    rows = spark.createDataFrame([(3, 0.5)], "episodes long, rate double")
+    found = out.report("geometry", rows)
+    assert (found["episodes"], found["rate"]) == (3, 0.5)
+    written = datetime.datetime.fromisoformat(found["generated_at"])
+    assert abs((datetime.datetime.now(datetime.UTC) - written).total_seconds()) < 60
+    out.text("summary.md", "| a |\n")
+    assert (tmp_path / "set_b" / "summary.md").read_text() == "| a |\n" and (tmp_path / "set_b" / "geometry.json").exists()
+    with pytest.raises(ValueError, match="one row"):
+        out.report("geometry", rows.unionAll(rows))
+    out.finish({"status": "PASS"})
+    with pytest.raises(PermissionError):
+        out.report("geometry", rows)
+
+
+def test_scene_registry(spark, tmp_path):
+    pytest.importorskip("yaml")
+    for name in ("a.glb", "a.navmesh", "a.json"):
+        (tmp_path / name).touch()
+    text = "scenes:\n  room:\n    dataset: d\n    scene_asset: a.glb\n    navmesh: a.navmesh\n    semantic_info: a.json\n    materials_mode: off\n"
+    (tmp_path / "scenes.yaml").write_text(text)
+    row = registries.read_scenes(spark, str(tmp_path / "scenes.yaml"), str(tmp_path)).first()
+    assert row.scene_id == "room" and row.navmesh == str((tmp_path / "a.navmesh").resolve()) and row.materials_mode == "off" and row.stage_config is None
+    for broken, said in ((text.replace("navmesh: a.", "navmesh: b."), "no file"), (text.replace("    dataset: d\n", ""), "lacks dataset"), (text.replace("mode: off", "mode: on"), "off"), ("", "no scenes")):
+        (tmp_path / "scenes.yaml").write_text(broken)
+        with pytest.raises(ValueError, match=said):
+            registries.read_scenes(spark, str(tmp_path / "scenes.yaml"), str(tmp_path))
+
+
+def test_sound_registry(spark, tmp_path):
+    image = audio.write_wav(np.full((80000, 2), 0.1, np.float32), 16000)
+    (tmp_path / "tone.wav").write_bytes(image)
+    good = dict(audio_id="tone", event_class="bell", path="tone.wav", duration_sec="5.0", sample_rate_hz="16000", channels="2", sha256=hashlib.sha256(image).hexdigest(), source_dataset="own")
+
+    def read(*rows):
+        with open(tmp_path / "sounds.csv", "w", newline="") as out:
+            writer = csv.DictWriter(out, registries.SOUND_FIELDS)
+            writer.writeheader()
+            writer.writerows(rows)
+        return registries.read_sounds(spark, str(tmp_path / "sounds.csv"), str(tmp_path))
+
+    assert read(good).first().duration_sec == 5.0
+    for change, said in (({"channels": "1"}, "channels"), ({"duration_sec": "6"}, "duration"), ({"sha256": "0"}, "hash"), ({"path": "none.wav"}, "missing"), ({"event_class": ""}, "required field")):
+        with pytest.raises(ValueError, match=said):
+            read({**good, **change})
+    with pytest.raises(ValueError, match="repeated id"):
+        read(good, good)
+    with pytest.raises(ValueError, match="no sounds"):
+        read()
+
+
+def test_draws_depend_on_the_seed_alone():
+    assert records.drawn(5, 4, 7, 25.0, 2.0, 12.0) == records.drawn(5, 4, 7, 25.0, 2.0, 12.0) != records.drawn(6, 4, 7, 25.0, 2.0, 12.0)
+    drawn = [records.drawn(s, 4, 7, 25.0, 2.0, 12.0) for s in range(200)]
+    assert all(2 <= d[4] <= 12 and -180 <= d[3] < 180 and 0 <= d[2] < 25 for d in drawn) and {d[0] for d in drawn} == set(range(4))
+    assert records.drawn(1, 4, 7, 25.0, 90.0, 99.0)[4:] == (None, 128)
