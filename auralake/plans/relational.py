@@ -300,7 +300,7 @@ def unfinished_semi(spark, d):
 
 
 @query(
-    "J23 D12 M21",
+    "J23 D12",
     """SELECT p_partkey, i AS band, CAST(125 * pow(2, i) AS DOUBLE) AS freq, round(least(1.0, greatest(0.0, p_retailprice / 2000.0 + i * 0.05)), 6) AS coeff FROM part, (SELECT unnest([0, 1, 2, 3]) AS i)""",
 )
 def material_explode(spark, d):
