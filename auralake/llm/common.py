@@ -162,12 +162,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def scan(column: pa.Array, lower: bool = False) -> Words:
-    """The words of each text of a string column, A-Z lower-cased on demand."""
+def scan(column: pa.Array, lower: bool = False, apart: np.ndarray = _SEPARATORS) -> Words:
+    """The words of each text of a string column, A-Z lower-cased on demand; ``apart`` tells which bytes are in none."""
     data, bounds = utf8(column)
     if lower:
         data = _LOWER[data]
-    inside = ~_SEPARATORS[data]
+    inside = ~apart[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fim, flac, packing, passages, pii, quality, simhash, suffixtree, tokenshards
+from . import bpe, chat, fim, flac, hashindex, importance, packing, passages, pii, quality, simhash, suffixtree, tokenshards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_shared_passages": passages.op8_shared_passages,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_token_shards": tokenshards.op10_token_shards,
+        "op11_exact_duplicates": hashindex.op11_exact_duplicates,
         "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_importance_draw": importance.op13_importance_draw,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.sql(), "op3_preference_format": chat.SQL, "op12_fill_in_middle": fim.SQL}
+    return {"op1_quality_rules": quality.sql(), "op3_preference_format": chat.SQL, "op11_exact_duplicates": hashindex.SQL, "op12_fill_in_middle": fim.SQL}
