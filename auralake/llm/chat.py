@@ -12,6 +12,8 @@ turn at a time; ``assembled`` joins the segments of pairs into strings for those
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +34,9 @@ def segments(turns: DataFrame) -> DataFrame:
     ``start`` counts characters from the beginning of the part, ``learn_from`` and ``learn_to`` those
     of the segment that are learned from (equal: none). Null text and role count as empty. Turns of one
     number are taken in the order of role and text, as further turns; turns without a number come
-    first. Pairs without both sides are left out.
+    first; repeated rows are further turns too. Pairs without both sides, rows of other sides and rows without a
+    pair_id are left out; an empty table gives an empty result; other columns are left out, whatever their names.
+    A task holds one turn's text at a time, and of a pair's turns the rows' other fields.
     """
     order = Window.partitionBy("pair_id", "side").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     given = turns.select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("side").isin("chosen", "rejected") & F.col("pair_id").isNotNull())
@@ -59,7 +63,9 @@ def segments(turns: DataFrame) -> DataFrame:
 def assembled(parts: DataFrame) -> DataFrame:
     """One row a pair: ``prompt``, ``chosen``, ``rejected`` and the learned spans of both completions.
 
-    A row holds its pair's whole text, which must fit a task.
+    ``parts`` is what ``segments`` gives; parts without a segment are empty, spans too. Repeated segments are joined as
+    often as they come; an empty table gives an empty result; other columns are left out. A row holds its pair's
+    whole text, of which a task needs about six times the bytes.
     """
     rows = parts.groupBy("pair_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "segment", (F.col("start") + F.col("learn_from")).alias("a"), (F.col("start") + F.col("learn_to")).alias("b")))).alias("s"))
     text = F.concat_ws("", F.transform("s", lambda x: x["segment"]))
@@ -82,7 +88,7 @@ def _mates(conversations: DataFrame) -> DataFrame:
     dealt = common.cut(conversations.repartitionByRange("key", "conv_id").withColumn("part", F.spark_partition_id()))
     counts = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))
     split = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("part", "n"))).alias("runs")).where("parts > 1").select("key", "runs").collect()
-    before = [(key, run.part, sum(r.n for r in runs[:i])) for key, runs in split for i, run in enumerate(runs)]
+    before = [(key, run.part, n) for key, runs in split for run, n in zip(runs, accumulate((r.n for r in runs), initial=0), strict=False)]
     held = dealt.sparkSession.createDataFrame(before, "key long, part int, before long")
     place = F.row_number().over(Window.partitionBy("key", "part").orderBy("conv_id")) - 1
     ranked = dealt.withColumn("place", place).join(F.broadcast(held), ["key", "part"], "left").withColumn("two", F.floor((F.col("place") + F.coalesce("before", F.lit(0))) / 2))
@@ -96,10 +102,13 @@ def paired(conversations: DataFrame) -> DataFrame:
     paired in turn. The odd ones that openings leave over are put in order of conv_id and paired in
     turn in the same way. If there is an odd number of conversations, the last of those is both
     sides of its pair, so that all of it is prompt. Of a pair, the lesser conv_id is the chosen one
-    and names the pair.
+    and names the pair. A null role or text is one of its own, unlike an empty one; turns without a number come
+    first; rows without a conv_id are left out; repeated rows stay turns of their conversation; an empty table
+    gives an empty result; other columns are left out, whatever their names. Pairing works on ids and hashes; a task
+    holds one turn's text at a time.
     """
     turns = conversations.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
-    first = turns.groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), F.xxhash64("role", "text").alias("opening"))).alias("f")).select("conv_id", F.col("f.opening").alias("key"))
+    first = turns.groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias("opening"))).alias("f")).select("conv_id", F.col("f.opening").alias("key"))
     alike = common.cut(_mates(first))
     rest = _mates(alike.where("b is null").select(F.col("a").alias("conv_id"), F.lit(0).cast("long").alias("key")))
     both = alike.where("b is not null").unionByName(rest)

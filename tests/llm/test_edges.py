@@ -1,5 +1,9 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, clashing columns, and an empty table."""
 
+import random
+import string
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +91,48 @@ def test_chat_with_nulls(spark):
     turns = spark.createDataFrame([(0, "chosen", 0, None, None), (0, "rejected", 0, None, None), (1, "chosen", 0, "user", "q"), (None, "chosen", 0, "user", "q")], "pair_id long, side string, turn long, role string, text string")
     assert [(r.pair_id, r.part) for r in chat.segments(turns).collect()] == [(0, "prompt")]
     assert chat.segments(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "_", "one.1-", "a.", "[ ", "_at_", "1 ", "+1", "a@b.c ", "one two ", " . a", "(at", "..@"])
+def test_personal_data_of_long_runs(unit):
+    """Time grows with the text; a few seconds are far below what any other growth would take."""
+    text = (unit * 400_000)[:400_000] + " x @ y.com "
+    began = time.perf_counter()
+    pii.spans(text)
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("unit", ["xy", "a", "=-", "1234567890", "\u00e9\u6f22", "etaoinshrdlu", "b64"])
+def test_byte_bpe_of_long_words(unit):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BYTES)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    rng = random.Random(1)
+    text = "".join(rng.choice(string.ascii_letters + "+/") for _ in range(200_000)) if unit == "b64" else "".join(rng.choice(unit) for _ in range(200_000)) if len(unit) > 10 else (unit * 200_000)[:200_000]
+    began = time.perf_counter()
+    assert bpe.coder(BYTES).ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 20
+
+
+def test_openings_with_nulls_are_told_apart(spark):
+    """A null role or text opens unlike an empty one, and unlike the other one's null."""
+    first = [(1, None, "x"), (2, "x", None), (3, "", "x"), (4, None, "x"), (5, "x", None), (6, "", "x"), (7, "x", "")]
+    rows = [(i, 0, role, text) for i, role, text in first] + [(i, 1, "user", "q") for i, _, _ in first] + [(1, 1, "user", "q"), (None, 0, "user", "lost")]
+    frame = spark.createDataFrame([(*r, "p", 1, "k") for r in rows], "conv_id long, turn long, role string, text string, pair_id string, key int, part string")
+    found = chat.paired(frame)
+    pairs = {(r.pair_id, r.side) for r in found.collect()}
+    assert pairs == {(i, s) for i in (1, 2, 3, 7) for s in ("chosen", "rejected")}
+    assert {r.pair_id for r in chat.segments(found).where("part = 'prompt' and place = 1").collect()} == {1, 2, 3, 7}
+    assert chat.paired(frame.limit(0)).count() == 0
+
+
+def test_long_turns_and_repeated_rows(spark):
+    long = "word " * 200_000
+    rows = [(0, side, turn, "assistant", long + side * turn) for side in ("chosen", "rejected") for turn in (0, 1)] + [(0, "chosen", 1, "assistant", long + "chosen")]
+    frame = spark.createDataFrame([(*r, "s", 1) for r in rows], "pair_id long, side string, turn long, role string, text string, segment string, place int")
+    parts = chat.segments(frame)
+    assert sorted((r.part, r.place) for r in parts.select("part", "place").collect()) == [("chosen", 2), ("chosen", 3), ("prompt", 1), ("rejected", 2)]
+    whole = chat.assembled(parts).first()
+    assert whole.chosen.count("<|assistant|>") == 2 and len(whole.chosen_mask) == 2 and whole.chosen[whole.chosen_mask[0].start : whole.chosen_mask[0].end] == long + "chosen\n"
