@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,11 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once into the checkpoint folder; later plans start from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``kept``, as a table of files: for loops, in which Spark's estimates of a checkpoint's size would grow with each join that it comes from."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

@@ -54,15 +54,12 @@ def relations(episodes: DataFrame, candidates: DataFrame, viewpoints: DataFrame,
     return _all(found)
 
 
-def payloads(viewpoints: DataFrame, audio: DataFrame, rirs: DataFrame | None, rate: int = 16000) -> DataFrame:
-    """(rule, key, level) of the files behind viewpoints.
-
-    ``audio`` and ``rirs``: (path, sr, channels, n, dtype, finite, peak, rms, error), a row for each file that is there.
-    """
+def _tested(viewpoints: DataFrame, audio: DataFrame, rirs: DataFrame | None, rate: Column, dry_seconds: Column) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """``viewpoints`` with what is known of their files, and the columns that tell which hard rules and which warnings hold of a row."""
     a = viewpoints.join(audio.select(F.col("path").alias("audio_path"), F.struct("sr", "channels", "n", "dtype", "finite", "peak", "rms", "error").alias("a")), "audio_path", "left")
     there, read = F.col("a").isNotNull(), F.col("a.error").isNull() & F.col("a").isNotNull()
     stated = (F.col("sample_rate_hz") != F.col("a.sr")) | (F.col("num_channels") != F.col("a.channels")) | (F.col("num_samples") != F.col("a.n")) | (F.abs(F.col("duration_sec") - F.col("a.n") / F.col("a.sr")) > 1e-6)
-    rules = {
+    hard = {
         "missing manifest audio": ~there | F.col("audio_path").startswith("/"),
         "unreadable audio": there & F.col("a.error").isNotNull(),
         "WAV sample rate/channel": read & ((F.col("a.sr") != rate) | (F.col("a.channels") != 2)),
@@ -70,18 +67,46 @@ def payloads(viewpoints: DataFrame, audio: DataFrame, rirs: DataFrame | None, ra
         "WAV not finite": read & ~F.col("a.finite"),
         "manifest/WAV metadata": read & F.coalesce(stated, F.lit(True)),
     }
-    found = [_rows(a, k, "viewpoint_id", v) for k, v in rules.items()]
-    found += [_rows(a, "peak above 1", "viewpoint_id", read & (F.col("a.peak") > 1), "warning"), _rows(a, "very low RMS", "viewpoint_id", read & (F.col("a.rms") > 0) & (F.col("a.rms") < 1e-8), "warning")]
-    if rirs is not None:
-        b = a.join(rirs.select(F.col("path").alias("rir_path"), F.struct("sr", "channels", "n", "dtype", "finite", "error").alias("r")), "rir_path", "left")
-        named, ok = F.col("rir_id").isNotNull() & F.col("rir_path").isNotNull(), F.col("r").isNotNull() & F.col("r.error").isNull()
-        dry = F.round(F.col("ground_truth.segment_duration_sec") * rate)
-        found += [
-            _rows(b, "missing RIR reference", "viewpoint_id", ~named), _rows(b, "unreadable RIR", "viewpoint_id", named & ~F.coalesce(ok, F.lit(False))),
-            _rows(b, "RIR metadata/array", "viewpoint_id", ok & ((F.col("r.sr") != rate) | (F.col("r.channels") != 2) | (F.col("r.dtype") != "float32") | ~F.col("r.finite"))),
-            _rows(b, "full convolution length", "viewpoint_id", ok & read & (F.col("a.n") != dry + F.col("r.n") - 1)),
-        ]
-    return _all(found)
+    warnings = {"peak above 1": read & (F.col("a.peak") > 1), "very low RMS": read & (F.col("a.rms") > 0) & (F.col("a.rms") < 1e-8)}
+    if rirs is None:
+        return a, hard, warnings
+    count = F.col("count") if "count" in rirs.columns else F.col("n")
+    b = a.join(rirs.select(F.col("path").alias("rir_path"), F.struct("sr", "channels", "n", "dtype", "finite", "error", count.cast("long").alias("count")).alias("r")), "rir_path", "left")
+    named, ok = F.col("rir_id").isNotNull() & F.col("rir_path").isNotNull(), F.col("r").isNotNull() & F.col("r.error").isNull()
+    dry, finite_r = F.round(dry_seconds * rate), F.coalesce("r.finite", F.lit(False))
+    wrong = (F.col("r.sr") != rate) | (F.col("r.channels") != 2) | (F.col("r.dtype") != "float32") | ~finite_r | (F.col("r.count") != F.col("r.n"))
+    hard |= {
+        "missing RIR reference": ~named,
+        "unreadable RIR": named & ~F.coalesce(ok, F.lit(False)),
+        "RIR metadata/array": ok & F.coalesce(wrong, F.lit(True)),
+        "full convolution length": ok & read & F.coalesce((dry <= 0) | (F.col("a.n") != dry + F.col("r.n") - 1), F.lit(True)),
+    }
+    return b, hard, warnings
+
+
+def payloads(viewpoints: DataFrame, audio: DataFrame, rirs: DataFrame | None, rate: int = 16000, episodes: DataFrame | None = None) -> DataFrame:
+    """(rule, key, level) of the files behind viewpoints.
+
+    ``audio`` and ``rirs``: (path, sr, channels, n, dtype, finite, peak, rms, error), a row for each file that is there,
+    as ``sources.dataset`` makes them; ``rirs`` may have ``count``, the number of samples that the file states. The length of
+    the dry sound is that of the episode's source; where no episodes are given, that which the viewpoint repeats of it.
+    """
+    dry = F.col("ground_truth.segment_duration_sec")
+    if episodes is not None:
+        viewpoints = viewpoints.join(episodes.select("episode_id", F.col("source.segment_duration_sec").alias("_dry")).dropDuplicates(["episode_id"]), "episode_id", "left")
+        dry = F.col("_dry")
+    rows, hard, warnings = _tested(viewpoints, audio, rirs, F.lit(rate), dry)
+    told = F.array(*[F.when(F.coalesce(v, F.lit(False)), F.struct(F.lit(k).alias("rule"), F.lit(level).alias("level"))) for level, rules in (("hard", hard), ("warning", warnings)) for k, v in rules.items()])
+    return rows.select(F.col("viewpoint_id").cast("string").alias("key"), F.explode(F.array_compact(told)).alias("f")).select("f.rule", "key", "f.level")
+
+
+def complete(viewpoints: DataFrame, audio: DataFrame, rirs: DataFrame | None) -> DataFrame:
+    """(episode_id, viewpoint_id, complete): whether a viewpoint's files are there and as it says, so that a run that goes on may skip it."""
+    rows, hard, _ = _tested(viewpoints, audio, rirs, F.col("sample_rate_hz"), F.col("ground_truth.segment_duration_sec"))
+    broken = F.lit(False)
+    for rule in hard.values():
+        broken = broken | F.coalesce(rule, F.lit(False))
+    return rows.select("episode_id", "viewpoint_id", (~broken).alias("complete"))
 
 
 def orphans(viewpoints: DataFrame, files: DataFrame) -> DataFrame:

@@ -1 +1 @@
-from . import maps, measures, records, relational, sounds, space, spatial, streams
+from . import graphs, maps, measures, records, relational, sounds, space, spatial, streams

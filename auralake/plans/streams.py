@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..streaming.trajectories import finished, running_totals, source
+from ..streaming.trajectories import finished, ordered_steps, rocksdb, running_totals, source
 
 
 @query("ST1", """SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -35,3 +35,16 @@ def stream_state(spark, d):
     totals = finished(running_totals(source(spark, d, "events")), "update")
     last = totals.groupBy("user_id").agg(F.max(F.struct("n", "episodes", "total")).alias("b"))
     return last.select("user_id", "b.episodes", "b.n", F.round("b.total", 4).alias("total"))
+
+
+@query(
+    "ST4 W3 W9 W7",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS episode, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS of_kind FROM events),
+f AS (SELECT user_id, i, episode, x AS b FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.episode, CASE WHEN e.episode <> f.episode OR f.b IS NULL THEN e.x WHEN e.x IS NULL THEN f.b ELSE 0.5 * f.b + 0.5 * e.x END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT e.user_id, event_id, CAST(e.episode AS BIGINT) AS episode, row_number() OVER (PARTITION BY e.user_id, e.episode ORDER BY e.i) - 1 AS step, floor(b * 1000000 + 0.5) / 1000000 AS belief, of_kind FROM e JOIN f ON f.user_id = e.user_id AND f.i = e.i""",
+)
+def stream_ordered_steps(spark, d):
+    """Episodes and beliefs of a stream, its steps put in order by the watermark."""
+    with rocksdb(spark):
+        rows = finished(ordered_steps(source(spark, d, "events", closed=True)), "append")
+    return rows.withColumn("belief", F.floor(F.col("belief") * 1000000 + 0.5) / 1000000)

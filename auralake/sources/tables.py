@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..operators.rounds import kept
+
+#: Rows of a table of splits up to which it is sent to all tasks: some 100 MB.
+MOST_SPLITS = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,8 +22,32 @@ def parse_jsonl(lines: DataFrame, schema: T.StructType | str, line: str = "value
     return lines.where(F.trim(line) != "").select(F.from_json(line, schema, {"mode": "FAILFAST"}).alias("_row")).select("_row.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value) of text files, lines counted from 1 in each file, however it is split.
+
+    Each split's lines are counted first, in a pass of its own. What that gives, one row a split, is
+    sent to all tasks up to ``MOST_SPLITS`` rows, beyond which lines are shuffled to it.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = kept(splits.select("path", "block", (before - F.col("first") + 1).alias("moved")))
+    return rows.join(F.broadcast(moved) if moved.count() <= MOST_SPLITS else moved, ["path", "block"]).select("path", (F.col("at") + F.col("moved")).alias("line"), "value")
+
+
+def located(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """(path, line, row, broken) of ``lines`` (path, line, value) of JSON: the row by the schema, or the text of a line that is no object of it; blank lines are skipped."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kind = T.StructType([*fields.fields, T.StructField("_broken", T.StringType())])
+    parsed = lines.where(F.trim("value") != "").select("path", "line", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("row"))
+    return parsed.select("path", "line", F.struct(*[F.col("row")[f.name].alias(f.name) for f in fields]).alias("row"), F.col("row._broken").alias("broken"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return parse_jsonl(spark.read.text(path), schema)
+    """Rows of JSON lines; blank lines are skipped, and a malformed line ends the query with an error that says its file and number."""
+    found = located(numbered_lines(spark, path), schema)
+    fault = F.raise_error(F.concat(F.lit("not a row: "), F.col("path"), F.lit(":"), F.col("line"), F.lit(": "), F.substring("broken", 1, 100)))
+    return found.select(F.when(F.col("broken").isNotNull(), fault).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def read_episodes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -4,28 +4,40 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.rounds import shared_folder
 
 
-def source(spark: SparkSession, folder: str, name: str, closed: bool = False) -> DataFrame:
-    """A table's files as a stream, with ``ts`` as an event time and a watermark of ten minutes.
+def source(spark: SparkSession, folder: str, name: str, closed: bool = False, late: str = "10 minutes", files: int | None = None) -> DataFrame:
+    """A table as a stream, with ``ts`` as an event time and a watermark of ``late``; the table is one file or a folder of part files.
 
     ``closed``: a row far in the future follows, so that the watermark passes all that is there and
-    windows are given out and forgotten; its own window never closes.
+    windows are given out and forgotten; its own window never closes. ``files``: how many files a
+    micro-batch takes at most; without it, all that are there.
     """
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        rows = reader.parquet(path)
+    else:  # a stream watches a folder, of which one file is meant
+        rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     if closed:
         place = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
         spark.range(1).select(*[(F.timestamp_seconds(F.lit(1 << 36)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(place)
         rows = rows.unionByName(spark.readStream.schema(schema).parquet(place))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
@@ -61,3 +73,102 @@ def running_totals(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "episodes": [episodes], "n": [n], "total": [total]})
 
     return events.groupBy("user_id").applyInPandasWithState(add, "user_id long, episodes long, n long, total double", "episodes long, n long, total double", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State on the executors' disks while queries are started; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+class OrderedSteps(StatefulProcessor):
+    """Steps of a key in the order of their time, whatever the order and the batch in which they come.
+
+    Steps wait in a list until the watermark has passed them, which a timer tells if nothing else of the
+    key comes. Then they go on in order: ``episode`` counts the finishing steps before one, ``step`` the steps
+    of its episode, ``belief`` is the running mean of old and new values of the episode, and ``of_kind`` counts the
+    steps of its kind in the key so far, kept in a map.
+    """
+
+    OUT = "user_id long, event_id long, episode long, step long, belief double, of_kind long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, event_id long, kind string, value double")
+        self.now = handle.getValueState("now", "episode long, step long, belief double")
+        self.kinds = handle.getMapState("kinds", "kind string", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None or pd.isna(key[0]):
+            return
+        came = [(int(t.value // 1_000_000), int(e), k, None if pd.isna(v) else float(v)) for f in rows for t, e, k, v in zip(f["ts"], f["event_id"], f["event_type"], f["value"], strict=True)]
+        for row in came:
+            self.waiting.appendValue(row)
+        self.handle.registerTimer(max(r[0] for r in came))
+        yield from self.passed(key, timers.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.passed(key, max(timers.getCurrentWatermarkInMs(), expired.getExpiryTimeInMs()))
+
+    def passed(self, key: tuple, until: int) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted(r for r in held if r[0] <= until)
+        if not due:
+            return
+        rest = [r for r in held if r[0] > until]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        episode, step, belief = self.now.get() if self.now.exists() else (0, 0, None)
+        out = []
+        for _, event, kind, value in due:
+            if kind != "error" and value is not None:
+                belief = value if belief is None else 0.5 * belief + 0.5 * value
+            n = (self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + 1
+            self.kinds.updateValue((kind,), (n,))
+            out.append((key[0], event, episode, step, belief, n))
+            step += 1
+            if kind == "purchase":
+                episode, step, belief = episode + 1, 0, None
+        self.now.update((episode, step, belief))
+        yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="float64" if c == "belief" else "int64") for i, c in enumerate(("user_id", "event_id", "episode", "step", "belief", "of_kind"))})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_steps(events: DataFrame) -> DataFrame:
+    """What ``OrderedSteps`` gives for ``events`` (user_id, ts, event_id, event_type, value), which have a watermark on ``ts``."""
+    return events.groupBy("user_id").transformWithStateInPandas(OrderedSteps(), OrderedSteps.OUT, "append", "EventTime")
+
+
+class FirstSeen(StatefulProcessor):
+    """The first of equal kinds of a key, which are forgotten a time after they were last seen."""
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "kind string", "n long", ttlDurationMs=self.forget_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for kind, n in pd.concat([f["event_type"] for f in rows]).value_counts(sort=False).items():
+            known = self.seen.containsKey((kind,))
+            self.seen.updateValue((kind,), (int(n) + (self.seen.getValue((kind,))[0] if known else 0),))
+            if not known:
+                new.append(kind)
+        if new:
+            yield pd.DataFrame({"user_id": [key[0]] * len(new), "event_type": new})
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen(events: DataFrame, forget_ms: int) -> DataFrame:
+    """(user_id, event_type), each once while it is remembered, which is ``forget_ms`` of the clock after it was last seen."""
+    return events.groupBy("user_id").transformWithStateInPandas(FirstSeen(forget_ms), "user_id long, event_type string", "append", "ProcessingTime")
