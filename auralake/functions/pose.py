@@ -35,3 +35,15 @@ def azimuth(x: Column, z: Column, yaw: Column) -> Column:
 
 def sensor(y: Column) -> Column:
     return y + SENSOR_HEIGHT
+
+
+def into_frame(x: Column, y: Column, heading: Column) -> tuple[Column, Column]:
+    """An offset in the plane as seen by one who looks along ``heading``, in radians: ahead, and to the left."""
+    s, c = F.sin(heading), F.cos(heading)
+    return x * c + y * s, y * c - x * s
+
+
+def out_of_frame(x: Column, y: Column, heading: Column) -> tuple[Column, Column]:
+    """The inverse of ``into_frame``."""
+    s, c = F.sin(heading), F.cos(heading)
+    return x * c - y * s, x * s + y * c

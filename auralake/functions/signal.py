@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+# The window of five seconds that sounds are compared in, what counts as silent and as clipped in it, and the lags that are tried.
+RATE, WINDOW = 16_000, 80_000
+SILENT, CLIPPED = 1e-5, 1.0
+MOST_LAG = 16
 
 
 def doubles(signal: Column) -> Column:
@@ -95,6 +99,39 @@ def convolved(left: Column, right: Column) -> Column:
     return convolve_rows(left, right)
 
 
+def window_fault(rate: Column, channels: Column, dtype: Column, finite: Column, n: Column, wanted: int = RATE, least: int = WINDOW) -> Column:
+    """Why a sound has no window to compare: its rate, channels, type, values or length, the first that is wrong; null if it has one."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return F.when(no(rate == wanted), "rate").when(no(channels == 2), "channels").when(no(dtype == "float32"), "type").when(no(finite), "not finite").when(no(n >= least), "short")
+
+
+_LEVELS = ["rms_left_dbfs", "rms_right_dbfs", "rms_mean_dbfs", "ild_db", "mean_square_left", "mean_square_right", "peak_left", "peak_right", "peak_max", "silence_fraction", "clipping_fraction", "energy_left", "energy_right", "energy_total", "duration_sec"]
+
+
+def window_metrics(left: Column, right: Column, rate: int = RATE, window: int = WINDOW, silent: float = SILENT, clipped: float = CLIPPED) -> Column:
+    """A struct of levels, peaks and shares of the first ``window`` samples, and energies and duration of the whole sound; null where it is shorter or an ear is missing."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: double" for n in _LEVELS) + ">")
+    def measure(a: pa.Array, b: pa.Array) -> pa.Array:
+        out: list = [None] * len(a)
+        for rows, (x, y) in _by_length(a, b):
+            n = x.shape[1]
+            if n != y.shape[1] or n < window:
+                continue
+            u, v = x[:, :window], y[:, :window]
+            pu, pv = (u * u).mean(1), (v * v).mean(1)
+            level = lambda power: 20 * np.log10(np.maximum(np.sqrt(power), EPS))
+            tu, tv = np.abs(u).max(1), np.abs(v).max(1)
+            quiet, loud = (np.maximum(np.abs(u), np.abs(v)) < silent).mean(1), ((np.abs(u) >= clipped).mean(1) + (np.abs(v) >= clipped).mean(1)) / 2
+            ex, ey = (x * x).sum(1), (y * y).sum(1)
+            found = [level(pu), level(pv), level((pu + pv) / 2), 10 * np.log10((pu + EPS) / (pv + EPS)), pu, pv, tu, tv, np.maximum(tu, tv), quiet, loud, ex, ey, ex + ey, np.full(len(rows), n / rate)]
+            for row, values in zip(rows.tolist(), zip(*(f.tolist() for f in found), strict=True), strict=True):
+                out[row] = dict(zip(_LEVELS, values, strict=True))
+        return pa.array(out, pa.struct([(n, pa.float64()) for n in _LEVELS]))
+
+    return measure(left, right)
+
+
 def _full(dry: np.ndarray, rir: np.ndarray) -> np.ndarray:
     n = len(dry) + len(rir) - 1
     size = 1 << max(0, n - 1).bit_length()

@@ -64,3 +64,12 @@ def to_ego(x: Column, y: Column, rotation: Column) -> tuple[Column, Column]:
 def from_ego(x: Column, y: Column, rotation: Column) -> tuple[Column, Column]:
     """The inverse of ``to_ego``."""
     return to_ego(x, y, -rotation)
+
+
+def merged(observed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, seen, blocked): one map of each key from what was seen of its cells, ``observed`` (keys, x, y, step, obstacle).
+
+    ``seen`` is the first step at which a cell was seen, ``blocked`` the first at which it was seen as an obstacle, null if never;
+    so the map as it was at any step is those rows that have lesser ones.
+    """
+    return observed.groupBy(*keys, "x", "y").agg(F.min("step").alias("seen"), F.min(F.when(F.col("obstacle"), F.col("step"))).alias("blocked"))

@@ -1 +1 @@
-from . import graphs, maps, measures, records, relational, sounds, space, spatial, streams
+from . import details, graphs, maps, measures, nested, records, relational, sounds, space, spatial, streams

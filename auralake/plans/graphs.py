@@ -80,3 +80,21 @@ def order_islands(spark, d):
     links = keys.where((F.col("node") * 7919) % 100 < 97).select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")).join(keys.withColumnRenamed("node", "dst"), "dst", "left_semi")
     found = components(keys, links)
     return found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("o_orderkey"), "component", "size")
+
+
+@query(
+    "X33 GR3",
+    f"""WITH RECURSIVE {_SCENES}, s AS (SELECT scene, min(node) AS node FROM n GROUP BY scene),
+b(scene, node, hops) AS (SELECT scene, node, 0 FROM s UNION SELECT e.scene, e.dst, hops + 1 FROM b JOIN e ON e.src = b.node WHERE hops < 35), h AS (SELECT node, min(hops) AS hops FROM b GROUP BY 1),
+t AS (SELECT h.node, min(g.node) AS parent FROM h JOIN e ON e.dst = h.node JOIN h g ON g.node = e.src AND g.hops = h.hops - 1 GROUP BY h.node)
+SELECT n.node, coalesce(CASE ((CASE WHEN m.x > n.x THEN 0 WHEN m.y > n.y THEN 90 WHEN m.x < n.x THEN 180 ELSE 270 END) - n.node % 4 * 90 + 360) % 360 WHEN 0 THEN 'FORWARD' WHEN 90 THEN 'LEFT' WHEN 180 THEN 'LEFT' ELSE 'RIGHT' END, 'STOP') AS action FROM n LEFT JOIN t ON t.node = n.node LEFT JOIN n m ON m.node = t.parent""",
+)
+def greedy_actions(spark, d):
+    """What an agent at each place does next on its way to the first place of its scene; it stops there, and where no way leads."""
+    nodes, edges = _scenes(spark, d)
+    tree = distances(edges, nodes.groupBy("scene").agg(F.min("node").alias("node")), ["scene"])
+    there = tree.where("parent is not null").select("node", "parent").join(nodes.select(F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py")), "parent")
+    heading = F.when(F.col("px") > F.col("x"), 0).when(F.col("py") > F.col("y"), 90).when(F.col("px") < F.col("x"), 180).otherwise(270)
+    turn = F.pmod(heading - F.pmod("node", F.lit(4)) * 90, F.lit(360))
+    action = F.when(F.col("parent").isNull(), "STOP").when(turn == 0, "FORWARD").when(turn <= 180, "LEFT").otherwise("RIGHT")
+    return nodes.join(there, "node", "left").select("node", action.alias("action"))

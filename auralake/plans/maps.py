@@ -8,7 +8,7 @@ from ..functions import signal
 from ..operators import grids
 from ..operators.graph import components, patched
 from ..operators.rounds import kept
-from ..operators.windows import folded
+from ..operators.windows import linear
 from ..registry import query
 from ..sources.tables import table
 from .measures import STEP, micro
@@ -91,8 +91,8 @@ SELECT event_id, floor(b * 1000000 + 0.5) / 1000000 AS intensity FROM f""",
 def cell_intensity(spark, d):
     """The intensity that an environment's map holds of a cell after each visit: the first one, then the mean of old and new."""
     rows = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", F.when(F.pmod("event_id", F.lit(5)) == 0, 0.0).otherwise(F.col("value")).alias("x"))
-    found = folded(rows, ["user_id", "event_type"], STEP, ["x"], lambda b, x: 0.5 * x + 0.5 * b if b else x, "b")
-    return found.select("event_id", micro(F.col("b")).alias("intensity"))
+    found = linear(rows, ["user_id", "event_type"], STEP, F.lit(0.5), 0.5 * F.col("x"), F.nullif("x", F.lit(0.0)), "b")  # nothing is held until a sound is heard
+    return found.select("event_id", micro(F.coalesce("b", F.lit(0.0))).alias("intensity"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators.summary import SHARES, rate, summarize
 from ..operators import windows
-from ..operators.windows import episodes, folded, numbered, order, upto
+from ..operators.windows import episodes, linear, numbered, order, running_total, upto
 from ..registry import query
 from ..sources.tables import table
 
@@ -98,13 +98,12 @@ SELECT event_id, {out} FROM f"""
 
 def _trajectories(spark, d):
     """Events as steps: reward ``value``, value estimate ``value / 2``, the mask after a purchase is zero."""
-    rows = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("value").alias("r"), (F.col("event_type") != "purchase").alias("m"))
-    return episodes(rows, KEY, STEP, ~F.col("m"))
+    return table(spark, d, "events").select("user_id", "ts", "event_id", F.col("value").alias("r"), (F.col("event_type") != "purchase").alias("m"))
 
 
 @query("W2", _RETURNS_SQL.format(v="0.0", first="r", next="e.r + CASE WHEN e.m THEN 0.99 * f.g ELSE 0 END", out="round(g, 6) AS ret"))
 def discounted_returns(spark, d):
-    found = folded(_trajectories(spark, d), ["user_id", "episode"], STEP, ["r", "m"], lambda later, r, m: r + (0.99 * (later or 0.0) if m else 0.0), "ret", back=True)
+    found = linear(_trajectories(spark, d), KEY, STEP, F.when(F.col("m"), 0.99).otherwise(0.0), F.col("r"), F.col("r"), "ret", back=True)
     return found.select("event_id", F.round("ret", 6).alias("ret"))
 
 
@@ -116,12 +115,13 @@ SELECT event_id, floor((g) * 1000000 + 0.5) / 1000000 AS advantage, floor((g + v
 )
 def gae_returns(spark, d):
     rows = _trajectories(spark, d).withColumn("nv", F.coalesce(F.lead("r").over(order(KEY, STEP)), F.lit(0.0)) / 2)
-    found = folded(rows, ["user_id", "episode"], STEP, ["r", "m", "nv"], lambda later, r, m, nv: r + (0.99 * nv if m else 0.0) - r / 2 + (0.99 * 0.95 * (later or 0.0) if m else 0.0), "g", back=True)
+    surprise = F.col("r") + F.when(F.col("m"), 0.99 * F.col("nv")).otherwise(0.0) - F.col("r") / 2
+    found = linear(rows, KEY, STEP, F.when(F.col("m"), 0.99 * 0.95).otherwise(0.0), surprise, surprise, "g", back=True)
     return found.select("event_id", micro(F.col("g")).alias("advantage"), micro(F.col("g") + F.col("r") / 2).alias("ret"))
 
 
 @query(
-    "W3 W4 W7 W12 E1",
+    "W3 W7 W12 E1",
     """WITH s AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS episode FROM events)
 SELECT event_id, CAST(episode AS BIGINT) AS episode, row_number() OVER w - 1 AS step, count(*) OVER (PARTITION BY user_id, episode) AS n_actions, round(sum(value) OVER w, 6) AS reward FROM s WINDOW w AS (PARTITION BY user_id, episode ORDER BY ts, event_id)""",
 )
@@ -131,6 +131,23 @@ def episode_segments(spark, d):
     return rows.select("event_id", "episode", (F.row_number().over(order(own, STEP)) - 1).alias("step"), F.count("*").over(Window.partitionBy(*own)).alias("n_actions"), F.round(F.sum("value").over(upto(own, STEP)), 6).alias("reward"))
 
 
+@query(
+    "W4",
+    """WITH s AS (SELECT event_id, row_number() OVER w - 1 AS t, coalesce(lag(event_type) OVER w = 'purchase' AND lag(value) OVER w > 150, false) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT t, max(CASE WHEN fresh OR t = 0 THEN 1 ELSE 0 END) AS cut FROM s GROUP BY t), g AS (SELECT t, sum(cut) OVER (ORDER BY t) - 1 AS segment, max(CASE WHEN cut = 1 THEN t END) OVER (ORDER BY t) AS start FROM b)
+SELECT event_id, CAST(segment AS BIGINT) AS segment, t - start AS place FROM s JOIN g USING (t)""",
+)
+def common_segments(spark, d):
+    """Steps of environments that run side by side, cut for all of them wherever one begins anew."""
+    w = order(KEY, STEP)
+    fresh = F.coalesce((F.lag("event_type").over(w) == "purchase") & (F.lag("value").over(w) > 150), F.lit(False))
+    steps = table(spark, d, "events").select("event_id", (F.row_number().over(w) - 1).alias("t"), fresh.alias("fresh"))
+    times = steps.groupBy("t").agg(F.max((F.col("fresh") | (F.col("t") == 0)).cast("int")).alias("cut"))
+    counted = running_total(times, ["t"], "cut", "n").select("t", (F.col("n") - 1).alias("segment"))
+    starts = counted.groupBy("segment").agg(F.min("t").alias("start"))
+    return steps.join(counted, "t").join(starts, "segment").select("event_id", "segment", (F.col("t") - F.col("start")).alias("place"))
+
+
 @query(
     "W5",
     """WITH c AS (SELECT event_id, user_id, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
@@ -160,7 +177,8 @@ SELECT event_id, floor((b) * 1000000 + 0.5) / 1000000 AS belief FROM f""",
 )
 def ewma_belief(spark, d):
     rows = episodes(table(spark, d, "events"), KEY, STEP, F.col("event_type") == "purchase").withColumn("x", F.when(F.col("event_type") != "error", F.col("value")))
-    found = folded(rows, ["user_id", "episode"], STEP, ["x"], lambda b, x: b if x is None else x if b is None else 0.5 * b + 0.5 * x, "b")
+    heard = F.col("x").isNotNull()
+    found = linear(rows.select(*KEY, *STEP, "episode", "x"), [*KEY, "episode"], STEP, F.when(heard, 0.5).otherwise(1.0), F.when(heard, 0.5 * F.col("x")).otherwise(0.0), F.col("x"), "b")
     return found.select("event_id", micro(F.col("b")).alias("belief"))
 
 

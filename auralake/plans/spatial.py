@@ -24,7 +24,7 @@ _EARS = "s AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: C
 
 
 @query(
-    "M2 M3 A25 A26",
+    "M2 M3 A25",
     f"""WITH {_EARS}, e AS (SELECT vec_id, list_sum(list_transform(l, lambda x: x * x)) AS el, list_sum(list_transform(r, lambda x: x * x)) AS er, list_max(list_transform(l, lambda x: abs(x))) AS pl, list_max(list_transform(r, lambda x: abs(x))) AS pr, len(list_filter(list_transform(range(1, 33), lambda i: greatest(abs(l[i]), abs(r[i]))), lambda x: x < 0.05)) AS quiet, len(list_filter(list_concat(l, r), lambda x: abs(x) >= 0.3)) AS loud FROM s)
 SELECT vec_id, round(20 * log10(greatest(sqrt(el / 32), 1e-12)), 6) AS rms_left_dbfs, round(20 * log10(greatest(sqrt(er / 32), 1e-12)), 6) AS rms_right_dbfs, round(10 * log10((el / 32 + 1e-12) / (er / 32 + 1e-12)), 6) AS ild, round(pl, 6) AS peak_left, round(pr, 6) AS peak_right, quiet / 32.0 AS silence, loud / 64.0 AS clipping, round(el, 6) AS energy_left, round(er, 6) AS energy_right FROM e""",
 )
@@ -40,6 +40,24 @@ def waveform_metrics(spark, d):
     )
 
 
+@query(
+    "M1 M2 M3 A26",
+    f"""WITH {_EARS}, g AS (SELECT *, CASE WHEN vec_id % 11 = 0 THEN 'rate' WHEN vec_id % 7 = 0 THEN 'channels' WHEN vec_id % 13 = 0 THEN 'type' WHEN vec_id % 5 = 0 THEN 'not finite' WHEN vec_id % 3 = 0 THEN 'short' END AS fault, l[1:24] AS a, r[1:24] AS b FROM s),
+e AS (SELECT vec_id, fault, list_sum(list_transform(a, lambda x: x * x)) / 24 AS p, list_sum(list_transform(b, lambda x: x * x)) / 24 AS q, list_max(list_transform(list_concat(a, b), lambda x: abs(x))) AS peak, list_sum(list_transform(list_concat(l, r), lambda x: x * x)) AS total, len(list_filter(range(1, 25), lambda i: greatest(abs(a[i]), abs(b[i])) < 0.05)) / 24.0 AS quiet, len(list_filter(list_concat(a, b), lambda x: abs(x) >= 0.3)) / 48.0 AS loud FROM g)
+SELECT vec_id, fault, CASE WHEN fault IS NULL THEN round(20 * log10(greatest(sqrt((p + q) / 2), 1e-12)), 6) END AS rms_mean, CASE WHEN fault IS NULL THEN round(p / (q + 1e-12), 6) END AS ratio, CASE WHEN fault IS NULL THEN round(peak, 6) END AS peak, CASE WHEN fault IS NULL THEN round(total, 6) END AS energy, CASE WHEN fault IS NULL THEN round(quiet, 6) END AS silence, CASE WHEN fault IS NULL THEN round(loud, 6) END AS clipping, CASE WHEN fault IS NULL THEN 0.002::DOUBLE END AS seconds FROM e""",
+)
+def guarded_windows(spark, d):
+    """Measures of the first 24 of 32 samples of both ears, of those sounds that may be compared, and why the others may not."""
+    v = F.col("vec_id")
+    of = lambda k, odd, fine: F.when(v % k == 0, odd).otherwise(fine)
+    fault = signal.window_fault(of(11, 8000, 16000), of(7, 1, 2), of(13, "int16", "float32"), v % 5 != 0, of(3, 20, 32), least=24)
+    rows = _ears(spark, d).select("vec_id", fault.alias("fault"), "l", "r")
+    m = signal.window_metrics(F.when(F.col("fault").isNull(), F.col("l")), F.col("r"), window=24, silent=0.05, clipped=0.3)
+    rounded = {"rms_mean": "rms_mean_dbfs", "peak": "peak_max", "energy": "energy_total", "silence": "silence_fraction", "clipping": "clipping_fraction"}
+    found = rows.select("vec_id", "fault", m.alias("m"))
+    return found.select("vec_id", "fault", *[F.round(f"m.{c}", 6).alias(n) for n, c in rounded.items()], F.round(F.col("m.mean_square_left") / (F.col("m.mean_square_right") + signal.EPS), 6).alias("ratio"), F.col("m.duration_sec").alias("seconds"))
+
+
 @query(
     "M4 T3",
     f"""WITH {_EARS}, g AS (SELECT vec_id, k AS lag, l[1 + greatest(0, -k):32 - greatest(0, k)] AS a, r[1 + greatest(0, k):32 - greatest(0, -k)] AS b FROM s, (SELECT unnest(range(-4, 5)) AS k)),

@@ -96,12 +96,13 @@ def read_signals(spark: SparkSession, path: str, kind: str = "wav") -> DataFrame
 
 
 def audited(registry: DataFrame, files: DataFrame, least_seconds: float = 5.0) -> DataFrame:
-    """(audio_id, problem) for each rule that a registry row (audio_id, path, sample_rate_hz, sha256) breaks against ``read_signals``.
+    """(audio_id, problem) for each rule that a registry row (audio_id, path, sample_rate_hz, sha256) breaks against ``files``, those of ``read_signals`` or of the format ``wav``.
 
     ``channels`` and ``duration_sec`` are checked where the registry has them. Rows find their file by its
     name and then by the whole of their path.
     """
     name = lambda c: F.element_at(F.split(c, "/"), -1)
+    odd = lambda ear: F.exists(ear, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     joined = registry.alias("r").join(files.alias("f"), (name("f.path") == name("r.path")) & F.col("f.path").endswith(F.col("r.path")), "left")
     rules = {
         "missing": F.col("f.path").isNull(),
@@ -109,7 +110,7 @@ def audited(registry: DataFrame, files: DataFrame, least_seconds: float = 5.0) -
         "hash": F.col("f.sha256") != F.col("r.sha256"),
         "rate": F.col("f.sr") != F.col("r.sample_rate_hz"),
         "short": F.col("f.n") < least_seconds * F.col("f.sr"),
-        "not finite": F.exists("f.left", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))),
+        "not finite": ~F.col("f.finite") if "finite" in files.columns else odd("f.left") | odd("f.right"),
     }
     if "channels" in registry.columns:
         rules["channels"] = F.col("f.channels") != F.col("r.channels")

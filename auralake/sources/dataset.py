@@ -7,9 +7,10 @@ once, by tasks that give its statistics and not its samples.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import signal
 from ..operators import validation
 from .formats import listed, register, store_of
 from .tables import located, numbered_lines
@@ -100,3 +101,19 @@ def complete(spark: SparkSession, root: str, responses: bool = True) -> DataFram
     """(episode_id, viewpoint_id, complete): which viewpoints of an unfinished run have all their files."""
     viewpoints = manifest(spark, root, "viewpoints").where("broken is null").select("row.*")
     return validation.complete(viewpoints, audio_files(spark, root), response_files(spark, root) if responses else None)
+
+
+def _lag(left: Column, right: Column) -> Column:
+    """The best correlation of both ears, negated, and its lag; of equal ones the shortest lag."""
+    found = signal.lagged_correlations(signal.doubles(left), signal.doubles(right), signal.MOST_LAG)
+    return F.array_min(F.transform(found, lambda x, i: F.struct((-x).alias("c"), F.abs(i - signal.MOST_LAG).alias("a"), (i - signal.MOST_LAG).alias("lag"))))
+
+
+def waveform_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """(path, fault, measures) of each WAV file: the measures of its window, or why it has none."""
+    register(spark)
+    sounds = spark.read.format("wav").schema(f"{AUDIO}, left array<float>, right array<float>").load(root)
+    fault = F.coalesce(F.when(F.col("error").isNotNull(), "unreadable"), signal.window_fault(*map(F.col, ("sr", "channels", "dtype", "finite", "n"))))
+    able = sounds.select(_below(root).alias("path"), fault.alias("fault"), *[F.when(fault.isNull(), F.slice(c, 1, signal.WINDOW)).alias(f"w_{c}") for c in ("left", "right")], *[F.when(fault.isNull(), F.col(c)).alias(c) for c in ("left", "right")])
+    best = able.select("path", "fault", signal.window_metrics(F.col("left"), F.col("right")).alias("m"), _lag(F.col("w_left"), F.col("w_right")).alias("b"))
+    return best.select("path", "fault", "m.*", (-F.col("b.c")).alias("interaural_correlation"), F.col("b.lag").alias("interaural_lag_samples"))

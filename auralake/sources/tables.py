@@ -50,17 +50,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return found.select(F.when(F.col("broken").isNotNull(), fault).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
-def read_episodes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_episodes(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """One row an episode from (gzipped) JSON documents that each hold an array ``episodes``; ``scene`` is the file's name."""
     documents = spark.read.schema(T.StructType([T.StructField("episodes", T.ArrayType(schema))])).option("multiLine", True).json(path)
     scene = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
     return documents.select(scene.alias("scene"), F.explode("episodes").alias("e")).select("scene", "e.*")
 
 
+def read_episode_set(spark: SparkSession, main: str, schema: T.StructType, scenes: list[str] | None = None) -> DataFrame:
+    """The episodes of a main document and of those of its scenes, ``content/<scene>.json.gz`` beside it, as far as there are any; of some scenes if they are named."""
+    folder = main.rpartition("/")[0]
+    paths = [main, *(f"{folder}/content/{s}.json.gz" for s in (_names(spark, f"{folder}/content") if scenes is None else scenes))]
+    return read_episodes(spark, paths, schema)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """The scenes that a folder has documents of, sorted; none if it is missing. They are few enough for the driver."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(place)]
+    return sorted({n.removesuffix(".gz").removesuffix(".json") for n in names if not n.startswith((".", "_"))})
+
+
 def scenes_of(spark: SparkSession, path: str) -> DataFrame:
-    """The scenes of a folder's files, by their names, sorted."""
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.json)?(?:\.gz)?$", 1).alias("scene")).distinct().orderBy("scene")
+    """(scene): the scenes of a folder's files, by their names, sorted; none if the folder is missing."""
+    return spark.createDataFrame([(n,) for n in _names(spark, path)], "scene string").orderBy("scene")
 
 
 def tagged(lines: DataFrame, tag: str, names: list[str], line: str = "value") -> DataFrame:

@@ -35,7 +35,7 @@ def source(spark: SparkSession, folder: str, name: str, closed: bool = False, la
         rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     if closed:
         place = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
-        spark.range(1).select(*[(F.timestamp_seconds(F.lit(1 << 36)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(place)
+        spark.range(1).select(*[(F.timestamp_seconds(F.lit(1 << 33)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(place)
         rows = rows.unionByName(spark.readStream.schema(schema).parquet(place))
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 

@@ -64,3 +64,54 @@ def test_resampling_says_how_many_samples_it_wants():
     assert len(signal.resample(np.ones(48), 48000, 16000, 16)) == 16
     with pytest.raises(ValueError, match="17"):
         signal.resample(np.ones(48), 48000, 16000, 17)
+
+
+def _direct(x, frame, k, n_fft=512, hop=160, window=400):
+    """|DFT| of one frame at one frequency, by its sum."""
+    begin = frame * hop - n_fft // 2 + (n_fft - window) // 2
+    total = 0
+    for i in range(window):
+        t = begin + i
+        if 0 <= t < len(x):
+            total += x[t] * (0.5 - 0.5 * np.cos(2 * np.pi * i / window)) * np.exp(-2j * np.pi * k * (i + (n_fft - window) // 2) / n_fft)
+    return abs(total)
+
+
+@pytest.mark.parametrize("x", [np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000), np.eye(1, 16000, 5000)[0], np.random.default_rng(2).normal(size=16000)], ids=["tone", "impulse", "noise"])
+def test_spectrogram_against_direct_sums(x):
+    found = signal.spectrogram(np.stack([x, np.zeros(16000)]))
+    assert found.shape == (65, 26, 2) and not found[:, :, 1].any()
+    frames = 1 + 16000 // 160
+    for band, block in ((0, 0), (8, 7), (8, 8), (31, 12), (64, 25)):
+        cells = [_direct(x, f, k) if f < frames and k <= 256 else 0.0 for k in range(4 * band, 4 * band + 4) for f in range(4 * block, 4 * block + 4)]
+        assert found[band, block, 0] == pytest.approx(np.log1p(np.mean(cells)), abs=1e-9)
+
+
+def test_window_metrics(spark):
+    x = np.zeros((80003, 2), np.float32)
+    x[:100], x[100, 0] = (0.5, 0.25), 1.0
+    ones = np.ones((80003, 2), np.float32)
+    rows = [(0, x[:80000, 0].tolist(), x[:80000, 1].tolist()), (1, ones[:, 0].tolist(), ones[:, 1].tolist()), (2, ones[:79999, 0].tolist(), ones[:79999, 1].tolist()), (3, None, [1.0])]
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(rows, "i int, l array<float>, r array<float>")
+    found = {r.i: r.m for r in frame.select("i", signal.window_metrics(F.col("l"), F.col("r")).alias("m")).collect()}
+    m = found[0]
+    assert m.rms_left_dbfs == pytest.approx(20 * np.log10(np.sqrt(0.26 / 800))) and m.ild_db > 0 and (m.peak_left, m.peak_right, m.peak_max) == (1.0, 0.25, 1.0)
+    assert m.silence_fraction == (80000 - 101) / 80000 and m.clipping_fraction == 1 / 160000
+    assert (found[1].energy_total, found[1].duration_sec, found[2], found[3]) == (160006, 80003 / 16000, None, None)
+
+
+def test_sounds_without_a_window(spark, tmp_path):
+    from auralake.sources import audio, dataset
+
+    x = np.random.default_rng(1).normal(scale=0.1, size=80000).astype(np.float32)
+    both = np.stack([x, np.roll(x, 5)], 1)
+    odd = both.copy()
+    odd[3, 1] = np.inf
+    for name, data, rate in (("fine", both, 16000), ("rate", both, 8000), ("mono", x, 16000), ("odd", odd, 16000), ("short", both[:79999], 16000)):
+        (tmp_path / f"{name}.wav").write_bytes(audio.write_wav(data, rate))
+    (tmp_path / "broken.wav").write_bytes(b"RIFF")
+    rows = {r.path: r for r in dataset.waveform_metrics(spark, str(tmp_path)).collect()}
+    assert {k: r.fault for k, r in rows.items()} == {"fine.wav": None, "rate.wav": "rate", "mono.wav": "channels", "odd.wav": "not finite", "short.wav": "short", "broken.wav": "unreadable"}
+    assert rows["fine.wav"].interaural_lag_samples == 5 and rows["fine.wav"].interaural_correlation > 0.99 and rows["odd.wav"].rms_mean_dbfs is None

@@ -1,14 +1,16 @@
 import csv
 import datetime
+import gzip
 import hashlib
 import io
+import json
 
 import numpy as np
 import pytest
 
 from auralake.functions import signal
 from auralake.plans import records
-from auralake.sources import audio, commits, registries
+from auralake.sources import audio, commits, registries, tables
 
 
 def test_wav_images_round_trip():
@@ -113,7 +115,7 @@ def test_scene_registry(spark, tmp_path):
     text = "scenes:\n  room:\n    dataset: d\n    scene_asset: a.glb\n    navmesh: a.navmesh\n    semantic_info: a.json\n    materials_mode: off\n"
     (tmp_path / "scenes.yaml").write_text(text)
     row = registries.read_scenes(spark, str(tmp_path / "scenes.yaml"), str(tmp_path)).first()
-    assert row.scene_id == "room" and row.navmesh == str((tmp_path / "a.navmesh").resolve()) and row.materials_mode == "off" and row.stage_config is None
+    assert row.scene_id == "room" and row.navmesh == str(tmp_path / "a.navmesh") and row.materials_mode == "off" and row.stage_config is None
     for broken, said in ((text.replace("navmesh: a.", "navmesh: b."), "no file"), (text.replace("    dataset: d\n", ""), "lacks dataset"), (text.replace("mode: off", "mode: on"), "off"), ("", "no scenes")):
         (tmp_path / "scenes.yaml").write_text(broken)
         with pytest.raises(ValueError, match=said):
@@ -122,8 +124,12 @@ def test_scene_registry(spark, tmp_path):
 
 def test_sound_registry(spark, tmp_path):
     image = audio.write_wav(np.full((80000, 2), 0.1, np.float32), 16000)
-    (tmp_path / "tone.wav").write_bytes(image)
-    good = dict(audio_id="tone", event_class="bell", path="tone.wav", duration_sec="5.0", sample_rate_hz="16000", channels="2", sha256=hashlib.sha256(image).hexdigest(), source_dataset="own")
+    (tmp_path / "dry").mkdir()
+    (tmp_path / "dry" / "tone.wav").write_bytes(image)
+    broken = np.full((80000, 2), 0.1, np.float32)
+    broken[9, 1] = np.nan
+    (tmp_path / "nan.wav").write_bytes(audio.write_wav(broken, 16000))
+    good = dict(audio_id="tone", event_class="bell", path="dry/tone.wav", duration_sec="5.0", sample_rate_hz="16000", channels="2", sha256=hashlib.sha256(image).hexdigest(), source_dataset="own")
 
     def read(*rows):
         with open(tmp_path / "sounds.csv", "w", newline="") as out:
@@ -133,7 +139,7 @@ def test_sound_registry(spark, tmp_path):
         return registries.read_sounds(spark, str(tmp_path / "sounds.csv"), str(tmp_path))
 
     assert read(good).first().duration_sec == 5.0
-    for change, said in (({"channels": "1"}, "channels"), ({"duration_sec": "6"}, "duration"), ({"sha256": "0"}, "hash"), ({"path": "none.wav"}, "missing"), ({"event_class": ""}, "required field")):
+    for change, said in (({"channels": "1"}, "channels"), ({"duration_sec": "6"}, "duration"), ({"sha256": "0"}, "hash"), ({"path": "none.wav"}, "missing"), ({"path": "nan.wav"}, "not finite"), ({"event_class": ""}, "required field")):
         with pytest.raises(ValueError, match=said):
             read({**good, **change})
     with pytest.raises(ValueError, match="repeated id"):
@@ -147,3 +153,18 @@ def test_draws_depend_on_the_seed_alone():
     drawn = [records.drawn(s, 4, 7, 25.0, 2.0, 12.0) for s in range(200)]
     assert all(2 <= d[4] <= 12 and -180 <= d[3] < 180 and 0 <= d[2] < 25 for d in drawn) and {d[0] for d in drawn} == set(range(4))
     assert records.drawn(1, 4, 7, 25.0, 90.0, 99.0)[4:] == (None, 128)
+
+
+def test_episodes_of_scenes(spark, tmp_path):
+    """A main document without episodes and one a scene; only what is there is read, and a missing folder has no scenes."""
+    from pyspark.sql import types as T
+
+    (tmp_path / "content").mkdir()
+    for name, ids in (("train.json.gz", []), ("content/a.json.gz", [1, 2]), ("content/b.json.gz", [3])):
+        (tmp_path / name).write_bytes(gzip.compress(json.dumps({"episodes": [{"episode_id": i, "goals": [{"view_points": [{"iou": 0.5}]}]} for i in ids]}).encode()))
+    schema = T.StructType.fromDDL("episode_id long, goals array<struct<view_points: array<struct<iou: double>>>>")
+    rows = tables.read_episode_set(spark, str(tmp_path / "train.json.gz"), schema)
+    assert sorted((r.scene, r.episode_id, r.goals[0].view_points[0].iou) for r in rows.collect()) == [("a", 1, 0.5), ("a", 2, 0.5), ("b", 3, 0.5)]
+    assert [r.episode_id for r in tables.read_episode_set(spark, str(tmp_path / "train.json.gz"), schema, ["b"]).collect()] == [3]
+    assert [r.scene for r in tables.scenes_of(spark, str(tmp_path / "content")).collect()] == ["a", "b"]
+    assert tables.scenes_of(spark, str(tmp_path / "none")).count() == 0
