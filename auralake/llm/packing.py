@@ -102,29 +102,30 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, price:
     return best[1:]
 
 
-def pieces(documents: DataFrame, largest: int = CAPACITIES[-1]) -> DataFrame:
-    """(doc_id, piece, start_word, n_tokens); the end token lies in a document's last piece."""
+def pieces(documents: DataFrame, largest: int = CAPACITIES[-1], *more: str) -> DataFrame:
+    """(doc_id, piece, start_word, n_tokens), then the columns ``more``; the end token lies in a document's last piece."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
-    counted = documents.select("doc_id", tokens.cast("long").alias("tokens"))
-    each = counted.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("tokens") / largest) - 1)).alias("piece"))
-    return each.select("doc_id", "piece", (F.col("piece") * largest).alias("start_word"), F.least(F.lit(largest), F.col("tokens") - F.col("piece") * largest).alias("n_tokens"))
+    counted = documents.select("doc_id", tokens.cast("long").alias("tokens"), *more)
+    each = counted.select("doc_id", *more, "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("tokens") / largest) - 1)).alias("piece"))
+    return each.select("doc_id", "piece", (F.col("piece") * largest).alias("start_word"), F.least(F.lit(largest), F.col("tokens") - F.col("piece") * largest).alias("n_tokens"), *more)
 
 
 def best_fit(documents: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
     """(doc_id, piece, start_word, n_tokens, bin_id, bin_offset, bin_capacity) for each piece of each row.
 
-    Null and empty texts are one end token. Rows with the same doc_id are packed each on its own. An
-    empty table gives an empty result. Other columns are left out, whatever their names.
+    Null and empty texts are one end token. Rows with the same doc_id, or with none, are packed each on
+    its own, and dealt out like any other. An empty table gives an empty result. Other columns are left
+    out, whatever their names. Words are counted in the row, without a copy of its text; a task packs a shard's lengths.
     """
-    rows = common.cut(pieces(documents, max(capacities)))
+    rows = common.cut(pieces(documents.select("doc_id", "text", F.monotonically_increasing_id().alias("_at")), max(capacities), "_at"))
     shards = max(1, -(-rows.count() // SHARD_PIECES))
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece", "n_tokens"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "piece", "n_tokens", "_at"], kind="stable").reset_index(drop=True)
         bins, offset, size = pack(frame["n_tokens"].to_numpy(), capacities)
-        return frame.assign(bin_id=frame["shard"].astype("int64") * (1 << 32) + bins, bin_offset=offset, bin_capacity=size[bins]).drop(columns="shard")
+        return frame.assign(bin_id=frame["shard"].astype("int64") * (1 << 32) + bins, bin_offset=offset, bin_capacity=size[bins]).drop(columns=["shard", "_at"])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("_at", "piece"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(shard, _PIECE)
 
 

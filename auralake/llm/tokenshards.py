@@ -3,9 +3,10 @@
 A shard holds the ids of consecutive documents in ascending doc_id order as a wavelet matrix: the
 ids that occur are numbered by value, and one bit-plane for each bit of that number, from the
 highest, holds the bits of all tokens, those with a zero bit moved before those with a one bit for
-the next plane. With counts of one bits at every ``BLOCK`` bits, a token, the number of occurrences
-of an id before a position and the place of its k-th occurrence are found in one step a plane. It
-takes as many bits a token as there are planes, and the counts a little more.
+the next plane. With counts of one bits at every ``BLOCK`` bits, which the file holds too, a token, the
+number of occurrences of an id before a position and the place of its k-th occurrence are found in one
+step a plane, from one count and one block of bits: an open file is looked into, not read. It takes as
+many bits a token as there are planes, and the counts a hundredth more.
 
 Shards are rows of a Parquet table, one file image each, written by Spark's own committing writer
 into the shared folder: any store will do, and a lost executor's shard is written again. Documents
@@ -23,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,26 +35,28 @@ from .bpe import tokenizer_path
 
 #: Bytes of ids, at four each, after which a task closes a shard.
 SHARD_BYTES = 12 << 20
-MAGIC = b"WAVM0001"
-#: Bits between two stored counts of one bits.
-BLOCK = 4096
+MAGIC = b"WAVM0002"
+#: Bits between two stored counts of one bits, and how many blocks are looked into at once.
+BLOCK, BLOCKS_AT_ONCE = 4096, 1024
 #: Words that a worker keeps the ids of, after which it starts anew.
 CACHED = 400_000
 END_ID = 2
 
 
 class WaveletMatrix:
-    """Ids in succinct bit-planes. ``planes`` are packed bits, highest plane first, in little bit order."""
+    """Ids in succinct bit-planes. ``planes`` are packed bits, highest plane first, in little bit order; ``ones`` the one bits before each block of a plane, and in all."""
 
-    def __init__(self, length: int, alphabet: np.ndarray, planes: list[np.ndarray]):
+    def __init__(self, length: int, alphabet: np.ndarray, planes: list[np.ndarray], ones: list[np.ndarray] | None = None):
         self.length, self.alphabet, self.planes = length, alphabet, planes
-        self.ones = []
-        for plane in planes:
-            counts = np.bitwise_count(plane).astype(np.int64)
-            whole = np.add.reduceat(counts, np.arange(0, len(counts), BLOCK // 8)) if len(counts) else counts
-            self.ones.append(np.concatenate([[0], np.cumsum(whole)]))
+        self.ones = [self._counted(p) for p in planes] if ones is None else ones
         self.zeros = [length - int(o[-1]) for o in self.ones]
 
+    @staticmethod
+    def _counted(plane: np.ndarray) -> np.ndarray:
+        counts = np.bitwise_count(plane)
+        whole = np.add.reduceat(counts, np.arange(0, len(counts), BLOCK // 8), dtype=np.int64) if len(counts) else counts.astype(np.int64)
+        return np.concatenate([[0], np.cumsum(whole)]).astype("<u4")
+
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
         seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
@@ -68,14 +72,17 @@ class WaveletMatrix:
         return WaveletMatrix(len(ids), alphabet, planes)
 
     def _rank(self, plane: int, at: np.ndarray) -> np.ndarray:
-        """One bits before each position."""
+        """One bits before each position: those before its block, and in one step for all those of the block."""
         at = np.asarray(at, np.int64)
-        block = at // BLOCK
-        out = self.ones[plane][block].copy()
-        data = self.planes[plane]
-        for i, (a, b) in enumerate(zip(block.ravel().tolist(), at.ravel().tolist(), strict=True)):
-            inside = data[a * BLOCK // 8 : b // 8]
-            out.ravel()[i] += int(np.bitwise_count(inside).sum(dtype=np.int64)) + (int(data[b // 8] & ((1 << b % 8) - 1)).bit_count() if b % 8 else 0)
+        data, out = self.planes[plane], self.ones[plane][at // BLOCK].astype(np.int64)
+        if not len(data):
+            return out
+        for i in range(0, len(at), BLOCKS_AT_ONCE):
+            some = at[i : i + BLOCKS_AT_ONCE, None]
+            byte = some // BLOCK * (BLOCK // 8) + np.arange(BLOCK // 8)
+            bits = data[np.minimum(byte, len(data) - 1)]
+            mask = np.clip(some - 8 * byte, 0, 8)
+            out[i : i + BLOCKS_AT_ONCE] += np.bitwise_count(bits & ((1 << mask) - 1).astype(np.uint8)).sum(1, dtype=np.int64)
         return out
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -123,7 +130,8 @@ class WaveletMatrix:
         return at
 
     def _select_bit(self, plane: int, k: int, one: int) -> int:
-        bounds = self.ones[plane] if one else np.arange(len(self.ones[plane])) * BLOCK - self.ones[plane]
+        ones = self.ones[plane].astype(np.int64)
+        bounds = ones if one else np.arange(len(ones)) * BLOCK - ones
         block = int(np.searchsorted(bounds, k, "right")) - 1
         bits = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(bounds[block])])
@@ -140,27 +148,32 @@ class WaveletMatrix:
         return self.alphabet[x] if len(self.alphabet) else x.astype(np.uint32)
 
 
-def to_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard's file: magic, four little-endian counts, doc_ids, token counts, alphabet, planes, CRC-32."""
+def to_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, unnamed: int = 0) -> bytes:
+    """A shard's file: magic, five little-endian counts, doc_ids, token counts, alphabet, of each plane the counts of its blocks, planes, CRC-32. The first ``unnamed`` documents have no id."""
     matrix = WaveletMatrix.build(ids)
-    head = MAGIC + struct.pack("<4Q", len(doc_ids), len(ids), len(matrix.alphabet), len(matrix.planes))
-    body = [doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), matrix.alphabet.astype("<u4").tobytes(), *[p.tobytes() for p in matrix.planes]]
+    head = MAGIC + struct.pack("<5Q", len(doc_ids), len(ids), len(matrix.alphabet), len(matrix.planes), unnamed)
+    body = [doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), matrix.alphabet.astype("<u4").tobytes(), *[o.tobytes() for o in matrix.ones], *[p.tobytes() for p in matrix.planes]]
     data = b"".join([head, *body])
     return data + struct.pack("<I", zlib.crc32(data))
 
 
-def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """doc_ids, token counts and the matrix of a shard's file; ValueError if it is damaged."""
-    if data[:8] != MAGIC or zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
+def from_file(data: bytes, whole: bool = True) -> tuple[np.ndarray, np.ndarray, WaveletMatrix, int]:
+    """doc_ids, token counts and the matrix of a shard's file, as views of it, and how many documents have no id; ValueError if it is damaged.
+
+    ``whole``: the file is read through to test it; without that, no more of it is read than is asked for.
+    """
+    if data[:8] != MAGIC or (whole and zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]):
         raise ValueError("not a whole token shard")
-    docs, length, letters, planes = struct.unpack_from("<4Q", data, 8)
-    at = 40
+    docs, length, letters, planes, unnamed = struct.unpack_from("<5Q", data, 8)
+    at = 48
     doc_ids = np.frombuffer(data, "<i8", docs, at)
     lengths = np.frombuffer(data, "<u4", docs, at + 8 * docs)
     alphabet = np.frombuffer(data, "<u4", letters, at + 12 * docs)
     at += 12 * docs + 4 * letters
-    size = (length + 7) // 8
-    return doc_ids, lengths, WaveletMatrix(length, alphabet, [np.frombuffer(data, np.uint8, size, at + p * size) for p in range(planes)])
+    size, blocks = (length + 7) // 8, -(-length // BLOCK) + 1
+    ones = [np.frombuffer(data, "<u4", blocks, at + 4 * p * blocks) for p in range(planes)]
+    at += 4 * planes * blocks
+    return doc_ids, lengths, WaveletMatrix(length, alphabet, [np.frombuffer(data, np.uint8, size, at + p * size) for p in range(planes)], ones), unnamed
 
 
 #: ASCII punctuation that ends a word and can be part of no contraction and no special token.
@@ -267,29 +280,30 @@ _SHARDS = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_tokens",
 
 
 def write_shards(documents: DataFrame, path: str, folder: str, end_id: int = END_ID) -> None:
-    """Writes ``documents`` (doc_id, text) as shards to ``folder``, each document closed by ``end_id``."""
+    """Writes ``documents`` (doc_id, text) as shards to ``folder``, each document closed by ``end_id``, those without an id first."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(path, end_id), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = number = 0
+        size = number = unnamed = 0
 
         def closed() -> pa.RecordBatch:
             docs, ids, lengths = map(np.concatenate, zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([to_file(docs, lengths, ids)], pa.binary())], schema=_SHARDS)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([to_file(docs, lengths, ids, unnamed)], pa.binary())], schema=_SHARDS)
 
         for piece in common.pieces(batches, most=common.CODING_BYTES):
             ids, lengths = own.encode(piece.column("text"))
-            held.append((piece.column("doc_id").to_numpy(), ids, lengths))
+            held.append((pc.fill_null(piece.column("doc_id").cast(pa.int64()), 0).to_numpy(), ids, lengths))
+            unnamed += piece.column("doc_id").null_count
             size += 4 * len(ids)
             if size >= SHARD_BYTES:
                 yield closed()
                 held.clear()
-                size, number = 0, number + 1
+                size, number, unnamed = 0, number + 1, 0
         if held:
             yield closed()
 
-    rows = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    rows = documents.select("doc_id", "text")
     partitions = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(shards, "part int, number int, n_tokens long, file binary").write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(folder)
@@ -302,13 +316,13 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_ids, lengths, matrix = from_file(batch.column("file")[i].as_py())
+                doc_ids, lengths, matrix, unnamed = from_file(batch.column("file")[i].as_py())
                 data = memoryview(np.ascontiguousarray(matrix.ids(), "<u4").view(np.uint8))
                 bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column("part")[i].as_py(), np.int32)), pa.array(np.full(n, batch.column("number")[i].as_py(), np.int32)), pa.array(doc_ids), pa.array(bounds[:-1]), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(n, batch.column("part")[i].as_py(), np.int32)), pa.array(np.full(n, batch.column("number")[i].as_py(), np.int32)), pa.array(doc_ids, mask=np.arange(n) < unnamed), pa.array(bounds[:-1]), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
                     names=["part", "number", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
@@ -324,9 +338,10 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 def token_shards(documents: DataFrame, path: str) -> DataFrame:
     """Writes the shards of ``documents`` into the shared folder and reads each document's ids back.
 
-    Null and empty texts are the end id alone. Rows without a doc_id have no place in the order and
-    are left out; repeated rows each get a row, in the order in which they come. An empty table
-    gives an empty result. Other columns are left out, whatever their names.
+    Null and empty texts are the end id alone. Rows without a doc_id come before all others; repeated rows,
+    and those, each get a row, in the order in which they come. An empty table gives an empty result. Other
+    columns are left out, whatever their names. A text is encoded whole, which takes about 60 times its bytes;
+    a task holds a shard's ids besides.
     """
     folder = f"{common.shared_folder(documents.sparkSession)}/token-shards-{uuid.uuid4().hex}"
     write_shards(documents, path, folder)

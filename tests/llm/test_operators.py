@@ -669,6 +669,34 @@ def test_token_shards(spark, texts, monkeypatch):
         tokenshards.from_file(whole[:20] + b"x" + whole[21:])
 
 
+def test_an_open_shard_is_looked_into_by_blocks():
+    """Counts are the file's, a look needs a count and a block of each plane, and damage elsewhere does not matter to it."""
+    rng = np.random.default_rng(11)
+    ids = rng.zipf(1.3, 300_000).clip(0, 40_000).astype(np.uint32)
+    data = bytearray(tokenshards.to_file(np.arange(3), np.array([100_000] * 3), ids, 1))
+    *_, matrix, unnamed = tokenshards.from_file(bytes(data))
+    assert unnamed == 1 and all(np.array_equal(o, matrix._counted(p)) for o, p in zip(matrix.ones, matrix.planes, strict=True))
+    at = rng.integers(0, len(ids), 3000)
+    assert np.array_equal(matrix.access(at), ids[at])
+    for token in (1, 2, 7, 40_000):
+        where = np.flatnonzero(ids == token)
+        assert matrix.count(token) == len(where) and matrix.select(token, len(where) - 1) == where[-1] and matrix.select(token, len(where)) == -1
+        assert [matrix.rank(token, int(p)) for p in at[:20]] == [int((where < p).sum()) for p in at[:20]]
+    data[-2000] ^= 0xFF  # in the last plane, far from the first block
+    with pytest.raises(ValueError, match="whole"):
+        tokenshards.from_file(bytes(data))
+    looked = tokenshards.from_file(bytes(data), whole=False)[2]
+    assert (looked.access(at) == ids[at]).mean() > 0.99
+
+
+def test_shards_of_rows_without_ids(spark):
+    rows = [(None, "b"), (2, "one two"), (None, "a b c"), (1, None), (-5, "x")]
+    found = tokenshards.token_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bpe.tokenizer_path("word_bpe_49k.json")).collect()
+    ordered = sorted(found, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == [None, None, -5, 1, 2]
+    assert [r.start for r in ordered] == np.cumsum([0, *[r.n_tokens for r in ordered[:-1]]]).tolist()
+
+
 def test_pipeline_against_plain_stages(spark, texts):
     """run() gives the documents, texts and tokens that a plain reading of each stage gives."""
     good = {r.doc_id for r in queries.queries()["op1_quality_rules"](spark, FOLDER).collect() if r.kept}
