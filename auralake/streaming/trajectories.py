@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -100,40 +101,40 @@ class OrderedSteps(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, event_id long, kind string, value double")
+        self.waiting = handle.getListState("waiting", "ms long, event_id long, kind string, value double, user_id long")
         self.now = handle.getValueState("now", "episode long, step long, belief double")
         self.kinds = handle.getMapState("kinds", "kind string", "n long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if key[0] is None or pd.isna(key[0]):
             return
-        came = [(int(t.value // 1_000_000), int(e), k, None if pd.isna(v) else float(v)) for f in rows for t, e, k, v in zip(f["ts"], f["event_id"], f["event_type"], f["value"], strict=True)]
+        came = [(int(t.value // 1_000_000), int(e), k, float(v), int(key[0])) for f in rows for t, e, k, v in zip(f["ts"], f["event_id"], f["event_type"], f["value"], strict=True)]
         for row in came:
             self.waiting.appendValue(row)
         self.handle.registerTimer(max(r[0] for r in came))
-        yield from self.passed(key, timers.getCurrentWatermarkInMs())
+        yield from self.passed(timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.passed(key, max(timers.getCurrentWatermarkInMs(), expired.getExpiryTimeInMs()))
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.passed(max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
 
-    def passed(self, key: tuple, until: int) -> Iterator[pd.DataFrame]:
+    def passed(self, until: int) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         due = sorted(r for r in held if r[0] <= until)
         if not due:
             return
         rest = [r for r in held if r[0] > until]
         self.waiting.put(rest) if rest else self.waiting.clear()
-        episode, step, belief = self.now.get() if self.now.exists() else (0, 0, None)
+        episode, step, belief = self.now.get() if self.now.exists() else (0, 0, math.nan)  # state holds no nulls
         out = []
-        for _, event, kind, value in due:
-            if kind != "error" and value is not None:
-                belief = value if belief is None else 0.5 * belief + 0.5 * value
+        for _, event, kind, value, user in due:
+            if kind != "error" and not math.isnan(value):
+                belief = value if math.isnan(belief) else 0.5 * belief + 0.5 * value
             n = (self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + 1
             self.kinds.updateValue((kind,), (n,))
-            out.append((key[0], event, episode, step, belief, n))
+            out.append((user, event, episode, step, belief, n))
             step += 1
             if kind == "purchase":
-                episode, step, belief = episode + 1, 0, None
+                episode, step, belief = episode + 1, 0, math.nan
         self.now.update((episode, step, belief))
         yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="float64" if c == "belief" else "int64") for i, c in enumerate(("user_id", "event_id", "episode", "step", "belief", "of_kind"))})
 
@@ -155,7 +156,7 @@ class FirstSeen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "kind string", "n long", ttlDurationMs=self.forget_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = []
         for kind, n in pd.concat([f["event_type"] for f in rows]).value_counts(sort=False).items():
             known = self.seen.containsKey((kind,))
