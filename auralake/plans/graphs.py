@@ -87,7 +87,7 @@ def order_islands(spark, d):
     f"""WITH RECURSIVE {_SCENES}, s AS (SELECT scene, min(node) AS node FROM n GROUP BY scene),
 b(scene, node, hops) AS (SELECT scene, node, 0 FROM s UNION SELECT e.scene, e.dst, hops + 1 FROM b JOIN e ON e.src = b.node WHERE hops < 35), h AS (SELECT node, min(hops) AS hops FROM b GROUP BY 1),
 t AS (SELECT h.node, min(g.node) AS parent FROM h JOIN e ON e.dst = h.node JOIN h g ON g.node = e.src AND g.hops = h.hops - 1 GROUP BY h.node)
-SELECT n.node, coalesce(CASE ((CASE WHEN m.x > n.x THEN 0 WHEN m.y > n.y THEN 90 WHEN m.x < n.x THEN 180 ELSE 270 END) - n.node % 4 * 90 + 360) % 360 WHEN 0 THEN 'FORWARD' WHEN 90 THEN 'LEFT' WHEN 180 THEN 'LEFT' ELSE 'RIGHT' END, 'STOP') AS action FROM n LEFT JOIN t ON t.node = n.node LEFT JOIN n m ON m.node = t.parent""",
+SELECT n.node, CASE WHEN m.node IS NULL THEN 'STOP' ELSE CASE ((CASE WHEN m.x > n.x THEN 0 WHEN m.y > n.y THEN 90 WHEN m.x < n.x THEN 180 ELSE 270 END) - n.node % 4 * 90 + 360) % 360 WHEN 0 THEN 'FORWARD' WHEN 90 THEN 'LEFT' WHEN 180 THEN 'LEFT' ELSE 'RIGHT' END END AS action FROM n LEFT JOIN t ON t.node = n.node LEFT JOIN n m ON m.node = t.parent""",
 )
 def greedy_actions(spark, d):
     """What an agent at each place does next on its way to the first place of its scene; it stops there, and where no way leads."""
