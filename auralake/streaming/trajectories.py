@@ -94,7 +94,7 @@ class OrderedSteps(StatefulProcessor):
     Steps wait in a list until the watermark has passed them, which a timer tells if nothing else of the
     key comes. Then they go on in order: ``episode`` counts the finishing steps before one, ``step`` the steps
     of its episode, ``belief`` is the running mean of old and new values of the episode, and ``of_kind`` counts the
-    steps of its kind in the key so far, kept in a map.
+    steps of its kind in the key so far, kept in a map. Calls do all their work before they return, while the state is that of their key.
     """
 
     OUT = "user_id long, event_id long, episode long, step long, belief double, of_kind long"
@@ -106,22 +106,22 @@ class OrderedSteps(StatefulProcessor):
         self.kinds = handle.getMapState("kinds", "kind string", "n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is None or pd.isna(key[0]):
-            return
+        if not key[0]:  # no user
+            return iter(())
         came = [(int(t.value // 1_000_000), int(e), k, float(v), int(key[0])) for f in rows for t, e, k, v in zip(f["ts"], f["event_id"], f["event_type"], f["value"], strict=True)]
         for row in came:
             self.waiting.appendValue(row)
         self.handle.registerTimer(max(r[0] for r in came))
-        yield from self.passed(timerValues.getCurrentWatermarkInMs())
+        return iter(self.passed(timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.passed(max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
+        return iter(self.passed(max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())))
 
-    def passed(self, until: int) -> Iterator[pd.DataFrame]:
+    def passed(self, until: int) -> list[pd.DataFrame]:
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         due = sorted(r for r in held if r[0] <= until)
         if not due:
-            return
+            return []
         rest = [r for r in held if r[0] > until]
         self.waiting.put(rest) if rest else self.waiting.clear()
         episode, step, belief = self.now.get() if self.now.exists() else (0, 0, math.nan)  # state holds no nulls
@@ -136,15 +136,21 @@ class OrderedSteps(StatefulProcessor):
             if kind == "purchase":
                 episode, step, belief = episode + 1, 0, math.nan
         self.now.update((episode, step, belief))
-        yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="float64" if c == "belief" else "int64") for i, c in enumerate(("user_id", "event_id", "episode", "step", "belief", "of_kind"))})
+        frame = pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="float64" if c == "belief" else "int64") for i, c in enumerate(("user_id", "event_id", "episode", "step", "belief", "of_kind"))})
+        return [frame]
 
     def close(self) -> None:
         pass
 
 
+def _keyed(events: DataFrame) -> DataFrame:
+    """Events by a text of their user, empty for none, and without nulls in whole numbers: beside one null, pandas would make all whole numbers of a batch, keys too, to floating ones."""
+    return events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("key"), "ts", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.coalesce("event_type", F.lit("")).alias("event_type"), "value")
+
+
 def ordered_steps(events: DataFrame) -> DataFrame:
-    """What ``OrderedSteps`` gives for ``events`` (user_id, ts, event_id, event_type, value), which have a watermark on ``ts``."""
-    return events.groupBy("user_id").transformWithStateInPandas(OrderedSteps(), OrderedSteps.OUT, "append", "EventTime")
+    """What ``OrderedSteps`` gives for ``events`` (user_id, ts, event_id, event_type, value), which have a watermark on ``ts``; rows without a user are left out."""
+    return _keyed(events).groupBy("key").transformWithStateInPandas(OrderedSteps(), OrderedSteps.OUT, "append", "EventTime")
 
 
 class FirstSeen(StatefulProcessor):
@@ -163,8 +169,7 @@ class FirstSeen(StatefulProcessor):
             self.seen.updateValue((kind,), (int(n) + (self.seen.getValue((kind,))[0] if known else 0),))
             if not known:
                 new.append(kind)
-        if new:
-            yield pd.DataFrame({"user_id": [key[0]] * len(new), "event_type": new})
+        return iter([pd.DataFrame({"user_id": pd.Series([int(key[0]) if key[0] else None] * len(new), dtype="Int64"), "event_type": new})] if new else [])
 
     def close(self) -> None:
         pass
@@ -172,4 +177,4 @@ class FirstSeen(StatefulProcessor):
 
 def first_seen(events: DataFrame, forget_ms: int) -> DataFrame:
     """(user_id, event_type), each once while it is remembered, which is ``forget_ms`` of the clock after it was last seen."""
-    return events.groupBy("user_id").transformWithStateInPandas(FirstSeen(forget_ms), "user_id long, event_type string", "append", "ProcessingTime")
+    return _keyed(events).groupBy("key").transformWithStateInPandas(FirstSeen(forget_ms), "user_id long, event_type string", "append", "ProcessingTime")
