@@ -151,30 +151,3 @@ def _keyed(events: DataFrame) -> DataFrame:
 def ordered_steps(events: DataFrame) -> DataFrame:
     """What ``OrderedSteps`` gives for ``events`` (user_id, ts, event_id, event_type, value), which have a watermark on ``ts``; rows without a user are left out."""
     return _keyed(events).groupBy("key").transformWithStateInPandas(OrderedSteps(), OrderedSteps.OUT, "append", "EventTime")
-
-
-class FirstSeen(StatefulProcessor):
-    """The first of equal kinds of a key, which are forgotten a time after they were last seen."""
-
-    def __init__(self, forget_ms: int):
-        self.forget_ms = forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "kind string", "n long", ttlDurationMs=self.forget_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for kind, n in pd.concat([f["event_type"] for f in rows]).value_counts(sort=False).items():
-            known = self.seen.containsKey((kind,))
-            self.seen.updateValue((kind,), (int(n) + (self.seen.getValue((kind,))[0] if known else 0),))
-            if not known:
-                new.append(kind)
-        return iter([pd.DataFrame({"user_id": pd.Series([int(key[0]) if key[0] else None] * len(new), dtype="Int64"), "event_type": new})] if new else [])
-
-    def close(self) -> None:
-        pass
-
-
-def first_seen(events: DataFrame, forget_ms: int) -> DataFrame:
-    """(user_id, event_type), each once while it is remembered, which is ``forget_ms`` of the clock after it was last seen."""
-    return _keyed(events).groupBy("key").transformWithStateInPandas(FirstSeen(forget_ms), "user_id long, event_type string", "append", "ProcessingTime")

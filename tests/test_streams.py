@@ -49,9 +49,3 @@ def test_steps_of_several_batches_are_put_in_order(spark, folder, tmp_path):
         assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
         assert _rows(found.withColumn("belief", F.floor(F.col("belief") * 1000000 + 0.5) / 1000000)) == _rows(streams.stream_ordered_steps(spark, FOLDER))
         assert 0 < some.count() < found.count()  # what the watermark has not passed waits
-
-
-def test_kinds_are_told_once_over_several_batches(spark, folder):
-    with trajectories.rocksdb(spark):
-        found = trajectories.finished(trajectories.first_seen(trajectories.source(spark, folder, "events", files=1), 3_600_000), "append")
-    assert _rows(found) == _rows(spark.read.parquet(f"{FOLDER}/events.parquet").select("user_id", "event_type").distinct())
