@@ -17,7 +17,7 @@ from .space import _BOX, _POINTS, _points, points_in_boxes
 def near_sources(spark, d):
     """Sources that lie near a receiver on the ground, whatever their height within a bound of its own."""
     points = _points(spark, d)
-    found = near_in_space(points, points, 0.7, ["scene"], ("x", "z")).where((F.col("l.id") != F.col("r.id")) & (F.abs(F.col("l.y") - F.col("r.y")) < 0.9))
+    found = near_in_space(points, points, 0.49, ["scene"], ("x", "z")).where((F.col("l.id") != F.col("r.id")) & (F.abs(F.col("l.y") - F.col("r.y")) < 0.9))
     return found.select(F.col("l.id").alias("receiver"), F.col("r.id").alias("source"))
 
 
