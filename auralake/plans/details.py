@@ -30,7 +30,7 @@ def objects_per_scene(spark, d):
     """How many objects of each scene have a point in their turned box."""
     objects = table(spark, d, "part").select(F.col("p_partkey").alias("box"), F.pmod("p_partkey", F.lit(5)).cast("int").alias("scene"))
     hit = points_in_boxes(spark, d).select("box", F.lit(True).alias("hit"))
-    return objects.join(hit, "box", "left").groupBy("scene").agg(F.count("*").alias("objects"), F.count_if(F.coalesce("hit", F.lit(False))).alias("holding"))
+    return objects.join(hit.hint("merge"), "box", "left").groupBy("scene").agg(F.count("*").alias("objects"), F.count_if(F.coalesce("hit", F.lit(False))).alias("holding"))
 
 
 @query(
