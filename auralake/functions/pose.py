@@ -33,6 +33,13 @@ def azimuth(x: Column, z: Column, yaw: Column) -> Column:
     return normalize_yaw(F.degrees(F.atan2(rightward, -backward)))
 
 
+def bearing(right: Column, back: Column) -> Column:
+    """Degrees from the front, in [-180, 180] with the signs of zeros that Spark's atan2 drops: straight behind is 180 or, where ``right`` is -0.0, -180."""
+    side = F.when(right.cast("string").startswith("-"), -1.0).otherwise(1.0)
+    straight = F.when((back > 0) | (back.cast("string") == "0.0"), 180.0).otherwise(0.0)
+    return F.when(right == 0, side * straight).otherwise(F.degrees(F.atan2(right, -back)))
+
+
 def sensor(y: Column) -> Column:
     return y + SENSOR_HEIGHT
 

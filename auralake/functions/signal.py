@@ -25,6 +25,12 @@ def total(signal: Column) -> Column:
     return F.aggregate(signal, F.lit(0.0), lambda a, x: a + x)
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double to ``digits`` places as SQL engines in C do it: the scaled number's halves go away from zero, and where nothing is left, zero has the sign of the number."""
+    v, scale = F.col(value) if isinstance(value, str) else value, float(10**digits)
+    return F.signum(v) * (F.round(F.abs(v) * scale, 0) / scale)
+
+
 def energy(signal: Column) -> Column:
     return F.aggregate(signal, F.lit(0.0), lambda a, x: a + x * x)
 

@@ -120,7 +120,7 @@ def nested_goals(spark, d):
     up = lambda position, i: F.transform(position, lambda x, k: x + F.when((k == 1) & (i == 0), 0.1).otherwise(0.0))
     raised = F.transform("goals", lambda g, i: F.struct(up(g["position"], i).alias("position"), F.transform(g["view_points"], lambda v: F.struct(up(v["position"], i).alias("position"), F.lit(0.0).alias("iou"))).alias("view_points")))
     flat = rows.select("vec_id", F.posexplode(raised).alias("goal", "g")).select("vec_id", "goal", "g", F.posexplode("g.view_points").alias("point", "v"))
-    return flat.select("vec_id", "goal", "point", F.round(F.col("v.position")[1], 6).alias("y"), F.col("v.iou").alias("iou"), F.round(F.col("g.position")[1], 6).alias("goal_y"))
+    return flat.select("vec_id", "goal", "point", signal.rounded(F.col("v.position")[1], 6).alias("y"), F.col("v.iou").alias("iou"), signal.rounded(F.col("g.position")[1], 6).alias("goal_y"))
 
 
 @query(

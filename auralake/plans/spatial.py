@@ -33,10 +33,10 @@ def waveform_metrics(spark, d):
     el, er = signal.energy(F.col("l")), signal.energy(F.col("r"))
     both = F.zip_with("l", "r", lambda a, b: F.greatest(F.abs(a), F.abs(b)))
     e = rows.select("vec_id", el.alias("el"), er.alias("er"), signal.peak(F.col("l")).alias("pl"), signal.peak(F.col("r")).alias("pr"), F.size(F.filter(both, lambda x: x < 0.05)).alias("quiet"), F.size(F.filter(F.concat("l", "r"), lambda x: F.abs(x) >= 0.3)).alias("loud"))
-    level = lambda c: F.round(signal.dbfs(F.sqrt(F.col(c) / 32)), 6)
+    level = lambda c: signal.rounded(signal.dbfs(F.sqrt(F.col(c) / 32)), 6)
     return e.select(
-        "vec_id", level("el").alias("rms_left_dbfs"), level("er").alias("rms_right_dbfs"), F.round(10 * F.log10((F.col("el") / 32 + signal.EPS) / (F.col("er") / 32 + signal.EPS)), 6).alias("ild"),
-        F.round("pl", 6).alias("peak_left"), F.round("pr", 6).alias("peak_right"), (F.col("quiet") / 32.0).alias("silence"), (F.col("loud") / 64.0).alias("clipping"), F.round("el", 6).alias("energy_left"), F.round("er", 6).alias("energy_right"),
+        "vec_id", level("el").alias("rms_left_dbfs"), level("er").alias("rms_right_dbfs"), signal.rounded(10 * F.log10((F.col("el") / 32 + signal.EPS) / (F.col("er") / 32 + signal.EPS)), 6).alias("ild"),
+        signal.rounded("pl", 6).alias("peak_left"), signal.rounded("pr", 6).alias("peak_right"), (F.col("quiet") / 32.0).alias("silence"), (F.col("loud") / 64.0).alias("clipping"), signal.rounded("el", 6).alias("energy_left"), signal.rounded("er", 6).alias("energy_right"),
     )
 
 
@@ -55,7 +55,7 @@ def guarded_windows(spark, d):
     m = signal.window_metrics(F.when(F.col("fault").isNull(), F.col("l")), F.col("r"), window=24, silent=0.05, clipped=0.3)
     rounded = {"rms_mean": "rms_mean_dbfs", "peak": "peak_max", "energy": "energy_total", "silence": "silence_fraction", "clipping": "clipping_fraction"}
     found = rows.select("vec_id", "fault", m.alias("m"))
-    return found.select("vec_id", "fault", *[F.round(f"m.{c}", 6).alias(n) for n, c in rounded.items()], F.round(F.col("m.mean_square_left") / (F.col("m.mean_square_right") + signal.EPS), 6).alias("ratio"), F.col("m.duration_sec").alias("seconds"))
+    return found.select("vec_id", "fault", *[signal.rounded(f"m.{c}", 6).alias(n) for n, c in rounded.items()], signal.rounded(F.col("m.mean_square_left") / (F.col("m.mean_square_right") + signal.EPS), 6).alias("ratio"), F.col("m.duration_sec").alias("seconds"))
 
 
 @query(
@@ -67,7 +67,7 @@ SELECT vec_id, arg_min(lag, (-corr, abs(lag), lag)) AS lag, max(corr) AS corr FR
 )
 def interaural_lag(spark, d):
     rows = _ears(spark, d).select("vec_id", signal.lagged_correlations(F.col("l"), F.col("r"), 4).alias("c"))
-    rows = rows.select("vec_id", F.transform("c", lambda x, i: F.struct((i - 4).alias("lag"), F.round(x, 6).alias("corr"))).alias("c"))
+    rows = rows.select("vec_id", F.transform("c", lambda x, i: F.struct((i - 4).alias("lag"), signal.rounded(x, 6).alias("corr"))).alias("c"))
     best = F.array_min(F.transform("c", lambda x: F.struct((-x["corr"]).alias("c"), F.abs(x["lag"]).alias("a"), x["lag"].alias("lag"))))
     return rows.select("vec_id", best.alias("b")).select("vec_id", "b.lag", (-F.col("b.c")).alias("corr"))
 
@@ -75,7 +75,7 @@ def interaural_lag(spark, d):
 @query("M5", f"""WITH {_EARS}, e AS (SELECT vec_id, list_sum(list_transform(l[25:32], lambda x: x * x)) AS t, list_sum(list_transform(l, lambda x: x * x)) AS e FROM s) SELECT vec_id, round(t / (e + 1e-12), 6) AS tail_ratio, round(10 * log10(t / (e + 1e-12) + 1e-12), 6) AS tail_db FROM e""")
 def rir_tail(spark, d):
     ratio = signal.energy(F.slice("l", -8, 8)) / (signal.energy(F.col("l")) + signal.EPS)
-    return _ears(spark, d).select("vec_id", ratio.alias("q")).select("vec_id", F.round("q", 6).alias("tail_ratio"), F.round(10 * F.log10(F.col("q") + signal.EPS), 6).alias("tail_db"))
+    return _ears(spark, d).select("vec_id", ratio.alias("q")).select("vec_id", signal.rounded("q", 6).alias("tail_ratio"), signal.rounded(10 * F.log10(F.col("q") + signal.EPS), 6).alias("tail_db"))
 
 
 @query(
@@ -84,7 +84,7 @@ def rir_tail(spark, d):
 )
 def convolve_full(spark, d):
     rows = _ears(spark, d).select("vec_id", F.posexplode(signal.convolved(F.col("l"), F.col("r"))).alias("k", "v"))
-    return rows.select("vec_id", F.col("k").cast("long").alias("k"), (F.round("v", 6) + 0.0).alias("v"))
+    return rows.select("vec_id", F.col("k").cast("long").alias("k"), (signal.rounded("v", 6) + 0.0).alias("v"))
 
 
 @query(
@@ -98,7 +98,7 @@ def direct_intensity(spark, d):
     first = lambda ear: F.greatest(F.array_position(F.transform(ear, lambda x: x > F.col("least")), True), F.lit(1))
     rows = _ears(spark, d).select("vec_id", "l", "r", (0.1 * F.greatest(F.array_max("l"), F.array_max("r"))).alias("least")).select("vec_id", "l", "r", F.least(first("l"), first("r")).cast("int").alias("a"))
     rows = rows.select("vec_id", "a", F.concat(F.slice("l", F.col("a"), F.lit(150)), F.slice("r", F.col("a"), F.lit(150))).alias("s"))
-    return rows.select("vec_id", (F.col("a") - 1).alias("first_sample"), F.round(signal.energy(F.col("s")) / F.size("s"), 6).alias("intensity"))
+    return rows.select("vec_id", (F.col("a") - 1).alias("first_sample"), signal.rounded(signal.energy(F.col("s")) / F.size("s"), 6).alias("intensity"))
 
 
 @query(
@@ -131,8 +131,8 @@ def occupancy_grid(spark, d):
 def mono_gain(spark, d):
     rows = _ears(spark, d)
     start = F.bround(F.pmod("vec_id", F.lit(7)) / 2.0, 0).cast("int") + 1
-    mixed = F.zip_with(F.slice("l", start, F.lit(4)), F.slice("r", start, F.lit(4)), lambda a, b: F.round((a + b) / 2 * 10 ** (-6.0 / 20), 6))
-    return rows.select("vec_id", mixed.alias("mono"), F.round(F.least(F.greatest(F.col("l")[0] * 20, F.lit(0.0)), F.lit(10.0)) / 10, 6).alias("depth"))
+    mixed = F.zip_with(F.slice("l", start, F.lit(4)), F.slice("r", start, F.lit(4)), lambda a, b: signal.rounded((a + b) / 2 * 10 ** (-6.0 / 20), 6))
+    return rows.select("vec_id", mixed.alias("mono"), signal.rounded(F.least(F.greatest(F.col("l")[0] * 20, F.lit(0.0)), F.lit(10.0)) / 10, 6).alias("depth"))
 
 
 @query("M7 M12")
@@ -163,11 +163,12 @@ def azimuth_geometry(spark, d):
     t = t.withColumn("y", pose.normalize_yaw(F.col("yaw")))
     y, x, z = F.col("y"), F.col("x"), F.col("z")
     fx, fz = pose.forward(y)
+    right, back = pose.to_agent(x, z, y)  # straight behind is 180, as in SQL, where pose.azimuth has -180
     flat = F.sqrt(x * x + z * z)
     height = pose.sensor(F.lit(0.0))
     return t.select(
-        "s_suppkey", F.round(y, 6).alias("yaw"), (F.round(fx, 6) + 0.0).alias("fx"), (F.round(fz, 6) + 0.0).alias("fz"), F.round(pose.azimuth(x, z, y), 5).alias("azimuth"), F.round(F.sqrt(x * x + z * z + height * height), 6).alias("distance"),
-        F.round(pose.normalize_yaw(y + 45), 6).alias("left_yaw"), F.round(F.try_divide(flat * 1.2, flat), 6).alias("detour"), F.round(F.pmod(270 - F.degrees(F.atan2(z, x)), F.lit(360.0)), 5).alias("direction"),
+        "s_suppkey", signal.rounded(y, 6).alias("yaw"), (signal.rounded(fx, 6) + 0.0).alias("fx"), (signal.rounded(fz, 6) + 0.0).alias("fz"), signal.rounded(pose.bearing(right, back), 5).alias("azimuth"), signal.rounded(F.sqrt(x * x + z * z + height * height), 6).alias("distance"),
+        signal.rounded(pose.normalize_yaw(y + 45), 6).alias("left_yaw"), signal.rounded(F.try_divide(flat * 1.2, flat), 6).alias("detour"), signal.rounded(F.pmod(270 - F.degrees(F.atan2(z, x)), F.lit(360.0)), 5).alias("direction"),
     )
 
 
@@ -183,7 +184,7 @@ def frames_odom(spark, d):
     r = t.select("s_suppkey", "h", (x * F.cos(h) + y * F.sin(h)).alias("bx"), (y * F.cos(h) - x * F.sin(h)).alias("by"))
     turn = F.atan2("by", "bx")
     action = F.when(F.abs(turn) <= F.radians(F.lit(15)), "FORWARD").when(turn > 0, "LEFT").otherwise("RIGHT")
-    return r.select("s_suppkey", F.round("bx", 6).alias("bx"), F.round("by", 6).alias("by_"), F.round(F.atan2(F.sin(h - 1), F.cos(h - 1)), 6).alias("heading"), action.alias("action"), F.round(F.exp(-F.col("s_suppkey") / 50.0), 6).alias("fade"))
+    return r.select("s_suppkey", signal.rounded("bx", 6).alias("bx"), signal.rounded("by", 6).alias("by_"), signal.rounded(F.atan2(F.sin(h - 1), F.cos(h - 1)), 6).alias("heading"), action.alias("action"), signal.rounded(F.exp(-F.col("s_suppkey") / 50.0), 6).alias("fade"))
 
 
 def _edges(spark, d):
@@ -282,6 +283,6 @@ def flat_index(spark, d):
 def nested_transform(spark, d):
     e = signal.doubles(F.col("embedding"))
     goals = F.transform(F.slice(e, 1, 4), lambda x, i: F.struct(x.alias("y"), F.lit(0).alias("iou"), i.alias("i")))
-    raised = F.transform(goals, lambda g: F.round(g["y"] + F.when(g["i"] == 0, 0.1).otherwise(0.0), 6))
-    tiled = F.flatten(F.array_repeat(F.transform(F.slice(e, 1, 2), lambda x: F.round(x, 6)), 3))
+    raised = F.transform(goals, lambda g: signal.rounded(g["y"] + F.when(g["i"] == 0, 0.1).otherwise(0.0), 6))
+    tiled = F.flatten(F.array_repeat(F.transform(F.slice(e, 1, 2), lambda x: signal.rounded(x, 6)), 3))
     return table(spark, d, "embeddings").select("vec_id", raised.alias("raised"), tiled.alias("tiled"))
