@@ -1,4 +1,7 @@
-"""Graph operators over edge tables, by rounds of joins."""
+"""Graph operators over edge tables, by rounds of joins.
+
+Joins name their kind: files of keys are so small that Spark would send whole tables to all tasks in every round.
+"""
 
 from __future__ import annotations
 
@@ -45,8 +48,8 @@ def distances(edges: DataFrame, start: DataFrame, within: Sequence[str] = (), of
     while True:
         known.add(frontier)
         hop += 1
-        reached = frontier.withColumnRenamed("node", "src").join(edges, [*keys, "src"]).groupBy(*search, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        frontier = written(reached.join(known.all().select(*search, "node"), [*search, "node"], "left_anti").select(*search, "node", F.lit(hop).alias("hops"), "parent"))
+        reached = frontier.withColumnRenamed("node", "src").join(edges.hint("merge"), [*keys, "src"]).groupBy(*search, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        frontier = written(reached.join(known.all().select(*search, "node").hint("merge"), [*search, "node"], "left_anti").select(*search, "node", F.lit(hop).alias("hops"), "parent"))
         if frontier.isEmpty():
             return known.all()
 
@@ -60,14 +63,14 @@ def paths(tree: DataFrame, ends: DataFrame, search: Sequence[str] = ()) -> DataF
     """
     keys = list(search)
     tree = tree.select(*keys, "node", "hops", "parent")
-    rows = written(ends.select(*keys, "node").distinct().join(tree, [*keys, "node"]).select(*keys, F.col("node").alias("end"), "node", F.col("hops").alias("place")))
+    rows = written(ends.select(*keys, "node").distinct().join(tree.hint("merge"), [*keys, "node"]).select(*keys, F.col("node").alias("end"), "node", F.col("hops").alias("place")))
     longest = rows.agg(F.coalesce(F.max("place"), F.lit(0)).alias("n")).first().n
     up = [tree.where("parent is not null").select(*keys, "node", F.col("parent").alias("above"))]
     while 2 ** len(up) <= longest:
         further = up[-1].select(*keys, F.col("node").alias("above"), F.col("above").alias("higher"))
-        up.append(written(up[-1].join(further, [*keys, "above"]).select(*keys, "node", F.col("higher").alias("above"))))
+        up.append(written(up[-1].join(further.hint("merge"), [*keys, "above"]).select(*keys, "node", F.col("higher").alias("above"))))
     for k in reversed(range(len(up))):
-        upper = rows.where(F.col("place") >= 2**k).join(up[k], [*keys, "node"]).select(*keys, "end", F.col("above").alias("node"), (F.col("place") - 2**k).alias("place"))
+        upper = rows.where(F.col("place") >= 2**k).join(up[k].hint("merge"), [*keys, "node"]).select(*keys, "end", F.col("above").alias("node"), (F.col("place") - 2**k).alias("place"))
         rows = written(rows.unionByName(upper))
     return rows.select(*keys, "end", "place", "node")
 
@@ -92,19 +95,19 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: list[int] | None = No
         first = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", turn).alias("h"), "other")).alias("f"))
         hooked = first.select("node", F.when(F.col("f") < F.struct(F.xxhash64("node", turn).alias("h"), F.col("node").alias("other")), F.col("f.other")).otherwise(F.col("node")).alias("root"))
         further = hooked.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        hooked = written(hooked.join(further, "root").select("node", F.col("higher").alias("root")))
+        hooked = written(hooked.join(further.hint("merge"), "root").select("node", F.col("higher").alias("root")))
         levels.append(hooked)
         of = lambda end, roots=hooked: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        moved = left.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b")
+        moved = left.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("root_a <> root_b")
         left = written(moved.select(*ends(pair(F.col("root_a"), F.col("root_b")))).distinct())
     if not levels:
         return nodes.select("node", F.col("node").alias("component")).distinct()
     top = levels[-1]
     for lower in reversed(levels[:-1]):  # each has twice as many nodes as the one before, or more
-        top = written(lower.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        top = written(lower.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     least = top.groupBy("root").agg(F.min("node").alias("least"))
-    named = top.join(least, "root").select("node", F.col("least").alias("component"))
-    return nodes.select("node").distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    named = top.join(least.hint("merge"), "root").select("node", F.col("least").alias("component"))
+    return nodes.select("node").distinct().join(named.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def patched(edges: DataFrame, removed: DataFrame, added: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:

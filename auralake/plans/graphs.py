@@ -21,7 +21,7 @@ def _scenes(spark, d) -> tuple[DataFrame, DataFrame]:
     nodes = table(spark, d, "part").where("p_size <= 40").select(F.floor(key / 36).alias("scene"), key.alias("node"), F.pmod(key, F.lit(6)).alias("x"), F.floor(F.pmod(key, F.lit(36)) / 6).alias("y"))
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (0, 1), (-1, 0), (0, -1))])
     near = nodes.select("scene", F.col("node").alias("src"), "x", "y", F.inline(steps)).select("scene", "src", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    return nodes, near.join(nodes.withColumnRenamed("node", "dst"), ["scene", "x", "y"]).select("scene", "src", "dst")
+    return nodes, near.join(nodes.withColumnRenamed("node", "dst").hint("merge"), ["scene", "x", "y"]).select("scene", "src", "dst")
 
 
 @query(
@@ -38,7 +38,7 @@ def shortest_path_points(spark, d):
     start = nodes.groupBy("scene").agg(F.min("node").alias("node"))
     tree = distances(edges, start, ["scene"])
     found = paths(tree, tree.select("scene", "node"), ["scene"])
-    return found.join(nodes, ["scene", "node"]).select("scene", F.col("end").alias("goal"), "place", "node", "x", "y")
+    return found.join(nodes.hint("merge"), ["scene", "node"]).select("scene", F.col("end").alias("goal"), "place", "node", "x", "y")
 
 
 @query(
@@ -64,9 +64,9 @@ def predicted_goals(spark, d):
     y = whole(F.col("ay") - F.col("aside") * F.sin("r") - F.col("ahead") * F.cos("r"))
     places = agents.select("c_custkey", "scene", "start", x.alias("x"), y.alias("y"))
     goals = nearest(places.drop("start"), nodes.select("scene", "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), ["scene"], "c_custkey", "node").select("c_custkey", F.col("node").alias("goal"))
-    starts = places.select("scene", "start").distinct().join(nodes.select("scene", F.col("node").alias("start")), ["scene", "start"]).withColumn("node", F.col("start"))
+    starts = places.select("scene", "start").distinct().join(nodes.select("scene", F.col("node").alias("start")).hint("merge"), ["scene", "start"]).withColumn("node", F.col("start"))
     hops = distances(edges, starts, ["scene"], ["start"]).select("scene", "start", F.col("node").alias("goal"), "hops")
-    return places.select("c_custkey", "scene", "start").join(goals, "c_custkey", "left").join(hops, ["scene", "start", "goal"], "left").select("c_custkey", "goal", F.coalesce("hops", F.lit(-1)).alias("hops"))
+    return places.select("c_custkey", "scene", "start").join(goals.hint("merge"), "c_custkey", "left").join(hops.hint("merge"), ["scene", "start", "goal"], "left").select("c_custkey", "goal", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 @query(
@@ -93,8 +93,8 @@ def greedy_actions(spark, d):
     """What an agent at each place does next on its way to the first place of its scene; it stops there, and where no way leads."""
     nodes, edges = _scenes(spark, d)
     tree = distances(edges, nodes.groupBy("scene").agg(F.min("node").alias("node")), ["scene"])
-    there = tree.where("parent is not null").select("node", "parent").join(nodes.select(F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py")), "parent")
+    there = tree.where("parent is not null").select("node", "parent").join(nodes.select(F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py")).hint("merge"), "parent")
     heading = F.when(F.col("px") > F.col("x"), 0).when(F.col("py") > F.col("y"), 90).when(F.col("px") < F.col("x"), 180).otherwise(270)
     turn = F.pmod(heading - F.pmod("node", F.lit(4)) * 90, F.lit(360))
     action = F.when(F.col("parent").isNull(), "STOP").when(turn == 0, "FORWARD").when(turn <= 180, "LEFT").otherwise("RIGHT")
-    return nodes.join(there, "node", "left").select("node", action.alias("action"))
+    return nodes.join(there.hint("merge"), "node", "left").select("node", action.alias("action"))
