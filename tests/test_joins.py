@@ -50,3 +50,17 @@ def test_points_in_boxes_are_counted_without_broadcasts(spark, boxes, name):
     rows = sql.fetchall()
     assert rows and sorted(tuple(r[i] for i in at) for r in found.collect()) == sorted(rows)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_objects_near_points_at_bounds_and_without_broadcasts(spark, tmp_path):
+    """Objects beside the only points of their scene, some in the cube of one, some around it, some at the distance itself."""
+    objects = [(i * 217, n, float(100 * i - 3000)) for i in range(60) for n in (0, 1)]
+    spark.createDataFrame(objects, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 0, 0.0), (217, 0, 0.0), (434, 1, 1490.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    found = entry.queries()["objects_near_points"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    for table in ("customer", "supplier"):
+        duck.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    rows = sorted(duck.execute(entry.oracle_sql()["objects_near_points"]).fetchall())
+    assert len(rows) == 2 and sorted((r.scene, r.objects) for r in found.collect()) == rows
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
