@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import signal
 from ..operators import grids
 from ..operators.graph import components, patched
-from ..operators.rounds import kept
+from ..operators.rounds import dealt, kept
 from ..operators.windows import linear
 from ..registry import query
 from ..sources.tables import table
@@ -29,7 +29,8 @@ SELECT vec_id, x, y, max(CASE WHEN layer = 'obstacle' THEN 1 ELSE 0 END) AS obst
 )
 def depth_map(spark, d):
     """Each embedding as an image of 8 x 8 depths: its points on a ground map of 16 x 16 cells, closed."""
-    pixels = table(spark, d, "embeddings").select("vec_id", F.posexplode(signal.doubles(F.col("embedding"))).alias("k", "e")).select("vec_id", "k", (F.abs("e") * 20).alias("depth")).where("depth <> 0 and depth <= 8")
+    # Dealt by vec_id, so that all cells of an image stay in one task, of a bounded number of images.
+    pixels = dealt(table(spark, d, "embeddings"), 2000, "vec_id").select("vec_id", F.posexplode(signal.doubles(F.col("embedding"))).alias("k", "e")).select("vec_id", "k", (F.abs("e") * 20).alias("depth")).where("depth <> 0 and depth <= 8")
     x = F.pmod("k", F.lit(8)) * 0.25 - 0.875
     y = 0.875 - F.floor(F.col("k") / 8) * 0.25
     points = pixels.select("vec_id", (x * F.col("depth") / 0.5 + 8).alias("gx"), (16 - F.col("depth") / 0.5).alias("gy"), (y * F.col("depth") + 1.25).alias("h")).where("gx between 0 and 15 and gy between 0 and 15 and h < 1.5D")
