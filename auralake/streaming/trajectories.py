@@ -109,8 +109,7 @@ class OrderedSteps(StatefulProcessor):
         if not key[0]:  # no user
             return iter(())
         came = [(int(t.value // 1_000_000), int(e), k, float(v), int(key[0])) for f in rows for t, e, k, v in zip(f["ts"], f["event_id"], f["event_type"], f["value"], strict=True)]
-        for row in came:
-            self.waiting.appendValue(row)
+        self.waiting.appendList(came)
         self.handle.registerTimer(max(r[0] for r in came))
         return iter(self.passed(timerValues.getCurrentWatermarkInMs()))
 
@@ -126,15 +125,17 @@ class OrderedSteps(StatefulProcessor):
         self.waiting.put(rest) if rest else self.waiting.clear()
         episode, step, belief = self.now.get() if self.now.exists() else (0, 0, math.nan)  # state holds no nulls
         out = []
+        counts = {k: self.kinds.getValue((k,))[0] if self.kinds.containsKey((k,)) else 0 for k in sorted({r[2] for r in due})}  # each kind is read and written once a call
         for _, event, kind, value, user in due:
             if kind != "error" and not math.isnan(value):
                 belief = value if math.isnan(belief) else 0.5 * belief + 0.5 * value
-            n = (self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + 1
-            self.kinds.updateValue((kind,), (n,))
-            out.append((user, event, episode, step, belief, n))
+            counts[kind] += 1
+            out.append((user, event, episode, step, belief, counts[kind]))
             step += 1
             if kind == "purchase":
                 episode, step, belief = episode + 1, 0, math.nan
+        for kind, n in counts.items():
+            self.kinds.updateValue((kind,), (n,))
         self.now.update((episode, step, belief))
         frame = pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="float64" if c == "belief" else "int64") for i, c in enumerate(("user_id", "event_id", "episode", "step", "belief", "of_kind"))})
         return [frame]
