@@ -615,6 +615,17 @@ def test_phrases_of_many_documents_are_no_passage(spark):
     assert passages.shared_passages(spark.createDataFrame(rows + rows, "doc_id long, text string")).count() == 0
 
 
+def test_passages_are_found_at_any_partner_of_frequent_keys(spark):
+    """Each part of the passage is in many documents, the passage in one that is neither the first nor the last of them."""
+    rng = random.Random(58)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    parts = [some(20) for _ in range(3)]
+    lines = lambda first: [(first + i, some(100) + parts[i % 2] + parts[i % 2 + 1] + some(100)) for i in range(60)]
+    docs = [*lines(0), (100, some(80) + sum(parts, []) + some(80)), *lines(200), (300, some(90) + sum(parts, []) + some(70))]
+    found = {r.doc_id: (r.start_word, r.end_word, r.source_doc) for r in passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).where("not kept").collect()}
+    assert found == {300: (90, 150, 100)}
+
+
 def test_repeated_passages_of_one_document(spark):
     """Each place of a passage in a later document is found, also where one word fills it."""
     rng = random.Random(16)
