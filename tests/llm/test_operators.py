@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -626,6 +627,23 @@ def test_passages_are_found_at_any_partner_of_frequent_keys(spark):
     assert found == {300: (90, 150, 100)}
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for folder in manager.localDirsString() for f in Path(folder).rglob("shuffle_*.data")}
+    before = files()
+    table = common.stored(spark.range(1000).repartition("id"))
+    assert not files() - before
+    assert table.count() == 1000
+
+
+def test_pairs_that_share_too_little_are_left_out_by_count():
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(-(2**31), 2**31, 60).astype(np.int32) for _ in range(4)]
+    rows[1][:40], rows[3][:41] = rows[0][:40], rows[2][:41]
+    bounds, flat = np.arange(0, 241, 60), np.concatenate(rows)
+    assert passages._hopeless(np.array([1, 1, 2, 2]), np.array([0, 1, 0, 1]), bounds, flat).tolist() == [False, True, False, False]
+
+
 def test_repeated_passages_of_one_document(spark):
     """Each place of a passage in a later document is found, also where one word fills it."""
     rng = random.Random(16)
