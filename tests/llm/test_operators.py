@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -342,6 +343,25 @@ def test_suffix_tree_against_dictionaries(spark, texts, frequent):
     assert depths[0] >= 3 and depths[1] >= 2
 
 
+def test_dealing_runs_takes_little_memory():
+    """Equal runs are summed, each goes to its bucket, and at the peak a run takes 60 bytes at most, its own 16 among them."""
+    rng = np.random.default_rng(5)
+    head, tail = (rng.integers(0, 2**63, 300_000, dtype=np.uint64) for _ in range(2))
+    head[1::3], tail[1::3] = head[::3], tail[::3]
+    tracemalloc.start()
+    held = [(head[i : i + 10_000].copy(), tail[i : i + 10_000].copy()) for i in range(0, len(head), 10_000)]
+    batch = suffixtree._dealt(held, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = Counter()
+    for row in batch.to_pylist():
+        for h, t, n in zip(row["heads"], row["tails"], row["counts"], strict=True):
+            got[h, t] += n
+            assert int(suffixtree.run_of(np.array([h], np.uint64), np.array([t], np.uint64))[0]) % 7 == row["bucket"]
+    assert got == Counter(zip(head.tolist(), tail.tolist(), strict=True)) and not held
+    assert peak < 60 * len(head)
+
+
 def test_flac_round_trip_and_damage():
     rng = np.random.default_rng(1)
     payloads = [bytes(64), bytes(range(256)), rng.integers(0, 256, 200_000, dtype=np.uint8).tobytes(), b"a" * 1024, (np.sin(np.arange(30_000) / 9) * 100 + 128).astype(np.uint8).tobytes(), bytes([0, 255]) * 700]
